@@ -7,15 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .mixing import mix
 from .ngram_join import jaccard_classes
+from .tiff import tiff_digest
+from .warc import archive_round_trip
+
+
+def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"), least=100)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=[5.0, 2.0, 1.0], most=3.0).drop("pieces")
+
+
+def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_reassembly": op1_warc_reassembly,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_source_mixing": op4_source_mixing,
+    "op10_tiff_media": op10_tiff_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_reassembly": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+             f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.h AS payload_digest,
+               CASE WHEN f.first IS NOT NULL AND f.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first <> page_id THEN f.first END AS refers_to, true AS verified
+        FROM p LEFT JOIN f ON p.h = f.h""",
+}
