@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .mixing import mix
 from .ngram_join import jaccard_classes
+from .substring_dedup import remove_repeats
 from .tiff import tiff_digest
 from .warc import archive_round_trip
 
@@ -25,6 +26,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=[5.0, 2.0, 1.0], most=3.0).drop("pieces")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_digest(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_reassembly": op1_warc_reassembly,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_source_mixing": op4_source_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op10_tiff_media": op10_tiff_media,
 }
 
