@@ -11,6 +11,7 @@ from .mixing import mix
 from .ngram_join import jaccard_classes
 from .substring_dedup import remove_repeats
 from .tiff import tiff_digest
+from .toxicity import fit, score
 from .warc import archive_round_trip
 
 
@@ -30,6 +31,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_digest(table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_source_mixing": op4_source_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_tiff_media": op10_tiff_media,
 }
 
