@@ -110,45 +110,50 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, segment_bytes:
 class Stream:
     """Lines and exact lengths from gzip members or plain bytes, decompressed a piece at a time."""
 
-    def __init__(self, data: bytes, piece: int = 1 << 20):
-        self.data, self.piece, self.at, self.held = data, piece, 0, b""
+    def __init__(self, data: bytes, piece: int = 1 << 18):
+        self.data, self.piece, self.at, self.held, self.read = memoryview(data), piece, 0, b"", 0
         self.zip = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
 
     def more(self) -> bool:
-        if self.at >= len(self.data) and not (self.zip and self.zip.unconsumed_tail):
-            return False
+        """Hold another piece behind what has not been read; False at the end."""
         if self.zip is None:
-            self.held += self.data[self.at : self.at + self.piece]
-            self.at += self.piece
-            return True
-        tail = self.zip.unconsumed_tail
-        if not tail:
-            tail = self.data[self.at : self.at + self.piece]
-            self.at += len(tail)
-        self.held += self.zip.decompress(tail, 4 * self.piece)
-        if self.zip.eof:
-            self.at -= len(self.zip.unused_data)
-            self.zip = zlib.decompressobj(31)
+            piece = bytes(self.data[self.at : self.at + self.piece])
+            self.at += len(piece)
+        else:
+            piece = b""
+            while not piece and (self.at < len(self.data) or self.zip.unconsumed_tail):
+                tail = self.zip.unconsumed_tail
+                if not tail:
+                    tail = self.data[self.at : self.at + self.piece]
+                    self.at += len(tail)
+                piece = self.zip.decompress(tail, 4 * self.piece)
+                if self.zip.eof:
+                    self.at -= len(self.zip.unused_data)
+                    self.zip = zlib.decompressobj(31)
+        if not piece:
+            return False
+        self.held, self.read = self.held[self.read :] + piece, 0
         return True
 
     def line(self) -> bytes | None:
-        while (end := self.held.find(b"\r\n")) < 0:
+        while (end := self.held.find(b"\r\n", self.read)) < 0:
             if not self.more():
                 return None
-        out, self.held = self.held[:end], self.held[end + 2 :]
+        out, self.read = self.held[self.read : end], end + 2
         return out
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.held], len(self.held)
+        parts, have = [], 0
         while have < n:
-            self.held = b""
-            if not self.more():
-                raise ValueError("an archive ends inside a record")
-            parts.append(self.held)
-            have += len(self.held)
-        whole = b"".join(parts)
-        self.held = whole[n:]
-        return whole[:n]
+            if self.read == len(self.held):
+                self.held, self.read = b"", 0
+                if not self.more():
+                    raise ValueError("an archive ends inside a record")
+            part = self.held[self.read : self.read + n - have]
+            parts.append(part)
+            have += len(part)
+            self.read += len(part)
+        return b"".join(parts)
 
 
 def walk(data: bytes):
