@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii
 from .common import table
 from .mixing import mix
 from .ngram_join import jaccard_classes
@@ -23,6 +24,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op3_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit(docs))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=[5.0, 2.0, 1.0], most=3.0).drop("pieces")
 
@@ -43,6 +49,7 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_reassembly": op1_warc_reassembly,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_pii_tagger": op3_pii_tagger,
     "op4_source_mixing": op4_source_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op9_toxicity": op9_toxicity,
