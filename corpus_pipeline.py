@@ -1,11 +1,69 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and read again."""
+"""The corpus pipeline: toxic documents go, one document of each group of near copies stays, contaminated documents go, personal
+data is redacted, and what is left is mixed to the sources' weights. Each stage is written as Parquet and read again.
+
+No ORACLE_SQL: the classifier, the tagger and the mix are trained or drawn, which SQL can't express.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import pii
+from tessera.llm.common import materialize, table
+from tessera.llm.decontaminate import remove_contaminated
+from tessera.llm.mixing import mix
+from tessera.llm.ngram_join import jaccard_classes
+from tessera.llm.toxicity import fit, keep_ordinary
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text the compression-distance classifier, trained on the labelled rows that are not held out, accepts."""
+    return keep_ordinary(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of texts whose 5-word shingle sets are at least 0.8 similar: that of the smallest doc_id.
+
+    Documents without words are linked with nothing and stay, as do rows without an id whose class has none; repeated rows of the
+    same id and text become one.
+    """
+    classes = jaccard_classes(docs, k=5, num=80, den=100)
+    stay = classes.where("doc_id = component_id").select("doc_id").distinct()
+    without = docs.where("doc_id is null").limit(1).count()
+    kept = docs.join(stay, "doc_id", "left_semi").withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return kept.unionByName(docs.where("doc_id is null")) if without else kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover less than the threshold of every benchmark item."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data in the text replaced by its kind."""
+    return pii.redact(docs, pii.fit(docs))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix draws from, with the words it takes of each and the pieces in which its shards get them."""
+    mixed = mix(docs, weights=[5.0, 2.0, 1.0], most=3.0)
+    return mixed.where("taken > 0").withColumn("n_shards", F.size(F.array_distinct("pieces.shard")))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return docs

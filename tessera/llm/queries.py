@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import language_id, pii, quality
 from .common import table
+from .decontaminate import contaminated_pairs
 from .mixing import mix
 from .ngram_join import jaccard_classes
 from .substring_dedup import remove_repeats
@@ -37,6 +38,19 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), language_id.fit(table(spark, sf_dir, "documents")))
+
+
+def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -52,6 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii_tagger": op3_pii_tagger,
     "op4_source_mixing": op4_source_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_quality_cotraining": op7_quality_cotraining,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_tiff_media": op10_tiff_media,
 }
