@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bag, discard, ensure_columns, materialize, partitions, shingle_hashes, slabs, splitmix, utf8, whole_hash, word_hashes
+from .common import bag, discard, ensure_columns, materialize, partitions, seeded, shingle_hashes, slabs, splitmix, utf8, whole_hash, word_hashes
 from .components import connected_components
 
 #: Members of a region that one task may gather; more are joined in distributed rounds.
 REGION = 2048
+#: Shingles of all its members that one task may gather.
+WEIGHT = 6_000_000
 #: Common shingles that are put last in the order: a bounded list, it changes the work and never the result.
-COMMON = 65_536
+COMMON = 131_072
 #: Cells of the coordinates of level 3.
 CELLS = 512
 
@@ -51,8 +53,8 @@ def shingle_sets(column: pa.Array, k: int):
 
 
 def set_key(x: np.ndarray) -> bytes:
-    """128 bits that name a set, whatever its order."""
-    return np.array([(splitmix(x) + np.uint64(len(x))).sum(), splitmix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).tobytes() if len(x) else b""
+    """96 bits that name a set, whatever its order."""
+    return np.array([(splitmix(x) + np.uint64(len(x))).sum(), splitmix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).tobytes()[:12] if len(x) else b""
 
 
 def cell_counts(x: np.ndarray) -> bytes:
@@ -117,7 +119,8 @@ def documents_in_space(docs: DataFrame, k: int, num: int, den: int, common: np.n
 
 
 def _region_name(members: list[bytes]) -> int:
-    return int(splitmix(np.frombuffer(b"".join(sorted(members)), np.uint64) * np.arange(1, 2 * len(members) + 1, dtype=np.uint64)).sum().view(np.int64))
+    parts = np.frombuffer(b"".join(sorted(members)), np.uint32).astype(np.uint64)
+    return int(splitmix(parts * seeded(len(parts), 3)).sum().view(np.int64))
 
 
 def regions(space: DataFrame, num: int, den: int) -> DataFrame:
@@ -232,8 +235,7 @@ def join_region(sets: list[np.ndarray], num: int, den: int, most_pivots: int = 8
     classes, links = Classes(len(sets)), []
 
     def against(p: int, members: np.ndarray) -> np.ndarray:
-        chosen = [sets[i] for i in members]
-        both = shared_counts(sets[p], np.concatenate(chosen), np.concatenate([[0], np.cumsum(sizes[members])[:-1]]))
+        both = shared_with(sets[p], [sets[i] for i in members])
         union = sizes[members] + sizes[p] - both
         for i in members[den * both >= num * union]:
             if classes.join(p, int(i)):
@@ -280,12 +282,32 @@ def join_region(sets: list[np.ndarray], num: int, den: int, most_pivots: int = 8
     return links
 
 
+def shared_with(pivot: np.ndarray, sets: list[np.ndarray], most: int = 1 << 19) -> np.ndarray:
+    """Sizes of the intersections of one set with several, some of them at a time."""
+    out, at = [], 0
+    while at < len(sets):
+        end, held = at, 0
+        while end < len(sets) and (held == 0 or held + len(sets[end]) <= most):
+            held += len(sets[end])
+            end += 1
+        starts = np.cumsum([0] + [len(x) for x in sets[at : end - 1]])
+        out.append(shared_counts(pivot, np.concatenate(sets[at:end]), starts))
+        at = end
+    return np.concatenate(out)
+
+
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a binary column as views of its one buffer."""
+    body, off = utf8(column)
+    return [body[a:z].view(np.uint64) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+
 def _arrow_links(found: list[tuple[bytes, bytes]]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
 
 def _filter_bits(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A Bloom filter of fixed size (1 MB) over 16-byte keys, merged piece by piece; it may pass too much, never too little."""
+    """A Bloom filter of fixed size (1 MB) over 12-byte keys, merged piece by piece; it may pass too much, never too little."""
     piece = 1 << 16
 
     def mark(batches):
@@ -293,8 +315,7 @@ def _filter_bits(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
         for b in batches:
             k = b.column(0).to_pylist()
             if k:
-                x = np.frombuffer(b"".join(k), np.uint64)
-                seen[(x % np.uint64(bits)).astype(np.int64)] = True
+                seen[np.frombuffer(b"".join(k), np.uint32) % np.uint32(bits)] = True
         packed = np.packbits(seen)
         for i in range(0, len(packed), piece):
             if packed[i : i + piece].any():
@@ -314,14 +335,13 @@ def _filter_bits(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
 
 
 def _may_hold(packed: np.ndarray, keys: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
-    at = (x % np.uint64(len(packed) * 8)).astype(np.int64)
+    at = (np.frombuffer(b"".join(keys), np.uint32).reshape(-1, 3) % np.uint32(len(packed) * 8)).astype(np.int64)
     return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
 
 
 def _sets_of(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
-    """(k, x): the shingle sets of these keys, made again from the texts so that they need not be stored for all."""
-    packed = _filter_bits(keys)
+    """keys with x, the shingle set of each, made again from the texts so that it need not be stored for all."""
+    packed = _filter_bits(keys.select("k"))
 
     def pick(batches):
         met: set[bytes] = set()
@@ -334,15 +354,15 @@ def _sets_of(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
                 part = list(fresh.items())[i : i + 200]
                 yield pa.record_batch([pa.array([p[0] for p in part], pa.binary()), pa.array([p[1].tobytes() for p in part], pa.binary())], names=["k", "x"])
 
-    # copies that several tasks met are reduced to one before the join
+    # copies that several tasks met are reduced to one; the join and the group-by share one exchange
     found = docs.select("text").mapInArrow(pick, "k binary, x binary")
-    return found.join(keys, "k", "left_semi").groupBy("k").agg(F.min("x").alias("x"))
+    return found.join(keys, "k").groupBy("k", *[c for c in keys.columns if c != "k"]).agg(F.min("x").alias("x"))
 
 
 def _region_links(groups: DataFrame, num: int, den: int) -> DataFrame:
     def links(t: pa.Table) -> pa.Table:
         keys = t.column("k").to_pylist()
-        found = join_region([np.frombuffer(x, np.uint64) for x in t.column("x").to_pylist()], num, den)
+        found = join_region(_sets(t.column("x")), num, den)
         return _arrow_links([(keys[i], keys[j]) for i, j in found])
 
     return groups.groupBy("region").applyInArrow(links, "a binary, b binary")
@@ -352,7 +372,7 @@ def _large_rounds(members: DataFrame, sets: DataFrame, links: DataFrame, num: in
     """Links inside regions that no task may gather: in each round a few members are pivots, and every other member that is
     not of their class meets them in a task of its own; pivots are then done. Members of the class of a region's first
     pivot need not be pivots, as each pair with one of another class is met when that other one is."""
-    todo = materialize(members.select("region", "k").withColumn("h", F.xxhash64("k")), "large")
+    todo = materialize(members.select("region", "k", "n").withColumn("h", F.xxhash64("k")), "large")
     main = materialize(todo.groupBy("region").agg(F.min_by("k", "h").alias("first")), "main")
     for turn in range(10_000):
         most = min(16 * 4**turn, 256)
@@ -369,8 +389,8 @@ def _large_rounds(members: DataFrame, sets: DataFrame, links: DataFrame, num: in
         picked = picked.select("region", F.array_compact(F.array(*[F.col(f"p{i}.k") for i in range(most)])).alias("pivots"))
         picked = materialize(picked.withColumn("plan", F.xxhash64("pivots")), "pivots")
         # regions with the same pivots are met as one; a large one is dealt to as many tasks as it has thousands of members
-        meet = named.join(picked.select("region", "plan"), "region").select("plan", "k").distinct()
-        shares = meet.groupBy("plan").agg(F.ceil(F.count("*") / 1000).cast("int").alias("shares"))
+        meet = named.join(picked.select("region", "plan"), "region").select("plan", "k", "n").distinct()
+        shares = meet.groupBy("plan").agg(F.ceil(F.greatest(F.count("*") / 1000, F.sum("n") / 1_000_000)).cast("int").alias("shares"))
         meet = meet.join(shares, "plan").select("plan", F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("share"), "k").join(sets, "k")
         plans = picked.select("plan", "pivots").dropDuplicates(["plan"]).join(shares, "plan")
         lead = plans.select("plan", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "pivots").select("plan", "share", F.explode("pivots").alias("k")).join(sets, "k").select(F.col("plan").alias("lead_plan"), F.col("share").alias("lead_share"), F.col("k").alias("p"), F.col("x").alias("px"))
@@ -378,21 +398,19 @@ def _large_rounds(members: DataFrame, sets: DataFrame, links: DataFrame, num: in
         def linked(key, left: pa.Table, right: pa.Table) -> pa.Table:
             keys, found = left.column("k").to_pylist(), []
             if keys:
-                each = [np.frombuffer(x, np.uint64) for x in left.column("x").to_pylist()]
+                each = _sets(left.column("x"))
                 size = np.array([len(x) for x in each])
-                flat, starts = np.concatenate(each), np.concatenate([[0], np.cumsum(size)[:-1]])
-                for p, x in zip(right.column("p").to_pylist(), right.column("px").to_pylist(), strict=True):
-                    x = np.frombuffer(x, np.uint64)
-                    both = shared_counts(x, flat, starts)
+                for p, x in zip(right.column("p").to_pylist(), _sets(right.column("px")), strict=True):
+                    both = shared_with(x, each)
                     found += [(p, keys[i]) for i in np.flatnonzero(den * both >= num * (size + len(x) - both)) if keys[i] != p]
             return _arrow_links(found)
 
         new = meet.groupBy("plan", "share").cogroup(lead.groupBy("lead_plan", "lead_share")).applyInArrow(linked, "a binary, b binary")
         links = materialize(links.union(new).distinct(), "links")
         used = picked.select("region", F.explode("pivots").alias("k"))
-        keep = named.join(used, ["region", "k"], "left_anti").select("region", "k", "h")
+        keep = named.join(used, ["region", "k"], "left_anti").select("region", "k", "n", "h")
         # the first pivot has met all: it stays only to name its class
-        old, todo = todo, materialize(keep.union(named.where("k = first").select("region", "k", "h")).distinct(), "large")
+        old, todo = todo, materialize(keep.union(named.where("k = first").select("region", "k", "n", "h")).distinct(), "large")
         discard(old)
     raise RuntimeError("large regions did not settle")
 
@@ -423,12 +441,14 @@ def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     near = near.union(large.join(large.groupBy("region").agg(F.min("k").alias("a")), "region").select("a", F.col("k").alias("b")))
     # regions that share members are one region: each set is compared in one place
     joint = materialize(connected_components(near).select(F.col("component").alias("region"), F.col("node").alias("k")), "near")
-    sets = materialize(_sets_of(docs, joint.select("k"), k), "sets")
-    members = joint.groupBy("region").agg(F.count("*").alias("members"))
-    sized = joint.join(members, "region")
-    links = materialize(_region_links(sized.where(F.col("members") <= REGION).join(sets, "k"), num, den), "links")
-    if not members.where(F.col("members") > REGION).isEmpty():
-        links = _large_rounds(sized.where(F.col("members") > REGION), sets, links, num, den)
+    sizes = joint.join(found.select("k", "n").distinct(), "k")
+    weights = sizes.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
+    sized = materialize(sizes.join(weights, "region"), "sized")
+    fits = (F.col("members") <= REGION) & (F.col("weight") <= WEIGHT)
+    links = materialize(_region_links(_sets_of(docs, sized.where(fits).select("k", "region"), k), num, den), "links")
+    many = sized.where(~fits)
+    if not many.isEmpty():
+        links = _large_rounds(many, materialize(_sets_of(docs, many.select("k"), k), "sets"), links, num, den)
     parts = connected_components(links).select(F.col("node").alias("k"), F.col("component").alias("c"))
     classes = space.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("least")).join(parts, "k", "left").withColumn("c", F.coalesce("c", "k"))
     best = classes.groupBy("c").agg(F.min("least").alias("component_id"))
