@@ -132,7 +132,7 @@ def rare_collapse(df: DataFrame, column: str, threshold: float | int, token: str
     else:
         least = F.lit(max(1, int(threshold)))
     keep = counts.select(F.col(column).alias("_v"), (F.col("_n") >= least).alias("_keep"))
-    out = df.join(keep, F.col(column).eqNullSafe(F.col("_v")), "left").withColumn(column, F.when("_keep", F.col(column).cast("string")).otherwise(F.lit(token)))
+    out = df.join(keep, F.col(column).eqNullSafe(F.col("_v")), "left").withColumn(column, F.when(F.col("_keep"), F.col(column).cast("string")).otherwise(F.lit(token)))
     return out.drop("_v", "_keep")
 
 
