@@ -378,7 +378,7 @@ def ae_centroid_refinement(x, k, seed, rounds: int = 50, **p):
         f = (goal - q) / (1 + _sq(z, c))
         g = -2 * (f.T @ z - f.sum(0)[:, None] * c) / len(z)
         mo, ve = 0.9 * mo + 0.1 * g, 0.999 * ve + 0.001 * g**2
-        c = c - 0.01 * (mo / (1 - 0.9**t)) / (np.sqrt(ve / (1 - 0.999**t)) + 1e-8)
+        c = c - 0.001 * (mo / (1 - 0.9**t)) / (np.sqrt(ve / (1 - 0.999**t)) + 1e-8)
     return _sq(z, c).argmin(1), m | {"kl": best}
 
 
