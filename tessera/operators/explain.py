@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import draw, folds
+from .sampling import draw, folds, hashed_rank
 
 
 def profiles(df: DataFrame, label: str, continuous: list[str] = (), binary: list[str] = (), categorical: list[str] = ()) -> DataFrame:
@@ -103,11 +103,9 @@ def surrogate_cv(df: DataFrame, key: str, k: int = 5, repeats: int = 1, trees: i
 
 
 def permute(df: DataFrame, key: str, features: list[int], seed: int, repeat: int) -> DataFrame:
-    """features with these places taken from another row: rows are matched by rank in key order and in hashed order."""
-    from pyspark.sql import Window
-
-    a = df.withColumn("_r", F.row_number().over(Window.orderBy(key)))
-    b = df.select("features", F.row_number().over(Window.orderBy(draw(seed, repeat, F.col(key)))).alias("_r")).withColumnRenamed("features", "_other")
+    """features with these places taken from another row: rows are matched by their ranks in two hashed orders."""
+    a = hashed_rank(df, draw(seed, -1, F.col(key)), key, name="_r")
+    b = hashed_rank(df, draw(seed, repeat, F.col(key)), key, name="_r").select("_r", F.col("features").alias("_other"))
     mixed = F.transform("features", lambda x, i: F.when(i.isin(features), F.get("_other", i)).otherwise(x))
     return a.join(b, "_r").withColumn("features", mixed).drop("_r", "_other")
 

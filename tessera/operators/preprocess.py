@@ -206,9 +206,6 @@ def variance_filter(df: DataFrame, columns: list[str], threshold: float = 0.0) -
     return df.drop(*gone)
 
 
-SCALERS = {"none": lambda df, c: df, "standard": standard_scale, "robust": robust_scale, "power": power_scale, "log1p_standard": log1p_scale}
-
-
 @dataclass
 class Roles:
     """Which columns are modelled, and how; ids and targets stay outside."""
@@ -223,43 +220,68 @@ class Roles:
         return [*self.continuous, *self.binary, *self.categorical, *self.ordinal]
 
 
+def _scale_fits(df: DataFrame, columns: list[str], transform: str) -> dict[str, tuple[float, float]]:
+    """(shift, divisor) of every column, all from one aggregation."""
+    if transform == "none" or not columns:
+        return {c: (0.0, 1.0) for c in columns}
+    if transform == "robust":
+        got = _one(df, {c: F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))) for c in columns})
+        pairs = {c: (q[1], q[2] - q[0]) if (q := got[c]) else (0.0, 1.0) for c in columns}
+    else:
+        got = _one(df, {k: e for c in columns for k, e in ((f"m_{c}", F.avg(c)), (f"s_{c}", F.stddev_pop(c)))})
+        pairs = {c: (got[f"m_{c}"] or 0.0, got[f"s_{c}"] or 0.0) for c in columns}
+    return {c: (float(m), float(s) or 1.0) for c, (m, s) in pairs.items()}
+
+
 def preprocess(df: DataFrame, roles: Roles, key: str, transform: str = "standard", encoding: str = "onehot", indicators: bool = True, rare: float | int | None = None, variance: float | None = None) -> tuple[DataFrame, list[str]]:
     """(key, features array) and the features' names: blocks in the order continuous, binary, categorical, ordinal, indicators last in each.
 
-    A column that is null throughout is dropped. Names and values are filtered together.
+    Fits take three passes whatever the number of columns: gaps, medians and modes; levels of the collapsed columns; scales. All
+    else is one projection. A column that is null throughout is dropped. Names and values are filtered together.
     """
-    nulls = _one(df, {c: F.count_if(F.col(c).isNull()) for c in roles.all()})
-    n = df.count()
-    out, names = df, []
+    others = [*roles.binary, *roles.categorical, *roles.ordinal]
+    fits = _one(df, {"n": F.count("*"), **{f"g_{c}": F.count_if(F.col(c).isNull()) for c in roles.all()}, **{f"c_{c}": F.percentile(F.col(c).cast("double"), 0.5) for c in roles.continuous}, **{f"c_{c}": F.mode(c, True) for c in others}})
+    gaps = {c: fits[f"g_{c}"] for c in roles.all()}
+    full = [c for c in roles.all() if gaps[c] < fits["n"] or c in roles.categorical]
+    flags = {f"{b}__{c}__missing": F.col(c).isNull().cast("double") for b in ("continuous", "binary", "categorical", "ordinal") for c in getattr(roles, b) if indicators and gaps[c] and c in full}
+    filled = {c: F.coalesce(F.col(c).cast("double") if c in roles.continuous else F.col(c), F.lit(fits[f"c_{c}"])) for c in full if gaps[c] and fits[f"c_{c}"] is not None}
+    filled |= {c: F.col(c).cast("double") for c in full if c in roles.continuous and c not in filled}
+    out = df.withColumns(flags).withColumns(filled) if flags else df.withColumns(filled) if filled else df
+
+    numbers = [c for c in roles.continuous if c in full]
+    if transform == "log1p_standard" and numbers:
+        low = _one(out, {c: F.min(c) for c in numbers})
+        bad = [c for c in numbers if (low[c] or 0) < 0]
+        if bad:
+            raise ValueError(f"{bad} have negative values, so log1p does not apply")
+        out = out.withColumns({c: F.log1p(c) for c in numbers})
+    elif transform == "power":
+        out = out.withColumns({c: yeo_johnson(F.col(c), power_lambda(out, c)) for c in numbers})
+    scales = _scale_fits(out, numbers, transform)
+    out = out.withColumns({c: (F.col(c) - m) / s for c, (m, s) in scales.items()}) if numbers else out
+
+    level_columns = [c for c in roles.categorical if c in full]
+    for c in level_columns if rare is not None else []:
+        out = rare_collapse(out, c, rare)
+    known = {c: sorted(v) for c, v in _one(out, {c: F.collect_set(as_level(c)) for c in level_columns}).items()}
+    known |= {c: roles.ordinal_maps[c] if c in roles.ordinal_maps else sorted(v) for c, v in _one(out, {c: F.collect_set(as_level(c)) for c in roles.ordinal if c in full}).items()}
+
+    def place(c: str, value: Column) -> Column:
+        return F.coalesce(F.array_position(F.array(*map(F.lit, known[c])), value) - 1, F.lit(-1)).cast("double")
+
+    features: dict[str, Column] = {}
     for block in ("continuous", "binary", "categorical", "ordinal"):
-        columns = [c for c in getattr(roles, block) if nulls[c] < n or block == "categorical"]
-        flags = [c for c in columns if indicators and nulls[c]]
-        for c in flags:
-            out = missing_indicator(out, c, block)
-        for c in columns:
-            if block == "continuous":
-                out = SCALERS[transform](median_impute(out.withColumn(c, F.col(c).cast("double")), c), c)
-                names.append((f"{block}__{c}", c))
-                continue
-            if nulls[c] and nulls[c] < n:
-                out = mode_impute(out, c)
-            if block == "binary":
-                names.append((f"{block}__{c}", c))
+        for c in (c for c in getattr(roles, block) if c in full):
+            if block == "categorical" and encoding == "onehot":
+                features |= {f"{block}__{c}_{v}": (as_level(c) == v).cast("double") for v in known[c]}
             elif block == "categorical":
-                if rare is not None:
-                    out = rare_collapse(out, c, rare)
-                known = levels(out, c)
-                if encoding == "onehot":
-                    out = one_hot(out, c, block, known)
-                    names += [(f"{block}__{c}_{v}", f"{block}__{c}_{v}") for v in known]
-                else:
-                    out = ordinal(out.withColumn(c, as_level(c)), c, known)
-                    names.append((f"{block}__{c}", c))
+                features[f"{block}__{c}"] = place(c, as_level(c))
+            elif block == "ordinal":
+                features[f"{block}__{c}"] = place(c, F.col(c) if c in roles.ordinal_maps else as_level(c))
             else:
-                out = ordinal(out, c, roles.ordinal_maps.get(c))
-                names.append((f"{block}__{c}", c))
-        names += [(f"{block}__{c}__missing", f"{block}__{c}__missing") for c in flags]
+                features[f"{block}__{c}"] = F.col(c).cast("double")
+        features |= {f: F.col(f"`{f}`") for f in flags if f.startswith(f"{block}__")}
     if variance is not None:
-        keep = set(variance_survivors(out, [c for _, c in names], variance))
-        names = [x for x in names if x[1] in keep]
-    return out.select(key, F.array(*[F.col(f"`{c}`").cast("double") for _, c in names]).alias("features")), [x for x, _ in names]
+        spread = _one(out, {f"v{i}": F.var_pop(e) for i, e in enumerate(features.values())})
+        features = {k: e for i, (k, e) in enumerate(features.items()) if spread[f"v{i}"] is not None and spread[f"v{i}"] > variance}
+    return out.select(key, F.array(*features.values()).alias("features")), list(features)

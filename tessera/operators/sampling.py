@@ -11,9 +11,28 @@ def draw(seed: int, run: int | Column, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), (run if isinstance(run, Column) else F.lit(run)).cast("string"), F.lit(":"), key.cast("string")))
 
 
+def hashed_rank(df: DataFrame, drawn: Column, key: str, by: list[str] = (), name: str = "_rank") -> DataFrame:
+    """Rank from 1 in hashed order, overall or per group, without a sort of the table or of a large group in one task.
+
+    The first three hex digits of a hash cut every group into 4096 even buckets: rows are ranked inside theirs, and running sums of the
+    bucket sizes, at most 4096 a group, give where each bucket starts.
+    """
+    out = df.withColumn("_d", drawn).withColumn("_b", F.substring("_d", 1, 3))
+    sizes = out.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = starts.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_b").alias("_g__b"), "_start")
+    on = F.col("_b") == F.col("_g__b")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_d", key))
+    ranked = out.withColumn("_place", place).join(starts, on)
+    return ranked.withColumn(name, F.col("_place") + F.col("_start")).drop("_d", "_b", "_place", "_start", "_g__b", *[f"_g_{c}" for c in by])
+
+
 def take_exact(df: DataFrame, key: str, size: int, seed: int, run: int = 0) -> DataFrame:
-    """size rows without replacement. A top-k per partition comes before any shuffle, so no sort of the table is needed."""
-    return df.withColumn("_d", draw(seed, run, F.col(key))).orderBy("_d").limit(size).drop("_d")
+    """size rows without replacement, those of the smallest hash."""
+    return hashed_rank(df, draw(seed, run, F.col(key)), key).where(F.col("_rank") <= size).drop("_rank")
 
 
 def pilot_size(n: int, fraction: float, least: int) -> int:
@@ -37,13 +56,15 @@ def bootstrap_draws(df: DataFrame, n: int, seed: int, run: int) -> DataFrame:
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int, repeat: int = 0) -> DataFrame:
     """Stratified folds: rows of a label are dealt round in hashed order."""
-    order = Window.partitionBy(label).orderBy(draw(seed, repeat, F.col(key)))
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    ranked = hashed_rank(df, draw(seed, repeat, F.col(key)), key, [label])
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
 def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 0, label: str | None = None) -> DataFrame:
     """is_test for a share of all rows, or of each label's."""
-    window = Window.partitionBy(F.col(label) if label else F.lit(0))
-    rank = F.row_number().over(window.orderBy(draw(seed, 0, F.col(key))))
-    total = F.count("*").over(window)
-    return df.withColumn("is_test", rank <= F.ceil(total * test))
+    by = [label] if label else []
+    ranked = hashed_rank(df, draw(seed, 0, F.col(key)), key, by)
+    if not label:
+        return ranked.withColumn("is_test", F.col("_rank") <= F.ceil(F.lit(df.count()) * test)).drop("_rank")
+    totals = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_t"))
+    return ranked.join(totals, F.col(label).eqNullSafe(F.col("_l"))).withColumn("is_test", F.col("_rank") <= F.ceil(F.col("_t") * test)).drop("_rank", "_l", "_t")

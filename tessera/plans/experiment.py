@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import ExperimentConfig, load_config
@@ -63,10 +63,9 @@ class Experiment:
         return T.load_table(self.spark, self.config.data.path)
 
     def rows(self) -> DataFrame:
-        """Every row with its position: by the ids if there are any, else by all columns."""
+        """Every row with its position: by all its columns, ids included."""
         df, ids = self.raw(), self.config.data.ids()
-        order = ids or df.columns
-        df = df.withColumn("row_idx", F.row_number().over(Window.orderBy(*order, F.xxhash64(*df.columns))) - 1).withColumn("row_idx", F.col("row_idx").cast("long"))
+        df = T.with_row_idx(df, df.columns)
         first = F.col(ids[0]).cast("string") if ids else F.col("row_idx").cast("string")
         return df.withColumn("row_id", first)
 

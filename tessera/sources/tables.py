@@ -7,7 +7,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,9 +73,14 @@ def table_profile(df: DataFrame) -> DataFrame:
     return counts.select(F.col("n").alias("n_rows"), F.explode(pairs).alias("p")).select("p.column_name", "n_rows", "p.n_null")
 
 
-def with_row_idx(df: DataFrame, id_column: str) -> DataFrame:
-    """A dense position by id. A global order over one column only: positions are joined to rows once, where an operator needs them."""
-    return df.withColumn("row_idx", F.row_number().over(Window.orderBy(id_column)) - 1)
+def with_row_idx(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A dense position 0 .. n - 1 that depends on the rows alone: ranked by the hash of these columns, bucket by bucket, so that no
+    task sorts the table."""
+    from tessera.operators.sampling import hashed_rank
+
+    keyed = df.withColumn("_all", F.to_json(F.struct(*columns)))
+    ranked = hashed_rank(keyed.withColumn("_md5", F.md5("_all")), F.col("_md5"), "_all", name="row_idx")
+    return ranked.withColumn("row_idx", (F.col("row_idx") - 1).cast("long")).drop("_all", "_md5")
 
 
 def row_identity(df: DataFrame, id_columns: list[str]) -> DataFrame:
