@@ -14,6 +14,7 @@ from tessera.operators import explain as E
 from tessera.operators import labels as L
 from tessera.operators import preprocess as P
 from tessera.operators import quality as Q
+from tessera.operators import reporting as X
 from tessera.operators import sampling as S
 from tessera.operators import scoring as R
 from tessera.plans import search
@@ -512,3 +513,74 @@ def surrogate_cv(spark, d):
 @query()
 def permutation_importance(spark, d):
     return rounded(E.permutation_importance(blobs(spark, d), "row_idx", {"x": [0], "y": [1], "x+y": [0, 1], "u": [2]}, 10, 2))
+
+
+# ------------------------------------------------------------------------------------------------------- reporting
+
+
+@query("SELECT s_suppkey AS row_idx, " + ", ".join(f"CAST(s_nationkey % 3 = {k} AS INTEGER) AS c_{k}" for k in range(3)) + " FROM supplier")
+def onehot_membership(spark, d):
+    return X.membership(given_labels(spark, d))
+
+
+@query(f"WITH {REGISTRY} SELECT candidate_id, {rr('ln(1 + n_clusters) / ln(1001)', 'parsimony_penalty')}, {rr('12 / 1000.0::DOUBLE', 'dimensionality_penalty')}, 0.0::DOUBLE AS runtime_penalty FROM rg")
+def penalties(spark, d):
+    return rounded(candidates(spark, d).select("candidate_id", *[e.alias(k) for k, e in X.penalties("n_clusters", 1000, 12).items()]))
+
+
+@query(f"WITH {REGISTRY} SELECT family AS candidate_id, 'inertia' AS name, {rr('avg(silhouette)', 'value')} FROM rg GROUP BY family UNION ALL SELECT family, 'bic', round(avg(jaccard_perturbation), 6) + 0.0 FROM rg WHERE jaccard_perturbation IS NOT NULL GROUP BY family")
+def metadata_means(spark, d):
+    runs = candidates(spark, d).select(F.col("family").alias("candidate_id"), F.map_filter(F.create_map(F.lit("inertia"), "silhouette", F.lit("bic"), "jaccard_perturbation"), lambda k, v: v.isNotNull()).alias("metadata"))
+    return rounded(X.metadata_means(runs))
+
+
+@query(f"WITH {_CERTAIN} SELECT consensus_label, count(*) AS rows, {rr('avg(top1)', 'mean_support')}, {rr('avg(gap)', 'mean_gap')}, {rr('avg(ambiguous::INTEGER)', 'ambiguous_share')}, count(*) AS summary_size FROM uz GROUP BY consensus_label")
+def size_and_confidence(spark, d):
+    runs, given = label_runs(spark, d), given_labels(spark, d)
+    sure = C.uncertainty(runs, WEIGHTS, given)
+    return rounded(X.size_and_confidence(sure, sure.groupBy("consensus_label").agg(F.count("*").alias("size"))))
+
+
+@query(f"WITH {_CUST} SELECT 'bal' AS feature, " + ", ".join(f"round(avg(bal) FILTER (cluster = {k}), 4) + 0.0 AS \"{k}\"" for k in range(3)) + " FROM cu UNION ALL SELECT 'rich', " + ", ".join(f"round(avg(rich) FILTER (cluster = {k}), 4) + 0.0" for k in range(3)) + " FROM cu")
+def profile_heatmap(spark, d):
+    return rounded(X.profile_heatmap(E.profiles(clustered(spark, d), "cluster", ["bal"], ["rich"], ["seg"]), [0, 1, 2]), 4)
+
+
+@query(f"WITH {REGISTRY} SELECT candidate_id FROM rg WHERE stage <> 'full'")
+def candidates_to_do(spark, d):
+    c = candidates(spark, d)
+    return X.still_to_do(c.select("candidate_id"), c.where("stage = 'full'"))
+
+
+@query(f"WITH {REGISTRY} SELECT candidate_id FROM rg WHERE stage = 'full'")
+def candidates_done(spark, d):
+    c = candidates(spark, d)
+    return X.already_done(c.select("candidate_id"), c.where("stage = 'full'"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS candidate_id, max(o_orderkey) AS sequence FROM orders GROUP BY o_custkey")
+def latest_per_candidate(spark, d):
+    return R.latest_per_candidate(read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("candidate_id"), F.col("o_orderkey").alias("sequence")), "sequence")
+
+
+@query("SELECT p_brand, p_name AS feature, p_retailprice AS importance_mean FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_name) <= 3")
+def top_features(spark, d):
+    return X.top_features(read(spark, d, "part").select("p_brand", F.col("p_name").alias("feature"), F.col("p_retailprice").alias("importance_mean")), ["p_brand"], 3)
+
+
+@query(f"WITH {_ACCEPTED}, f AS (SELECT family, avg(runtime_seconds) AS r, count_if(accepted)::BIGINT AS a FROM ac GROUP BY family) SELECT {rr('max(r) FILTER (family = $$deep$$) / max(r) FILTER (family = $$classical$$)', 'runtime_ratio')}, max(a) FILTER (family = 'classical') AS classical_accepted, max(a) FILTER (family = 'deep') AS deep_accepted FROM f")
+def family_comparison(spark, d):
+    return rounded(X.family_comparison(R.family_summary(accepted_registry(spark, d))))
+
+
+@query()
+def data_driven_k(spark, d):
+    runs = label_runs(spark, d)
+    sigs = C.signatures(runs)[0]
+    cuts = sigs.select(F.lit(3).alias("k"), "sig_id", "n", F.get("labels", F.lit(0)).alias("label"))
+    return rounded(X.data_driven_k(cuts, C.signature_agreement(sigs, WEIGHTS)))
+
+
+@query()
+def synthetic_source(spark, d):
+    return X.synthetic_table(spark)

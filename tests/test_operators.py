@@ -291,3 +291,51 @@ def test_experiment_end_to_end(spark, tmp_path):
     again = Experiment.from_output_dir(spark, str(e.folder)).resume()
     assert again.count() == 3 and e.status()["report"]
     assert (Path(e.export_manuscript_bundle()) / "tables" / "search_flow.csv").exists()
+
+
+def test_data_driven_k_equals_row_level_silhouette(spark):
+    from tessera.operators import reporting as X
+
+    r = np.random.default_rng(7)
+    lab = np.stack([r.integers(0, 3, 30) for _ in range(3)])
+    w = [0.5, 0.3, 0.2]
+    rows = runs(spark, *lab)
+    sigs = C.signatures(rows)[0]
+    cuts = sigs.select(P.F.lit(3).alias("k"), "sig_id", "n", P.F.get("labels", P.F.lit(0)).alias("label"))
+    d = 1 - sum(wi * (a[:, None] == a[None]) for wi, a in zip(w, lab, strict=True))
+    cut, s = lab[0], []
+    for i in range(30):
+        own = [d[i, j] for j in range(30) if j != i and cut[j] == cut[i]]
+        b = min(np.mean(d[i, cut == o]) for o in set(cut) - {cut[i]})
+        a = np.mean(own) if own else 0
+        s.append((b - a) / max(a, b) if own and max(a, b) else 0)
+    assert X.data_driven_k(cuts, C.signature_agreement(sigs, w)).first().silhouette == pytest.approx(np.mean(s))
+
+
+def test_shapley_ranks_the_features_that_matter(spark):
+    from tessera.operators import reporting as X
+
+    x = np.random.default_rng(8).normal(size=(40, 3))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_idx long, features array<double>")
+    got = {r.feature: r.mean_abs_shapley for r in X.shapley(points, lambda z: 3 * z[:, 0] + z[:, 1], x, ["a", "b", "c"], 10).collect()}
+    assert got["a"] > got["b"] > got["c"] == pytest.approx(0)
+
+
+def test_synthetic_source_repeats(spark):
+    from tessera.operators import reporting as X
+
+    a, b = (X.synthetic_table(spark, 48).orderBy("patient_id").collect() for _ in range(2))
+    assert a == b and len(a) == 144 and any(r.bmi is None for r in a)
+
+
+def test_hashed_rank_is_the_order_of_hashes(spark):
+    df = spark.createDataFrame([(i, i % 3 if i % 5 else None) for i in range(500)], "k long, g int").repartition(4)
+    drawn = S.draw(1, 0, P.F.col("k"))
+    want = [r.k for r in df.orderBy(drawn).collect()]
+    assert [r.k for r in S.hashed_rank(df, drawn, "k").orderBy("_rank").collect()] == want
+    by = S.hashed_rank(df, drawn, "k", ["g"]).collect()
+    for g in (None, 0, 1, 2):
+        own = {r.k: r["_rank"] for r in by if r.g == g}
+        assert [k for k in want if k in own] == sorted(own, key=own.get) and sorted(own.values()) == list(range(1, len(own) + 1))
+    idx = [r.row_idx for r in T.with_row_idx(df, ["k", "g"]).collect()]
+    assert sorted(idx) == list(range(500))
