@@ -15,7 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bound what Spark hands to Python at a time. The default of 10 000 rows is tens of MB of text, several copies of which live
+    outside the heap of each task; a smaller bound that the session has already is kept."""
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = (spark.conf.get(key, None) or "").lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= bound:
+            spark.conf.set(key, str(bound))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +67,7 @@ def partitions(spark: SparkSession) -> int:
 
 def ensure_columns(df: DataFrame, **types: str) -> DataFrame:
     """Just these columns, cast; a missing one is null. Other columns, clashing names included, are left behind."""
+    small_batches(df.sparkSession)
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
