@@ -11,13 +11,15 @@ The join partitions that space by pivots, level by level:
 3. Hash-cell pivots. The counts of a set in 512 hash cells are its coordinates; the sum of their differences never exceeds D.
    Sets farther apart than D allows are separated, and equal regions met under several shingles are joined once.
 4. Document pivots. Inside a region farthest-first pivots make Voronoi cells by exact distance; x is replicated to the cell of
-   p_j when d(x, p_j) <= d(x, p_i) + 2 t, and cells are joined recursively. Everything within t of a pivot is linked to it,
-   so sets already in one class are not compared again: the classes are exact, though not all links inside one are listed.
+   p_j when d(x, p_j) <= d(x, p_i) + 2 t, and cells are joined recursively. In a cell that pivots do not divide each pair is
+   compared, those of one class too: every link is found, and each pair has one home region.
 
-A region of more members than `REGION` is never gathered in a task: its members are dealt to many tasks, each of which gets
-the same few pivots, in rounds that stop when all its members are in one class or have been pivots themselves.
+A region of more members than `REGION` is never gathered in a task: its members are banded by size (origin pivot), the bands
+dealt to blocks of about `BLOCK` members, and each two blocks whose bands may hold a link meet in a task of their own.
 
-Defined results: no words or null text -> empty set, linked with nothing; fewer words than a shingle has -> the whole sequence is
+n_links of a row is the number of other rows whose sets are within the threshold of its own; rows with equal sets count.
+
+Defined results: no words or null text -> empty set, linked with nothing, not even another empty one; fewer words than a shingle has -> the whole sequence is
 the one shingle; repeated rows and repeated ids are rows of their own; a null id is never a class id unless all its class has
 none; columns other than doc_id and text are ignored.
 """
@@ -29,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bag, discard, ensure_columns, materialize, partitions, seeded, shingle_hashes, slabs, splitmix, utf8, whole_hash, word_hashes
+from .common import bag, ensure_columns, materialize, partitions, seeded, shingle_hashes, slabs, splitmix, utf8, whole_hash, word_hashes
 from .components import connected_components
 
 #: Members of a region that one task may gather; more are joined in distributed rounds.
 REGION = 2048
 #: Shingles of all its members that one task may gather.
 WEIGHT = 6_000_000
+#: Members of one block of a larger region; a task holds two blocks.
+BLOCK, BLOCK_WEIGHT = 1000, 1_000_000
 #: Common shingles that are put last in the order: a bounded list, it changes the work and never the result.
 COMMON = 131_072
 #: Cells of the coordinates of level 3.
@@ -185,20 +189,6 @@ def regions(space: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(cut, "region long, k binary, n int, large boolean")
 
 
-class Classes:
-    """Classes of the members of a region, as an array of labels."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.label[i], self.label[j]
-        if a == b:
-            return False
-        self.label[self.label == max(a, b)] = min(a, b)
-        return True
-
-
 def near_in_cells(sizes: np.ndarray, cells: np.ndarray, num: int, den: int) -> list[np.ndarray]:
     """Level 3: the groups that remain when pairs farther apart than the threshold allows, by size or cell counts, are cut.
 
@@ -228,58 +218,105 @@ def shared_counts(pivot: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np
     return np.add.reduceat((pivot[at] == flat).astype(np.int64), starts)
 
 
-def join_region(sets: list[np.ndarray], num: int, den: int, most_pivots: int = 8, leaf: int = 24) -> list[tuple[int, int]]:
-    """Level 4: links that join the members of a region into exactly the classes that all their links make."""
+def shared_matrix(left: list[np.ndarray], right: list[np.ndarray] | None = None, width: int = 2048, most: int = 1 << 20) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one (with each left one if right is None).
+
+    Shingles of many sets are multiplied as columns of a 0/1 matrix, those of few are counted pair by pair."""
+    every = left if right is None else [*left, *right]
+    nl, nr = len(left), len(left if right is None else right)
+    flat = np.concatenate(every)
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(len(every), dtype=np.int32), [len(x) for x in every])[order]
+    flat = flat[order]
+    del order
+    col = np.cumsum(np.append(False, flat[1:] != flat[:-1]), dtype=np.int32)
+    if right is None:
+        a, ac, b, bc = owner, col, owner, col
+    else:
+        of_left = owner < nl
+        a, ac, b, bc = owner[of_left], col[of_left], owner[~of_left] - nl, col[~of_left]
+    n = int(col[-1]) + 1
+    in_right = np.bincount(bc, minlength=n)
+    pairs = np.bincount(ac, minlength=n) * in_right
+    dense = pairs * 150 > nl * nr
+    out = np.zeros((nl, nr), np.int32)
+
+    which = np.flatnonzero(dense)
+    rank = np.full(n, -1, np.int32)
+    rank[which] = np.arange(len(which))
+    sides = []
+    for own, c in ((a, ac), (b, bc)):
+        r = rank[c]
+        sides.append((own[r >= 0], r[r >= 0]))
+    for lo in range(0, len(which), width):
+        part = []
+        for (own, r), m in zip(sides, (nl, nr), strict=True):
+            i, j = np.searchsorted(r, [lo, lo + width])
+            x = np.zeros((m, min(width, len(which) - lo)), np.float32)
+            x[own[i:j], r[i:j] - lo] = 1
+            part.append(x)
+        out += (part[0] @ part[1].T).astype(np.int32)
+
+    e = np.flatnonzero(~dense[ac] & (pairs[ac] > 0))
+    count = in_right[ac[e]]
+    first = np.searchsorted(bc, ac[e])
+    ends = np.cumsum(count)
+    at, flat_out = 0, out.reshape(-1)
+    while at < len(e):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        c = count[at:end]
+        partner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:end], c)
+        np.add.at(flat_out, np.repeat(a[e[at:end]].astype(np.int64), c) * nr + b[partner], 1)
+        at = end
+    return out
+
+
+def near_matrix(sets: list[np.ndarray], num: int, den: int, most_pivots: int = 8, leaf: int = 24) -> np.ndarray:
+    """Level 4: which members of a region are linked, each pair of them, as a symmetric matrix."""
     t = 1 - num / den + 1e-9
     sizes = np.array([len(x) for x in sets])
-    classes, links = Classes(len(sets)), []
-
-    def against(p: int, members: np.ndarray) -> np.ndarray:
-        both = shared_with(sets[p], [sets[i] for i in members])
-        union = sizes[members] + sizes[p] - both
-        for i in members[den * both >= num * union]:
-            if classes.join(p, int(i)):
-                links.append((p, int(i)))
-        return 1 - both / union
-
-    def compare(members: np.ndarray) -> None:
-        """Each member against the later ones that are not in its class and not too far from earlier pivots."""
-        far = np.zeros((0, len(members)))
-        for a in range(len(members) - 1):
-            own = classes.label[members[a]]
-            rest = a + 1 + np.flatnonzero(classes.label[members[a + 1 :]] != own)
-            if len(rest) and len(far):
-                rest = rest[(np.abs(far[:, rest] - far[:, [a]]) <= t).all(0)]
-            if len(rest):
-                d = against(int(members[a]), members[rest])
-                if len(far) < 4 and len(rest) == len(members) - a - 1:
-                    row = np.zeros(len(members))
-                    row[rest] = d
-                    far = np.vstack([far, row])
-
+    near = np.zeros((len(sets), len(sets)), bool)
     stack = [np.arange(len(sets))]
     while stack:
         members = stack.pop()
-        if (classes.label[members] == classes.label[members[0]]).all():
-            continue
-        if len(members) <= leaf:
-            compare(members)
-            continue
-        pivots, rows, nearest = [0], [], None
-        while len(pivots) <= min(most_pivots, int(len(members) ** 0.5)):
-            rows.append(against(int(members[pivots[-1]]), members))
-            nearest = rows[-1] if nearest is None else np.minimum(nearest, rows[-1])
-            if nearest.max() <= t:
-                break
-            pivots.append(int(nearest.argmax()))
-        d = np.array(rows)
-        home = d.argmin(0)
-        cells = [np.flatnonzero((home == j) | (d[j] <= d.min(0) + 2 * t)) for j in range(len(d))]
-        if sum(map(len, cells)) > 1.5 * len(members):  # windows overlap too much to divide by: compare what is left as it is
-            compare(members)
-        else:
-            stack.extend(members[cell] for cell in cells)
-    return links
+        if len(members) > leaf:
+            pivots, rows, nearest = [0], [], None
+            while len(pivots) <= min(most_pivots, int(len(members) ** 0.5)):
+                p = members[pivots[-1]]
+                both = shared_with(sets[p], [sets[i] for i in members])
+                rows.append(1 - both / (sizes[members] + sizes[p] - both))
+                nearest = rows[-1] if nearest is None else np.minimum(nearest, rows[-1])
+                if nearest.max() <= t:
+                    break
+                pivots.append(int(nearest.argmax()))
+            d = np.array(rows)
+            home = d.argmin(0)
+            cells = [np.flatnonzero((home == j) | (d[j] <= d.min(0) + 2 * t)) for j in range(len(d))]
+            # where windows overlap too much to divide by, what is left is compared as it is
+            if sum(map(len, cells)) <= 1.5 * len(members) and max(map(len, cells)) < len(members):
+                stack.extend(members[cell] for cell in cells if len(cell) > 1)
+                continue
+        both = shared_matrix([sets[i] for i in members]).astype(np.int64)
+        own = sizes[members]
+        near[np.ix_(members, members)] |= den * both >= num * (own[:, None] + own[None, :] - both)
+    np.fill_diagonal(near, False)
+    return near
+
+
+def join_region(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """All links between the members of a region, each once."""
+    return [(i, j) for i, j in np.argwhere(np.triu(near_matrix(sets, num, den), 1)).tolist()]
+
+
+def first_of_class(near: np.ndarray) -> np.ndarray:
+    """For each member the first one that it is linked with, directly or not; itself if it is the first."""
+    label = np.full(len(near), -1)
+    for s in range(len(near)):
+        fresh = np.array([s]) if label[s] < 0 else np.zeros(0, np.int64)
+        while len(fresh):
+            label[fresh] = s
+            fresh = np.flatnonzero(near[fresh].any(0) & (label < 0))
+    return label
 
 
 def shared_with(pivot: np.ndarray, sets: list[np.ndarray], most: int = 1 << 19) -> np.ndarray:
@@ -302,6 +339,16 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [body[a:z].view(np.uint64) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
+_LINKED = "a binary, b binary, links long"
+
+
+def _arrow_classes(keys: list[bytes], near: np.ndarray, copies: np.ndarray) -> pa.Table:
+    """(a, b, links): each member, the first of its class, and the rows that its links lead to."""
+    first = first_of_class(near)
+    links = np.array([copies[row].sum() for row in near], np.int64)
+    return pa.table({"a": pa.array(keys, pa.binary()), "b": pa.array([keys[i] for i in first], pa.binary()), "links": pa.array(links)})
+
+
 def _arrow_links(found: list[tuple[bytes, bytes]]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
@@ -361,62 +408,43 @@ def _sets_of(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
 
 def _region_links(groups: DataFrame, num: int, den: int) -> DataFrame:
     def links(t: pa.Table) -> pa.Table:
-        keys = t.column("k").to_pylist()
-        found = join_region(_sets(t.column("x")), num, den)
-        return _arrow_links([(keys[i], keys[j]) for i, j in found])
-
-    return groups.groupBy("region").applyInArrow(links, "a binary, b binary")
-
-
-def _large_rounds(members: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """Links inside regions that no task may gather: in each round a few members are pivots, and every other member that is
-    not of their class meets them in a task of its own; pivots are then done. Members of the class of a region's first
-    pivot need not be pivots, as each pair with one of another class is met when that other one is."""
-    todo = materialize(members.select("region", "k", "n").withColumn("h", F.xxhash64("k")), "large")
-    main = materialize(todo.groupBy("region").agg(F.min_by("k", "h").alias("first")), "main")
-    for turn in range(10_000):
-        most = min(16 * 4**turn, 256)
-        parts = connected_components(links)
-        label = lambda df, key, out: df.join(parts.select(F.col("node").alias(key), F.col("component").alias(out)), key, "left").withColumn(out, F.coalesce(out, key))
-        named = label(todo, "k", "c").join(label(main, "first", "m"), "region")
-        # a region whose members are all of one class is finished
-        named = materialize(named.join(named.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region"), "region"), "named")
-        if named.isEmpty():
-            return links
-        free = named.where((F.col("c") != F.col("m")) | (F.col("k") == F.col("first")))
-        slot = F.pmod(F.col("h"), F.lit(most))
-        picked = free.groupBy("region").agg(*[F.min(F.when(slot == i, F.struct("h", "k"))).alias(f"p{i}") for i in range(most)])
-        picked = picked.select("region", F.array_compact(F.array(*[F.col(f"p{i}.k") for i in range(most)])).alias("pivots"))
-        picked = materialize(picked.withColumn("plan", F.xxhash64("pivots")), "pivots")
-        # regions with the same pivots are met as one; a large one is dealt to as many tasks as it has thousands of members
-        meet = named.join(picked.select("region", "plan"), "region").select("plan", "k", "n").distinct()
-        shares = meet.groupBy("plan").agg(F.ceil(F.greatest(F.count("*") / 1000, F.sum("n") / 1_000_000)).cast("int").alias("shares"))
-        meet = meet.join(shares, "plan").select("plan", F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("share"), "k").join(sets, "k")
-        plans = picked.select("plan", "pivots").dropDuplicates(["plan"]).join(shares, "plan")
-        lead = plans.select("plan", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "pivots").select("plan", "share", F.explode("pivots").alias("k")).join(sets, "k").select(F.col("plan").alias("lead_plan"), F.col("share").alias("lead_share"), F.col("k").alias("p"), F.col("x").alias("px"))
-
-        def linked(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            keys, found = left.column("k").to_pylist(), []
-            if keys:
-                each = _sets(left.column("x"))
-                size = np.array([len(x) for x in each])
-                for p, x in zip(right.column("p").to_pylist(), _sets(right.column("px")), strict=True):
-                    both = shared_with(x, each)
-                    found += [(p, keys[i]) for i in np.flatnonzero(den * both >= num * (size + len(x) - both)) if keys[i] != p]
-            return _arrow_links(found)
-
-        new = meet.groupBy("plan", "share").cogroup(lead.groupBy("lead_plan", "lead_share")).applyInArrow(linked, "a binary, b binary")
-        links = materialize(links.union(new).distinct(), "links")
-        used = picked.select("region", F.explode("pivots").alias("k"))
-        keep = named.join(used, ["region", "k"], "left_anti").select("region", "k", "n", "h")
-        # the first pivot has met all: it stays only to name its class
-        old, todo = todo, materialize(keep.union(named.where("k = first").select("region", "k", "n", "h")).distinct(), "large")
-        discard(old)
-    raise RuntimeError("large regions did not settle")
+        return _arrow_classes(t.column("k").to_pylist(), near_matrix(_sets(t.column("x")), num, den), t.column("copies").to_numpy())
+
+    return groups.groupBy("region").applyInArrow(links, _LINKED)
+
+
+def _large_links(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """The links of regions that no task may gather: blocks of members meet two by two, each two once."""
+    # sets whose bands are not the same or neighbours differ in size by more than the threshold allows
+    band = F.floor(F.log("n") / (float(np.log(den / num)) * (1 + 1e-9))) if num < den else F.col("n").cast("long")
+    groups = groups.withColumn("band", band)
+    shares = groups.groupBy("region", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_WEIGHT)).alias("shares"))
+    members = materialize(groups.join(shares, ["region", "band"]).withColumn("slot", F.pmod(F.xxhash64("k"), "shares")).select("region", F.struct("band", "slot").alias("block"), "k", "copies", "x"), "members")
+    blocks = members.select("region", "block").distinct()
+    meet = blocks.withColumnRenamed("block", "lo").join(blocks.withColumnRenamed("block", "hi"), "region").where("lo <= hi and hi.band - lo.band <= 1")
+    meet = materialize(meet.withColumn("meeting", F.concat_ws(".", "region", "lo.band", "lo.slot", "hi.band", "hi.slot")), "meetings")
+    meet = meet.withColumn("own", F.col("lo") == F.col("hi"))
+    side = lambda which: members.join(meet.select("region", F.col(which).alias("block"), "meeting", "own"), ["region", "block"]).select("meeting", "own", "k", "copies", "x")
+
+    def linked(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, x = left.column("k").to_pylist(), _sets(left.column("x"))
+        copies = left.column("copies").to_numpy()
+        if left.column("own")[0].as_py():
+            return _arrow_classes(keys, near_matrix(x, num, den), copies)
+        y, n = _sets(right.column("y")), len(x)
+        both = shared_matrix(x, y).astype(np.int64)
+        near = np.zeros((n + len(y), n + len(y)), bool)
+        near[:n, n:] = den * both >= num * (np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both)
+        near |= near.T
+        return _arrow_classes(keys + right.column("key").to_pylist(), near, np.concatenate([copies, right.column("rows").to_numpy()]))
+
+    # new names keep the two sides, which come from the same tables, apart
+    again = side("hi").select(F.col("meeting").alias("meets"), F.col("own").alias("same"), F.col("k").alias("key"), F.col("copies").alias("rows"), F.col("x").alias("y"))
+    return side("lo").groupBy("meeting").cogroup(again.groupBy("meets")).applyInArrow(linked, _LINKED)
 
 
 def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row: sets of k-word shingles link when den * |x & y| >= num * |x | y|."""
+    """(doc_id, n_shingles, component_id, n_links) per row: sets of k-word shingles link when den * |x & y| >= num * |x | y|."""
     docs = ensure_columns(documents, doc_id="long", text="string")
     space = materialize(documents_in_space(docs, k, num, den, common_shingles(docs, k)), "space")
     found = materialize(regions(space, num, den), "regions")
@@ -441,17 +469,21 @@ def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     near = near.union(large.join(large.groupBy("region").agg(F.min("k").alias("a")), "region").select("a", F.col("k").alias("b")))
     # regions that share members are one region: each set is compared in one place
     joint = materialize(connected_components(near).select(F.col("component").alias("region"), F.col("node").alias("k")), "near")
-    sizes = joint.join(found.select("k", "n").distinct(), "k")
+    distinct = materialize(space.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+    sizes = joint.join(distinct.select("k", "n", "copies"), "k")
     weights = sizes.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
     sized = materialize(sizes.join(weights, "region"), "sized")
     fits = (F.col("members") <= REGION) & (F.col("weight") <= WEIGHT)
-    links = materialize(_region_links(_sets_of(docs, sized.where(fits).select("k", "region"), k), num, den), "links")
+    links = _region_links(_sets_of(docs, sized.where(fits).select("k", "region", "copies"), k), num, den)
     many = sized.where(~fits)
     if not many.isEmpty():
-        links = _large_rounds(many, materialize(_sets_of(docs, many.select("k"), k), "sets"), links, num, den)
+        links = links.union(_large_links(_sets_of(docs, many.select("k", "region", "n", "copies"), k), num, den))
+    links = materialize(links, "links")
     parts = connected_components(links).select(F.col("node").alias("k"), F.col("component").alias("c"))
-    classes = space.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("least")).join(parts, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    counts = links.groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
+    classes = distinct.join(parts, "k", "left").withColumn("c", F.coalesce("c", "k"))
     best = classes.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = classes.join(best, "c").select("k", "component_id")
-    full = space.where("n > 0").select("doc_id", "k", "n").join(named, "k").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return full.union(space.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id")))
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1  # equal sets are in no list of links
+    named = classes.join(best, "c").join(counts, "k", "left").select("k", "component_id", n_links.cast("long").alias("n_links"))
+    full = space.where("n > 0").select("doc_id", "k", "n").join(named, "k").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
+    return full.union(space.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id"), F.lit(0).cast("long")))

@@ -117,6 +117,51 @@ def test_join_region_finds_the_classes_of_all_links():
         assert classes(links) == classes(every)
 
 
+def brute_links(rows, k, num, den):
+    """Per row the other rows whose sets are within the threshold."""
+    sets = []
+    for _, text, *_ in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    near = lambda x, y: bool(x and y) and den * len(x & y) >= num * len(x | y)
+    return [(row[0], len(x), sum(near(x, y) for j, y in enumerate(sets) if j != i)) for i, (row, x) in enumerate(zip(rows, sets, strict=True))]
+
+
+def test_every_link_is_counted(awkward, corpus):
+    got = [(r.doc_id, r.n_shingles, r.n_links) for r in ngram_join.jaccard_classes(awkward, 4, 85, 100).collect()]
+    assert sorted(got, key=str) == sorted(brute_links(corpus, 4, 85, 100), key=str)
+
+
+@pytest.mark.parametrize(("region", "block"), [(2048, 1000), (8, 1000), (8, 7)])
+def test_links_inside_large_families_are_counted(spark, monkeypatch, region, block):
+    r = random.Random(6)
+    rows = []
+    for size in (40, 47, 300):
+        base = [f"w{r.randrange(500)}" for _ in range(size)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(size)] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w[r.randint(0, 4) :]), "en", "s", 0))
+    rows += rows[:5]
+    monkeypatch.setattr(ngram_join, "REGION", region)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, DOCS), 4, 85, 100).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.n_links) for x in got) == sorted(brute_links(rows, 4, 85, 100))
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute_components(rows, 4, 85, 100))
+
+
+def test_join_region_lists_all_links():
+    r = np.random.default_rng(1)
+    for spread in (6, 40):
+        sets = []
+        for _ in range(8):
+            base = r.choice(10**6, 200, replace=False).astype(np.uint64)
+            sets += [np.unique(np.concatenate([r.choice(base, 200 - r.integers(0, 15), replace=False), r.integers(0, 10**6, r.integers(0, spread)).astype(np.uint64)])) for _ in range(30)]
+        every = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+        assert ngram_join.join_region(sets, 85, 100) == every and every
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
