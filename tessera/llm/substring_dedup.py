@@ -377,7 +377,8 @@ def remove_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
     wanted = shared.groupBy("h", F.shiftrightunsigned("at", 32).alias("h2")).agg(F.sort_array(F.collect_list(F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), "g"))).alias("l"))
     wanted = wanted.join(firsts, ["h", "h2"]).select("h", "h2", "first", F.col("l.at").alias("at"), F.col("l.g").alias("g"))
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("first"), "h", "h2", "text")
-    touched = materialize(texts.join(wanted, ["first", "h", "h2"]), "touched")
+    # repeated rows are one document: without this the anchors of one would repeat those of the other
+    touched = materialize(texts.join(wanted, ["first", "h", "h2"]).dropDuplicates(["first", "h", "h2"]), "touched")
     marks = materialize(_marks(_contexts(touched, length), length), "marks")
     solved = marks.where("ctx is null").select("h", "h2", "at", "mask")
     if not marks.where("ctx is not null").isEmpty():

@@ -195,6 +195,16 @@ def test_repeated_strings_match_brute_force(spark, corpus, group, monkeypatch):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=str) == brute_repeats(rows, 100)
 
 
+def test_repeated_rows_do_not_repeat_each_other(spark):
+    r = random.Random(12)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, inner = some(150), some(120)
+    twice, within, orphan = some(200) + passage + some(90), inner + some(77) + inner, some(60) + passage
+    rows = [(d, t, None, None, None) for d, t in [(1, twice), (1, twice), (2, some(50) + passage), (3, within), (3, within), (None, orphan), (None, orphan)]]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), 100)
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()), key=str) == brute_repeats(rows, 100)
+
+
 def test_suffix_order_survives_hash_collisions(monkeypatch):
     r = np.random.default_rng(2)
     rows, groups = r.integers(97, 99, (60, 30)).astype(np.uint8), np.repeat([0, 1, 2], [7, 40, 13])
