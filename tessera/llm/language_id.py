@@ -7,8 +7,8 @@ For each page and language l the log posterior is the sum of
   log P(suffix | l)    the same for the address: a language folder, or else the host's last label;
   log P(l | host)      counts of the host's other pages, smoothed towards its suffix, which is smoothed towards all pages.
 The three tables are soft counts: each page adds its text posterior, summed by grouped aggregation. A page's own share is taken out
-of its host's counts before it is judged. Only the tables of declared languages and suffixes (folded to `COMMON` values each) are
-small enough to be sent along; host priors are joined.
+of its host's counts before it is judged. All languages that a document is labelled with, all declared values and all suffixes
+have counts of their own; the tables are grouped and joined to the rows.
 
 Defined results: null or wordless html has an even text likelihood; a null or hostless url is of the host ''; what is not declared is
 its own value ''; repeated rows and ids are rows of their own; an empty table gives no rows; other columns are ignored.
@@ -27,7 +27,7 @@ from .common import ensure_columns, materialize, slabs, splitmix, utf8
 
 #: Labelled documents a language that training takes, by smallest hash of the id.
 SAMPLE = 500
-BUCKETS, TEXT_WEIGHT, COMMON = 1 << 14, 60.0, 500
+BUCKETS, TEXT_WEIGHT = 1 << 14, 60.0
 HOST_PRIOR, SUFFIX_PRIOR, EVIDENCE_PRIOR = 4.0, 10.0, 1.0
 _DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 
@@ -74,9 +74,9 @@ class TextModel:
         return out - out.max(1, keepdims=True) if len(texts) else out
 
 
-def fit(documents: DataFrame, most_languages: int = 64) -> TextModel:
+def fit(documents: DataFrame) -> TextModel:
     docs = ensure_columns(documents, doc_id="long", lang="string", text="string").where("lang is not null and text is not null")
-    languages = sorted(r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
+    languages = sorted(r.lang for r in docs.select("lang").distinct().collect())
     texts = [[r.text for r in docs.where(F.col("lang") == l).select("text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()] for l in languages]
     return TextModel(languages or ["und"], texts or [[]])
 
@@ -105,22 +105,19 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     totals = np.array(soft.agg(*sums).first(), dtype=float) if not judged.isEmpty() else np.ones(len(languages))
     overall = (totals + 1) / (totals + 1).sum()
 
-    def table(value: str) -> dict[str, np.ndarray]:
-        """Soft counts of the most common values; the others share one entry, None."""
-        top = soft.groupBy(value).agg(*sums, F.count("*").alias("c")).orderBy(F.desc("c"), value).limit(COMMON).collect()
-        out = {r[value]: np.array([r[c] for c in columns]) for r in top}
-        out[None] = np.maximum(0, totals - sum(out.values()))
-        return out
+    numbers = lambda x: F.array(*[F.lit(float(v)) for v in x])
 
-    def logs(value: str) -> F.Column:
-        counts = table(value)
-        share = {k: np.log((v + EVIDENCE_PRIOR / len(counts)) / (totals + EVIDENCE_PRIOR)) for k, v in counts.items()}
-        return _lookup(value, share)
+    def table(value: str) -> DataFrame:
+        """Soft counts of each value, and the log evidence of it for each language."""
+        counts = materialize(soft.groupBy(value).agg(*sums).select(value, F.array(*columns).alias("counts")), value)
+        even = EVIDENCE_PRIOR / (counts.count() + 1)
+        return counts.withColumn(f"{value}_log", F.zip_with("counts", numbers(totals), lambda v, t: F.log((v + even) / (t + EVIDENCE_PRIOR))))
 
-    suffixes = table("suffix")
-    prior = {k: (v + SUFFIX_PRIOR * overall) / (v.sum() + SUFFIX_PRIOR) for k, v in suffixes.items()}
+    size = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
+    base = F.zip_with("counts", numbers(overall), lambda v, o: (v + SUFFIX_PRIOR * o) / (size + SUFFIX_PRIOR))
+    suffixes = table("suffix").withColumn("base", base).drop("counts")
     hosts = soft.groupBy("host").agg(*sums).select("host", F.array(*columns).alias("host_counts"))
-    fused = soft.join(hosts, "host").withColumn("declared_log", logs("declared")).withColumn("suffix_log", logs("suffix")).withColumn("base", _lookup("suffix", prior))
+    fused = soft.join(hosts, "host").join(table("declared").drop("counts"), "declared").join(suffixes, "suffix")
     others = F.zip_with("host_counts", "soft", lambda a, b: F.greatest(F.lit(0.0), a - b))
     n = F.aggregate("others", F.lit(0.0), lambda a, x: a + x)
     host_log = F.transform(F.arrays_zip("others", "base"), lambda z: F.log((z["others"] + HOST_PRIOR * z["base"]) / (n + HOST_PRIOR)))
@@ -130,20 +127,3 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     names = F.array(*map(F.lit, languages))
     of = lambda scores, top: F.element_at(names, F.array_position(scores, top).cast("int"))
     return fused.select("page_id", "host", "declared", "suffix", of(F.col("log"), F.array_max("log")).alias("text_lang"), of(F.col("total"), F.col("best")).alias("lang"), (1 / F.aggregate(F.transform("total", lambda x: F.exp(x - F.col("best"))), F.lit(0.0), lambda a, x: a + x)).alias("posterior"))
-
-
-def _lookup(value: str, rows: dict[str | None, np.ndarray]) -> F.Column:
-    """The array of numbers that belongs to the column's value: a map of at most COMMON + 1 entries."""
-    known = [(k, v) for k, v in rows.items() if k is not None]
-    other = F.array(*[F.lit(float(x)) for x in rows[None]])
-    if not known:
-        return other
-    keys = F.from_json(F.lit("[" + ",".join(_quoted(k) for k, _ in known) + "]"), "array<string>")
-    values = F.from_json(F.lit("[" + ",".join("[" + ",".join(repr(float(x)) for x in v) + "]" for _, v in known) + "]"), "array<array<double>>")
-    return F.coalesce(F.element_at(F.map_from_arrays(keys, values), F.col(value)), other)
-
-
-def _quoted(s: str) -> str:
-    import json
-
-    return json.dumps(s)

@@ -514,3 +514,15 @@ def test_arrow_buffers_with_offsets_and_nulls():
     body, off = utf8(column)
     assert bytes(body) == "Aé bc".encode() and off.tolist() == [0, 0, 5, 5, 6]
     assert word_hashes(body, off)[3].tolist() == [0, 0, 2, 2, 3]
+
+
+def test_rare_languages_and_suffixes_keep_their_own_evidence(spark):
+    docs = [(i * 10 + j, " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}{c}" for c in "abcdefgh"), f"l{i:02}", "s", 0) for i in range(70) for j in range(2 if i < 64 else 1)]
+    model = language_id.fit(spark.createDataFrame(docs, DOCS))
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    two = language_id.TextModel(["aa", "bb"], [["alpha alpha"], ["other words"]])
+    names = [f"{a}{b}{c}" for a in "abcdefghi" for b in "abcdefghij" for c in "abcdefgh"][:600]
+    pages = [(n * 3 + i, f"http://h{n}x{i}.{s}/", "<p>" + ("alpha alpha" if n % 2 else "other words")) for n, s in enumerate(names) for i in range(2)]
+    pages += [(10_000 + n, f"http://new{n}.{s}/", "") for n, s in enumerate(names)]
+    got = language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), two).where("page_id >= 10000").collect()
+    assert len(got) == 600 and all(r.lang == ("aa" if (r.page_id - 10_000) % 2 else "bb") for r in got)
