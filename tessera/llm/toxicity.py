@@ -1,11 +1,13 @@
 """Toxicity by compression distance: how much better a dictionary of toxic text packs a window than one of ordinary text.
 
-Two zstandard dictionaries are trained on a bounded labelled sample. Both hold what the trainer picks from ordinary windows; the
-toxic one has, before it, the words that mark toxic documents (their share of toxic documents is many times their share of
-ordinary ones), and the ordinary one neutral filling of the same length, so that a window packs equally with both unless it
-holds toxic text. Every window of about `WINDOW` bytes of the whole text, cut at spaces, is packed with both. How far the lengths
-differ, at most, on the best windows and on average, is calibrated to a probability by a weighted logistic regression
-on the same sample; 0.3 is the threshold of that probability.
+Two zstandard dictionaries are trained, each on its own class of a bounded labelled sample. Most of a toxic document is ordinary
+prose, so the toxic trainer is given the places where the class differs: every occurrence, in the toxic documents, of a term that is
+over-represented there (`Z_SCORE` standard errors and `RATIO` times); the ordinary trainer is given words of ordinary documents. Both
+dictionaries are followed by one base dictionary trained on ordinary windows, so that ordinary text packs equally with either.
+Every window of about `WINDOW` bytes of the whole text, cut at spaces, is packed with both, and the differences of the lengths - the
+best ones, their mean and their number - are calibrated to a probability by a weighted logistic regression on documents that
+the dictionaries did not see: `FOLDS` pairs of dictionaries are each trained without a part of the sample, which they then measure.
+0.3 is the threshold of that probability.
 
 Defined results: null text is empty and scored as such; repeated rows are scored alike; a document with several labels is toxic if one says so; null labels
 and ids are not learned from; without examples of both classes every score is the toxic share that the labels have, or 0; an empty
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import ensure_columns
 
-#: Bounds of the labelled sample, by smallest hash of the id.
-TOXIC_SAMPLE, ORDINARY_SAMPLE = 2000, 4000
-WINDOW, MARKERS, DICTIONARY, LEVEL = 96, 100, 32_768, 3
+#: Bounds of the labelled sample: documents of the smallest hashes of the id, of which those of at most SAMPLE_BYTES are learned from.
+TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 2000, 4000, 32_768
+#: Bytes of a window, of a class's dictionary and of the base dictionary; the trainer's segment and match lengths.
+WINDOW, DICTIONARY, BASE, SEGMENT, MATCH, LEVEL = 96, 4096, 112_640, 24, 6, 3
+Z_SCORE, RATIO, FOLDS = 8.0, 5.0, 2
 THRESHOLD = 0.3
 
 
@@ -74,37 +78,69 @@ def statistics(text: bytes, packers) -> np.ndarray:
     return np.array([1, best[0], best[0] ** 2 / 10, best[:2].mean(), best[:4].mean(), gain.mean(), np.log1p((gain >= 3).sum()), np.log1p((gain >= 5).sum()), many / 5, many * best[0] / 5])
 
 
-def train(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
-    if len(toxic) < 3 or len(ordinary) < 3:
-        return Model(b"", b"", np.zeros(0), share)
-    in_toxic: Counter = Counter()
-    in_ordinary: Counter = Counter()
-    for counts, texts in ((in_toxic, toxic), (in_ordinary, ordinary)):
-        for t in texts:
-            counts.update(set(t.lower().split()))
-    rate = lambda w: (in_toxic[w] / len(toxic), in_ordinary[w] / len(ordinary))
-    least = max(3, len(toxic) // 250)
-    marks = sorted((a - 3 * b, w) for w, n in in_toxic.items() if n >= least for a, b in [rate(w)] if a > 20 * max(b, 0.5 / len(ordinary)) and len(w) >= 4)[-MARKERS:]
-    samples = [w for t in ordinary for w in windows(t, 256)[:: max(1, len(windows(t, 256)) // 40)]][:60_000]
+def _dictionary(samples: list[bytes], size: int, **how: int) -> bytes:
+    """What zstandard's trainer picks; where the samples are too few or too uniform for it, the distinct samples themselves."""
     try:
-        base = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on
-        base = b" ".join(samples)[:DICTIONARY]
-    marked = b" " + b" ".join(w for _, w in marks) + b" "
-    model = Model(b"\x01" * len(marked) + base, marked + base, np.zeros(0), share)
-    packers = model.packers()
-    x = np.array([statistics(t, packers) for t in [*toxic, *ordinary]])
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    weight = np.where(y == 1, share / len(toxic), (1 - share) / len(ordinary)) * len(y)
+        return zstandard.train_dictionary(size, [x.ljust(8) for x in samples], **how).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def _terms(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Words that more toxic documents have than their share of all documents explains."""
+    counts = [Counter(), Counter()]
+    for count, texts in zip(counts, (toxic, ordinary), strict=True):
+        for t in texts:
+            count.update(set(t.lower().split()))
+    nt, no, out = len(toxic), len(ordinary), set()
+    least = min(Z_SCORE, max(4.0, np.sqrt(nt) / 2.5))  # small samples can't reach more
+    for w, n in counts[0].items():
+        other = counts[1][w]
+        share = (n + other) / (nt + no)
+        spread = np.sqrt(nt * share * (1 - share) * no / (nt + no)) + 1e-9
+        if n >= 3 and n / nt > RATIO * (other + 0.5) / no and (n - nt * share) / spread > least:
+            out.add(w)
+    return out
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary, each its class's own behind filling up to equal length, before the shared base."""
+    how = {"k": SEGMENT, "d": MATCH}
+    terms = _terms(toxic, ordinary)
+    own = _dictionary([b" %b " % w for t in toxic for w in t.lower().split() if w in terms], DICTIONARY, **how)
+    words = [b" %b " % w for t in ordinary for w in t.lower().split()]
+    other = _dictionary(words[:: max(1, len(words) // 20_000)], max(256, len(own)), **how)
+    prose = [w for t in ordinary for cut in [windows(t, 256)] for w in cut[:: max(1, len(cut) // 40)]][:60_000]
+    base, size = _dictionary(prose, BASE), max(len(own), len(other))
+    return other.rjust(size, b"\x01") + base, own.rjust(size, b"\x01") + base
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression with a small ridge, by Newton steps."""
     b = np.zeros(x.shape[1])
-    for _ in range(50):  # Newton steps, with a small ridge
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(b)), x.T @ (weight * (p - y)) + 0.1 * b)
         b -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    model.weights = b
-    return model
+    return b
+
+
+def train(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
+    if len(toxic) < 2 * FOLDS or len(ordinary) < 2 * FOLDS:
+        return Model(b"", b"", np.zeros(0), share)
+    x, y = [], []
+    for fold in range(FOLDS):
+        part = lambda texts, own: [t for i, t in enumerate(texts) if (i % FOLDS == fold) == own]  # noqa: B023, E731
+        packers = Model(*dictionaries(part(toxic, False), part(ordinary, False)), np.zeros(0), share).packers()
+        for label, texts in ((1.0, toxic), (0.0, ordinary)):
+            unseen = part(texts, True)
+            x += [statistics(t, packers) for t in unseen]
+            y += [label] * len(unseen)
+    x, y = np.array(x), np.array(y)
+    weight = np.where(y == 1, share / len(toxic), (1 - share) / len(ordinary)) * len(y)
+    return Model(*dictionaries(toxic, ordinary), calibrate(x, y, weight), share)
 
 
 def held_out(doc_id="doc_id"):
@@ -118,7 +154,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     # ids are drawn before any text is joined, so that the join is of a bounded list
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     drawn = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TOXIC_SAMPLE).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ORDINARY_SAMPLE))
-    rows = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    short = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
+    rows = short.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     texts = {k: [(r.text or "").encode() for r in rows if r.toxic == k] for k in (0, 1)}
     total = n.get(0, 0) + n.get(1, 0)
     return train(texts[1], texts[0], n.get(1, 0) / total if total else 0.0)
