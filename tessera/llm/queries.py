@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import language_id, pii, quality
 from .common import table
 from .decontaminate import contaminated_pairs
-from .mixing import mix
+from .mixing import mix_digest
 from .ngram_join import jaccard_classes
 from .substring_dedup import remove_repeats
 from .tiff import tiff_digest
@@ -31,7 +31,7 @@ def op3_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), weights=[5.0, 2.0, 1.0], most=3.0).drop("pieces")
+    return mix_digest(table(spark, sf_dir, "documents"), weights=[5.0, 2.0, 1.0], most=3.0)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,13 +327,44 @@ def test_mix_meets_its_targets(awkward, corpus):
 
 
 def test_splitting_tree_is_exact_and_fair(spark):
-    quotas = spark.createDataFrame([(0, 5000), (1, 300), (2, 0), (3, 41)], "at int, blocks long")
+    quotas = spark.createDataFrame([(0, 5000), (1, 300), (2, 0), (3, 41), (4, 3_000_000_000)], "at int, blocks long")
     got = mixing.split_quotas(quotas, 7, 1).collect()
-    for at, n in ((0, 5000), (1, 300), (3, 41)):
+    for at, n in ((0, 5000), (1, 300), (3, 41), (4, 3_000_000_000)):
         assert sum(r.blocks for r in got if r["at"] == at) == n
     each = [sum(r.blocks for r in got if r.shard == s) for s in range(7)]
-    assert sum(each) == 5341 and max(each) - min(each) <= 1
-    assert all(abs(r.blocks - 5000 / 7) < 60 for r in got if r["at"] == 0)
+    assert sum(each) == 3_000_005_341 and max(each) - min(each) <= 1
+    assert all(abs(r.blocks - 5000 / 7) < 140 for r in got if r["at"] == 0)
+
+
+@pytest.mark.parametrize(("total", "good", "drawn"), [(10, 4, 5), (9000, 5000, 4500), (60, 60, 20), (50, 0, 9), (40, 30, 35), (10**10, 4 * 10**9, 5 * 10**9)])
+def test_draws_follow_the_exact_distribution(spark, total, good, drawn):
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    n = 1500 if total < 10**6 else 40
+    c = lambda v: F.lit(v).cast("bigint")
+    got = np.array([r[0] for r in spark.range(n).select(mixing._hypergeometric(c(total), c(good), c(drawn), F.lit(3), F.col("id"))).collect()])
+    mean = drawn * good / total
+    sd = (drawn * good / total * (1 - good / total) * (total - drawn) / max(1, total - 1)) ** 0.5
+    assert got.min() >= max(0, drawn + good - total) and got.max() <= min(good, drawn)
+    assert abs(got.mean() - mean) <= 4.5 * sd / n**0.5 + 1e-9 and abs(got.std() - sd) <= 0.25 * sd + 1e-9
+    if total < 10**4 and sd > 0:
+        for q in (0.1, 0.5, 0.9):  # the share of draws up to a value is the exact sum's
+            x = int(np.quantile(got, q))
+            exact = sum(comb(good, i) * comb(total - good, drawn - i) / comb(total, drawn) for i in range(max(0, drawn + good - total), x + 1))
+            assert abs((got <= x).mean() - exact) < 0.06
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 64, 1000, 1025])
+def test_blocks_are_permuted(spark, size):
+    from pyspark.sql import functions as F
+
+    order = lambda key: [r[0] for r in spark.range(size).select(mixing._permuted(F.col("id"), F.lit(size).cast("bigint"), F.lit(key))).collect()]
+    assert sorted(order(1)) == list(range(size)) == sorted(order(2))
+    if size > 60:
+        steps = np.diff(order(1))
+        assert order(1) != order(2) and len(set(steps.tolist())) > size // 3
 
 
 def toy_labels(spark):
