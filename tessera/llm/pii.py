@@ -6,10 +6,12 @@ The model reads characters as classes, labels each with O or B-/I- of a kind, an
 through time and the CRF's forward-backward sums, on labelled spans: the matches in a bounded sample of the documents, and
 the same strings set side by side, in brackets and at line ends, as text in which the patterns fail.
 
-All kinds hold a digit or an @. Around these, whole texts are read in overlapping windows (text farther than `REACH` from either can't be in a
-span of the four kinds). Windows are decoded together: the scores of a character are averaged over its windows, weighted
-towards their middles, and one CRF path is found over each whole stretch, so no span is cut at a window's border. A found
-span is added if it passes its kind's test and touches no other span.
+What passes a kind's test lies within a run of the characters that the kind is made of: letters, digits and ._%+-@ around an @, or
+digits, spaces and ().+- around a digit. Every such run is read whole, however long, with `CONTEXT` characters on both sides for the
+model to see; outside these runs no span of the four kinds can be. Overlapping windows are decoded together: the scores of a
+character are averaged over its windows, weighted towards their middles, and one CRF path is found over each whole stretch,
+whose scores are worked off some windows at a time while the path's state is carried on, so no span is cut at a border. A found span
+is added if it passes its kind's test and touches no other span. All patterns are linear in the length of the text.
 
 Defined results: null text is empty and holds nothing; offsets are code points, ends exclusive; repeated rows get the same spans;
 with no example to learn from the model is trained on the built-in ones alone; an empty table gives no rows; other columns are ignored.
@@ -29,16 +31,15 @@ from pyspark.sql import functions as F
 from .common import ensure_columns
 
 KINDS = ("email", "ip", "card", "phone")
-# The patterns of the task.
-_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The patterns of the task. Runs of digits are taken whole (a match can't begin or end within one), which keeps them linear.
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ACTIVE = re.compile(r"[0-9@]")
 
-WINDOW, REACH, HIDDEN, EMBED = 96, 40, 16, 12
+WINDOW, CONTEXT, HIDDEN, EMBED = 96, 40, 16, 12
 SAMPLE = 1500
 
 
@@ -56,12 +57,12 @@ def digits_of(s: str) -> str:
 
 def valid(kind: str, s: str) -> bool:
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", s))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++", s))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s)) and all(int(p) <= 255 for p in s.split("."))
+        return bool(re.fullmatch(r"[0-9]++(\.[0-9]++){3}", s)) and all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in s.split(".")))
     d = digits_of(s)
     if kind == "card":
-        return bool(re.fullmatch(r"[0-9]([\x20.-]?[0-9])+", s)) and 16 <= len(d) <= 19 and luhn(d)
+        return 16 <= len(d) <= 19 and bool(re.fullmatch(r"[0-9]([\x20.-]?[0-9])+", s)) and luhn(d)
     return bool(re.fullmatch(r"[+(]?[0-9][\x20().0-9-]*[0-9]", s)) and 8 <= len(d) <= 15
 
 
@@ -166,17 +167,35 @@ def crf_loss(scores: np.ndarray, tags: np.ndarray, steps: np.ndarray) -> tuple[f
     return (total.sum() - gold) / n, by_score / n, by_step / n
 
 
+class Path:
+    """Viterbi's path over a stretch of any length, whose scores come part by part."""
+
+    def __init__(self, steps: np.ndarray):
+        self.steps, self.back, self.v = steps, [], None
+
+    def add(self, scores: np.ndarray) -> None:
+        back, at = np.zeros(scores.shape, np.int8), 0
+        if self.v is None and len(scores):
+            self.v, at = scores[0], 1
+        for t in range(at, len(scores)):
+            x = self.v[:, None] + self.steps
+            back[t] = x.argmax(0)
+            self.v = x.max(0) + scores[t]
+        self.back.append(back)
+
+    def tags(self) -> np.ndarray:
+        back = np.concatenate(self.back)
+        out = np.empty(len(back), np.int8)
+        out[-1] = tag = int(self.v.argmax())
+        for t in range(len(back) - 1, 0, -1):
+            out[t - 1] = tag = back[t, tag]
+        return out
+
+
 def best_path(scores: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Viterbi path over a stretch of any length."""
-    back, v = np.zeros(scores.shape, np.int8), scores[0]
-    for t in range(1, len(scores)):
-        x = v[:, None] + steps
-        back[t] = x.argmax(0)
-        v = x.max(0) + scores[t]
-    path = [int(v.argmax())]
-    for t in range(len(scores) - 1, 0, -1):
-        path.append(int(back[t][path[-1]]))
-    return np.array(path[::-1])
+    path = Path(steps)
+    path.add(scores)
+    return path.tags()
 
 
 def gradients(tagger: Tagger, x: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -308,8 +327,8 @@ def fit(documents: DataFrame) -> Tagger:
                 spans = base_spans(t)
                 if spans:
                     kind, a, z = spans[len(t) % len(spans)]
-                    lo = max(0, a - REACH)
-                    cut = t[lo : z + REACH]
+                    lo = max(0, a - CONTEXT)
+                    cut = t[lo : z + CONTEXT]
                     out.append((int.from_bytes(hashlib.blake2b(cut.encode(), digest_size=7).digest(), "big"), cut, kind, t[a:z]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["order", "cut", "kind", "found"])
@@ -330,63 +349,90 @@ def fit(documents: DataFrame) -> Tagger:
     return train(real[:600] + built_examples(words, found))
 
 
+_MAIL_RUN = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]*+@[A-Za-z0-9._%+@-]*+")
+_NUMBER_RUN = re.compile(r"(?<![0-9\x20().+-])[\x20().+-]*+[0-9][0-9\x20().+-]*+")
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """What is within REACH of a digit or an @."""
+    """All runs that can hold a span, with their contexts, merged where they meet."""
+    runs = [m.span() for m in _NUMBER_RUN.finditer(text)]
+    if "@" in text:
+        runs = sorted(runs + [m.span() for m in _MAIL_RUN.finditer(text)])
     out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]+", text):
-        a, z = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for a, z in runs:
+        a, z = max(0, a - CONTEXT), min(len(text), z + CONTEXT)
         if out and a <= out[-1][1]:
-            out[-1][1] = z
+            out[-1][1] = max(z, out[-1][1])
         else:
             out.append([a, z])
     return [(a, z) for a, z in out]
 
 
 _WEIGHT = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
+HOP = WINDOW // 2
+
+
+class _Stretch:
+    """A stretch whose windows come in order: their scores are averaged and handed to the path as soon as no later window adds to them."""
+
+    def __init__(self, text: int, a: int, z: int, steps: np.ndarray):
+        self.text, self.a, self.z, self.done = text, a, z, a
+        self.left = max(1, -(-(z - a - HOP) // HOP))
+        self.total, self.weight, self.path = np.zeros((WINDOW, len(TAGS))), np.zeros(WINDOW), Path(steps)
+
+    def windows(self, x: np.ndarray):
+        for at in range(self.a, self.a + self.left * HOP, HOP):
+            p = np.zeros(WINDOW, np.int64)
+            part = x[at : min(self.z, at + WINDOW)]
+            p[: len(part)] = part
+            yield p
+
+    def take(self, scores: np.ndarray) -> bool:
+        """Add the next window's scores; True when it was the last one."""
+        self.total += scores * _WEIGHT[:, None]
+        self.weight += _WEIGHT
+        self.left -= 1
+        n = HOP if self.left else self.z - self.done
+        self.path.add(self.total[:n] / self.weight[:n, None])
+        self.done += n
+        self.total = np.concatenate([self.total[HOP:], np.zeros((WINDOW - HOP, len(TAGS)))])
+        self.weight = np.concatenate([self.weight[HOP:], np.zeros(WINDOW - HOP)])
+        return not self.left
+
+    def spans(self) -> list[tuple[str, int, int]]:
+        tags, out, begin, kind = self.path.tags(), [], -1, -1
+        some = np.flatnonzero(tags)
+        if not len(some):
+            return out
+        for i, tag in enumerate([*tags[some[0] :].tolist(), 0], int(some[0])):
+            if not (tag > 0 and tag % 2 == 0 and (tag - 1) // 2 == kind):
+                if begin >= 0:
+                    out.append((KINDS[kind], self.a + begin, self.a + i))
+                begin, kind = (i, (tag - 1) // 2) if tag > 0 else (-1, -1)
+        return out
 
 
 def tag_texts(tagger: Tagger, texts: list[str], most: int = 1024) -> list[list[tuple[str, int, int]]]:
-    """Spans of the model alone. Windows of all texts are run together; each stretch is decoded as one."""
-    work, windows, out = [], [], [[] for _ in texts]
+    """Spans of the model alone. Windows of all texts are run together, `most` at a time; each stretch is decoded as one."""
+    owners, held, out = [], [], [[] for _ in texts]
 
     def solve():
-        if not windows:
-            return
-        scores = tagger.scores(np.array(windows))
-        at = 0
-        for n, a, z, count in work:
-            total, weight = np.zeros((z - a, len(TAGS))), np.zeros(z - a)
-            for j in range(count):
-                lo = j * (WINDOW // 2)
-                size = min(WINDOW, z - a - lo)
-                total[lo : lo + size] += scores[at + j, :size] * _WEIGHT[:size, None]
-                weight[lo : lo + size] += _WEIGHT[:size]
-            at += count
-            path = best_path(total / weight[:, None], tagger.w["steps"])
-            begin, kind = -1, -1
-            for i, tag in enumerate([*path, 0]):
-                inside = tag > 0 and tag % 2 == 0 and (tag - 1) // 2 == kind
-                if not inside:
-                    if begin >= 0:
-                        out[n].append((KINDS[kind], a + begin, a + i))
-                    begin, kind = (i, (tag - 1) // 2) if tag > 0 else (-1, -1)
-        work.clear()
-        windows.clear()
+        if held:
+            for owner, scores in zip(owners, tagger.scores(np.array(held)), strict=True):
+                if owner.take(scores):
+                    out[owner.text] += owner.spans()
+        owners.clear()
+        held.clear()
 
     for n, text in enumerate(texts):
         x = None
         for a, z in stretches(text):
             x = classes(text) if x is None else x
-            for s in range(a, z, WINDOW * most // 2):  # a stretch that is itself very long is decoded in long pieces
-                e = min(z, s + WINDOW * most // 2)
-                count = max(1, -(-(e - s - WINDOW // 2) // (WINDOW // 2)))
-                for j in range(count):
-                    p = np.zeros(WINDOW, np.int64)
-                    part = x[s + j * (WINDOW // 2) : min(e, s + j * (WINDOW // 2) + WINDOW)]
-                    p[: len(part)] = part
-                    windows.append(p)
-                work.append((n, s, e, count))
-                if len(windows) >= most:
+            stretch = _Stretch(n, a, z, tagger.w["steps"])
+            for p in stretch.windows(x):
+                owners.append(stretch)
+                held.append(p)
+                if len(held) >= most:
                     solve()
     solve()
     return out
@@ -397,18 +443,18 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
     out = []
     for text, added in zip(texts, tag_texts(tagger, texts), strict=True):
         base = base_spans(text)
-        taken = sorted((a, z) for _, a, z in base)
-        more = []
-        for kind, a, z in added:
-            while a < z and text[a] in " \n(),:;.":
-                if kind == "phone" and text[a] == "(":
-                    break
+        given, at, end, more = sorted((a, z) for _, a, z in base), 0, 0, []  # end: of all spans taken so far that begin before this one
+        for kind, a, z in sorted(added, key=lambda s: s[1]):
+            while a < z and text[a] in " \n(),:;." and not (kind == "phone" and text[a] == "("):
                 a += 1
             while z > a and text[z - 1] in " \n(),:;.-":
                 z -= 1
-            if z > a and valid(kind, text[a:z]) and all(z <= p or a >= q for p, q in taken):
+            while at < len(given) and given[at][0] < z:
+                end = max(end, given[at][1])
+                at += 1
+            if a < z and a >= end and valid(kind, text[a:z]):
                 more.append((kind, a, z))
-                taken.append((a, z))
+                end = z
         order = lambda s: (KINDS.index(s[0]), s[1])
         out.append((sorted(base, key=order), sorted(base + more, key=order)))
     return out

@@ -425,6 +425,85 @@ def test_patterns_of_personal_data():
     assert pii.base_spans("4111 1111-1111 1111") == [("card", 0, 19)] and not pii.base_spans("4111111111111112")
 
 
+def plain_base_spans(text):
+    """The task's patterns by plain regular expressions."""
+    luhn = lambda d: sum((int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10))) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, p, ok in rules for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_patterns_match_plain_expressions_on_random_text():
+    r, found = random.Random(15), {}
+    for i in range(6000):
+        letters = ["0123456789 -", "0123.. 25", "+0123456789().- ", "ab.@-_%+1 ", "a1@.+ -(é5"][i % 5]
+        text = "".join(r.choice(letters) for _ in range(r.randint(1, 60)))
+        if i % 3 == 0:
+            text += " " + pii._card(np.random.default_rng(i)) + r.choice(["", "7", " 1.2.3.4", "-+49 30 1234567"])
+        want = plain_base_spans(text)
+        assert pii.base_spans(text) == want, text
+        for k, *_ in want:
+            found[k] = found.get(k, 0) + 1
+    assert min(found[k] for k in pii.KINDS) > 50
+
+
+def test_long_runs_of_digits_end_soon(spark, tagger):
+    import time
+
+    rows = [(1, "x " + "1" * 5000 + ".1.1.1"), (2, "7" * 1_000_000), (3, "1." * 200_000), (4, "a" * 500_000 + "@"), (5, "@a" * 100_000), (6, "00000.00007.1.2")]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), tagger).collect()}
+    assert time.time() - began < 90
+    assert got[1].n_ip == 0 and got[6].n_ip == 1 and got[3].base_sha256 == hashlib.sha256(",".join(f"ip:{i}:{i + 7}" for i in range(0, 399_993, 8)).encode()).hexdigest()
+
+
+def test_stretches_are_decoded_whole_however_long(tagger):
+    r = np.random.default_rng(9)
+    examples = pii.built_examples("stones and people walk slowly".split(), {}, 30, 21)
+    text = " 1 ".join(t for t, _ in examples)
+    assert len(pii.stretches(text)) == 1 or len(text) > 2000
+    whole = pii.tag_texts(tagger, [text], 10**6)
+    for most in (1, 3, 50):
+        assert pii.tag_texts(tagger, [text], most) == whole
+    scores, steps = r.normal(size=(300, 9)), r.normal(size=(9, 9))
+    path = pii.Path(steps)
+    for part in np.split(scores, [1, 2, 100, 101]):
+        path.add(part)
+    assert (path.tags() == pii.best_path(scores, steps)).all()
+
+
+def test_every_valid_span_lies_in_a_stretch():
+    r = random.Random(5)
+    for _ in range(3000):
+        text = "".join(r.choice("ab.@-_%+12345 ().é") for _ in range(80))
+        inside = pii.stretches(text)
+        for _ in range(60):
+            a = r.randrange(80)
+            z = r.randint(a + 1, 80)
+            if any(pii.valid(k, text[a:z]) for k in pii.KINDS):
+                assert any(p <= a and z <= q for p, q in inside)
+    long_local = "b" * 300 + "@example.com"
+    assert any(z - a >= len(long_local) for a, z in pii.stretches("x " + long_local + " y"))
+
+
+def test_tagger_on_strings_that_its_generator_does_not_make(tagger):
+    """Written by hand: other shapes, other surroundings, values run into each other."""
+    cases = [
+        ("Ring me on +44 20 7946 0958 tomorrow", "+44 20 7946 0958"), ("fax: +33 1 42 68 53 00.", "+33 1 42 68 53 00"), ("(+1 555 010 9999)", "+1 555 010 9999"), ("write to j.smith-2+news@mail.example.org, please", "j.smith-2+news@mail.example.org"),
+        ("server 10.0.0.1 is down", "10.0.0.1"), ("hosts 192.168.17.254; 8.8.8.8", "8.8.8.8"), ("paid with 4012 8888 8888 1881 yesterday", "4012 8888 8888 1881"), ("card 5105-1051-0510-5100!", "5105-1051-0510-5100"),
+    ]
+    got = pii.all_spans([t for t, _ in cases], tagger)
+    hit = sum(any(t[a:z] == want for _, a, z in every) for (t, want), (_, every) in zip(cases, got, strict=True))
+    assert hit == len(cases)
+    clean = ["In 1998 about 12,500 people, 3.5 % of 40 towns", "version 2.10.4 of 2021-05-06", "call 12 or 13", "me @ home", "1 2 3 4 5 6 7"]
+    assert sum(len(every) for _, every in pii.all_spans(clean, tagger)) == 0
+
+
 def test_gradients_of_the_tagger():
     t, r = pii.fresh(1), np.random.default_rng(0)
     x, y = r.integers(0, pii.CLASSES, (2, 7)), r.integers(0, len(pii.TAGS), (2, 7))
