@@ -1,17 +1,20 @@
 """TIFF as a media column: text bytes stored losslessly as 8-bit grey samples, and a reader that walks image directories.
 
 The reader follows the chain of directories in either byte order, decodes strips or tiles stored plain, by PackBits, LZW or
-deflate, undoes the horizontal predictor, and gives one image per page. The writer lays a payload out as rows of 192 samples,
-at most `PAGE_ROWS` rows a page; how it packs a page depends on the page's rows alone, so equal texts give equal files:
-up to 2 rows PackBits, up to 4 LZW with predictor, up to 64 deflate strips with predictor, beyond that deflate tiles.
+deflate, undoes the horizontal predictor, and gives one image per page, of 8- or 16-bit samples, one or several a pixel. What it
+inflates is bounded by what the directory says, and that by `MOST_BYTES` a page. The writer lays a payload out as rows of 192 samples,
+at most `PAGE_ROWS` rows a page; the checksum of a page's samples, whatever its size, chooses between PackBits, LZW and deflate
+(the last two with predictor or without) and between strips and tiles, so equal texts give equal files.
 
 Defined results: null text is an empty one, whose payload is one row of spaces; repeated rows and ids are rows of their own; other
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows. In tiff_pages a null file has no pages, and a file that can't be read gives one row
+with the reason in `error`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -21,34 +24,40 @@ from pyspark.sql import DataFrame
 
 from .common import ensure_columns
 
-WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 192, 2048, 32, 64
+WIDTH, PAGE_ROWS, STRIP_ROWS, TILE_W, TILE_H = 192, 2048, 32, 64, 32
+#: Samples of a page in bytes that the reader takes.
+MOST_BYTES = 1 << 28
 # Fixed values of the TIFF 6.0 format: tags and compression codes.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
+PLANAR = 284
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
 
+_REPEATS = re.compile(rb"(.)\1{2,}", re.S)
+
+
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    out, last = bytearray(), 0
+
+    def plain(a: int, z: int) -> None:
+        for i in range(a, z, 128):
+            out.append(min(128, z - i) - 1)
+            out.extend(data[i : min(z, i + 128)])
+
+    for m in _REPEATS.finditer(data):
+        a, z = m.span()
+        plain(last, a)
+        for i in range(a, z, 128):
+            n = min(128, z - i)
+            out.extend((257 - n, data[a]) if n > 1 else (0, data[a]))
+        last = z
+    plain(last, len(data))
     return bytes(out)
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int = MOST_BYTES) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         c = data[i]
         if c < 128:
             out += data[i + 1 : i + 2 + c]
@@ -65,16 +74,17 @@ def lzw_pack(data: bytes) -> bytes:
     """TIFF's LZW: most significant bit first, codes of 9 to 12 bits that widen one code early."""
     acc, held, width, nxt = 256, 9, 9, 258
     out = bytearray()
-    table: dict[tuple[int, int], int] = {}
-    word = -1
-    for c in data:
-        code = c if word < 0 else table.get((word, c))
+    table: dict[int, int] = {}  # by the code so far and the next byte
+    find = table.get
+    word = data[0] if data else -1
+    for c in data[1:]:
+        code = find(word << 8 | c)
         if code is not None:
             word = code
             continue
         acc = acc << width | word
         held += width
-        table[word, c] = nxt
+        table[word << 8 | c] = nxt
         nxt += 1
         word = c
         if nxt == 4094:
@@ -82,7 +92,7 @@ def lzw_pack(data: bytes) -> bytes:
             held += width
             table.clear()
             width, nxt = 9, 258
-        elif nxt >= 1 << width:
+        elif nxt >> width:
             width += 1
         if held > 512:
             rest = held % 8
@@ -104,69 +114,77 @@ def lzw_pack(data: bytes) -> bytes:
     return bytes(out) + (acc << -held % 8).to_bytes((held + 7) // 8, "big")
 
 
-def lzw_unpack(data: bytes) -> bytes:
+_SINGLE = [bytes((i,)) for i in range(256)] + [b"", b""]
+
+
+def lzw_unpack(data: bytes, most: int = MOST_BYTES) -> bytes:
+    """Codes up to the end code, the end of the data or `most` bytes; a code ahead of its table raises ValueError."""
     out: list[bytes] = []
-    table: list[bytes] = []
-    single = [bytes((i,)) for i in range(256)] + [b"", b""]
-    acc = held = at = 0
+    table = list(_SINGLE)
+    acc = held = size = 0
     width, last = 9, b""
-    while True:
-        while held < width:
-            if at >= len(data):
-                return b"".join(out)
-            acc = (acc << 8 | data[at]) & 0xFFFFFFFF
-            at += 1
-            held += 8
-        code = acc >> (held - width) & ((1 << width) - 1)
+    for byte in data:
+        acc = (acc << 8 | byte) & 0xFFFFFFFF
+        held += 8
+        if held < width:
+            continue
         held -= width
-        if code == 257:
-            return b"".join(out)
+        code = acc >> held & ((1 << width) - 1)
+        if code == 257 or size >= most:
+            break
         if code == 256:
-            table, width, last = list(single), 9, b""
+            table, width, last = list(_SINGLE), 9, b""
             continue
-        if not table:
-            table = list(single)
         if not last:
-            last = table[code]
-            out.append(last)
-            continue
-        if code > len(table):
-            raise ValueError("an LZW code is ahead of its table")
-        word = table[code] if code < len(table) else last + last[:1]
+            if code > 255:
+                raise ValueError("an LZW code is ahead of its table")
+            word = table[code]
+        else:
+            if code > len(table):
+                raise ValueError("an LZW code is ahead of its table")
+            word = table[code] if code < len(table) else last + last[:1]
+            table.append(last + word[:1])
+            if len(table) + 1 >= 1 << width and width < 12:
+                width += 1
         out.append(word)
-        table.append(last + word[:1])
+        size += len(word)
         last = word
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
+    return b"".join(out)
 
 
-def _pack(samples: np.ndarray, how: int) -> bytes:
-    """Rows of samples, with the horizontal predictor where the method is LZW or deflate."""
-    if how in (LZW, DEFLATE):
+def _pack(samples: np.ndarray, how: int, predictor: int) -> bytes:
+    if predictor == 2:
         samples = np.concatenate([samples[:, :1], samples[:, 1:] - samples[:, :-1]], axis=1)
     raw = samples.tobytes()
     return pack_bits(raw) if how == PACKBITS else lzw_pack(raw) if how == LZW else zlib.compress(raw, 6)
 
 
+def layout_of(page: np.ndarray) -> tuple[int, int, bool]:
+    """(compression, predictor, tiled) from the checksum of the samples."""
+    pick = zlib.crc32(page.tobytes()) >> 4
+    how = (PACKBITS, LZW, DEFLATE)[pick % 3]
+    return how, 1 if how == PACKBITS else 1 + (pick // 3) % 2, (pick // 6) % 2 == 1
+
+
 def write_tiff(pages: list[np.ndarray]) -> bytes:
     """A little-endian file with a directory for each array of 8-bit rows."""
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for page in pages:
         rows, width = page.shape
-        how = PACKBITS if rows <= 2 else LZW if rows <= 4 else DEFLATE
-        tiled = rows > 64
+        how, predictor, tiled = layout_of(page)
         if tiled:
-            full = np.zeros((-(-rows // TILE) * TILE, -(-width // TILE) * TILE), np.uint8)
+            high = min(TILE_H, -(-rows // 16) * 16)
+            full = np.zeros((-(-rows // high) * high, -(-width // TILE_W) * TILE_W), np.uint8)
             full[:rows, :width] = page
-            parts = [_pack(full[y : y + TILE, x : x + TILE], how) for y in range(0, full.shape[0], TILE) for x in range(0, full.shape[1], TILE)]
+            parts = [_pack(full[y : y + high, x : x + TILE_W], how, predictor) for y in range(0, full.shape[0], high) for x in range(0, full.shape[1], TILE_W)]
         else:
-            parts = [_pack(page[y : y + STRIP_ROWS], how) for y in range(0, rows, STRIP_ROWS)]
+            parts = [_pack(page[y : y + STRIP_ROWS], how, predictor) for y in range(0, rows, STRIP_ROWS)]
         offsets = []
         for p in parts:
             offsets.append(len(out))
             out += p + b"\0" * (len(p) & 1)
-        entries = {IMAGE_WIDTH: [width], IMAGE_LENGTH: [rows], BITS: [8], COMPRESSION: [how], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [2 if how in (LZW, DEFLATE) else 1]}
-        entries |= {TILE_WIDTH: [TILE], TILE_LENGTH: [TILE], TILE_OFFSETS: offsets, TILE_COUNTS: [len(p) for p in parts]} if tiled else {STRIP_OFFSETS: offsets, ROWS_PER_STRIP: [STRIP_ROWS], STRIP_COUNTS: [len(p) for p in parts]}
+        entries = {IMAGE_WIDTH: [width], IMAGE_LENGTH: [rows], BITS: [8], COMPRESSION: [how], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [predictor]}
+        entries |= {TILE_WIDTH: [TILE_W], TILE_LENGTH: [high], TILE_OFFSETS: offsets, TILE_COUNTS: [len(p) for p in parts]} if tiled else {STRIP_OFFSETS: offsets, ROWS_PER_STRIP: [STRIP_ROWS], STRIP_COUNTS: [len(p) for p in parts]}
         fields = []
         for tag, values in sorted(entries.items()):
             at = values[0]
@@ -181,50 +199,85 @@ def write_tiff(pages: list[np.ndarray]) -> bytes:
     return bytes(out)
 
 
+def _unpacked(raw: bytes, how: int, size: int) -> bytes:
+    """size bytes of a strip or tile; inflates no further."""
+    if how in (DEFLATE, OLD_DEFLATE):
+        try:
+            out = zlib.decompressobj().decompress(raw, size)
+        except zlib.error as e:
+            raise ValueError(f"deflate: {e}") from e
+    elif how in (LZW, PACKBITS):
+        out = (lzw_unpack if how == LZW else unpack_bits)(raw, size)
+    elif how == PLAIN:
+        out = raw
+    else:
+        raise ValueError(f"compression {how} is not read")
+    if len(out) < size:
+        raise ValueError("a strip or tile is too short")
+    return out[:size]
+
+
+def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, tuple[int, ...]], int]:
+    """The whole-number tags of a directory, and the place of the next one."""
+    n, tags = struct.unpack_from(order + "H", data, at)[0], {}
+    for i in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+        form, size = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}.get(kind, ("", 0))
+        if size:
+            if count * size > len(data):
+                raise ValueError("a tag has more values than the file has bytes")
+            where = at + 10 + 12 * i
+            where = where if count * size <= 4 else struct.unpack_from(order + "I", data, where)[0]
+            tags[tag] = struct.unpack_from(f"{order}{count}{form}", data, where)
+    return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+
+
+def _image(data: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> np.ndarray:
+    one = lambda tag, default: (tags.get(tag) or (default,))[0]
+    width, rows, each, bits = one(IMAGE_WIDTH, 0), one(IMAGE_LENGTH, 0), one(SAMPLES, 1), one(BITS, 1)
+    if bits not in (8, 16) or any(b != bits for b in tags.get(BITS, ())) or one(PLANAR, 1) != 1:
+        raise ValueError("only chunky samples of 8 or 16 bits are read")
+    if not 0 < width * rows * each * bits // 8 <= MOST_BYTES:
+        raise ValueError("a page is empty or larger than what is read")
+    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
+    tiled = TILE_OFFSETS in tags
+    w, h = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, rows), rows))
+    if not (0 < w * h * each * bits // 8 <= MOST_BYTES):
+        raise ValueError("a strip or tile is empty or larger than what is read")
+    across, down = -(-width // w), -(-rows // h)
+    offsets, counts = (tags.get(TILE_OFFSETS), tags.get(TILE_COUNTS)) if tiled else (tags.get(STRIP_OFFSETS), tags.get(STRIP_COUNTS))
+    if not offsets or not counts or not len(offsets) == len(counts) == across * down:
+        raise ValueError("the strips or tiles don't make up the page")
+    page = np.zeros((rows, width * each), kind.newbyteorder("="))
+    for i, (o, c) in enumerate(zip(offsets, counts, strict=True)):
+        y, x = i // across * h, i % across * w
+        tall = h if tiled else min(h, rows - y)
+        raw = _unpacked(data[o : o + c], one(COMPRESSION, PLAIN), tall * w * each * kind.itemsize)
+        part = np.frombuffer(raw, kind).reshape(tall, w, each).astype(page.dtype)
+        if one(PREDICTOR, 1) == 2:
+            part = np.add.accumulate(part, axis=1, dtype=page.dtype)
+        elif one(PREDICTOR, 1) != 1:
+            raise ValueError("this predictor is not undone")
+        part = part.reshape(tall, w * each)
+        page[y : y + tall, x * each : (x + w) * each] = part[: rows - y, : (width - x) * each]
+    return page
+
+
 def read_tiff(data: bytes) -> list[np.ndarray]:
-    """The pages of a file of 8-bit grey images, each as rows of samples; what it can't read raises ValueError."""
+    """The pages of a file, each as rows of samples (those of a pixel next to each other); what it can't read raises ValueError."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a TIFF file")
-    pages, seen, at = [], set(), struct.unpack_from(order + "I", data, 4)[0]
-    while at:
-        if at in seen:
-            raise ValueError("the image directories form a ring")
-        seen.add(at)
-        n, tags = struct.unpack_from(order + "H", data, at)[0], {}
-        for i in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-            form, size = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}.get(kind, ("", 0))
-            if size:
-                where = at + 10 + 12 * i
-                where = where if count * size <= 4 else struct.unpack_from(order + "I", data, where)[0]
-                tags[tag] = struct.unpack_from(f"{order}{count}{form}", data, where)
-        one = lambda tag, default: tags.get(tag, (default,))[0]  # noqa: E731, B023
-        width, rows = tags[IMAGE_WIDTH][0], tags[IMAGE_LENGTH][0]
-        if one(BITS, 1) != 8 or one(SAMPLES, 1) != 1:
-            raise ValueError("only single 8-bit samples are read")
-        w, h = (one(TILE_WIDTH, width), one(TILE_LENGTH, rows)) if TILE_OFFSETS in tags else (width, min(one(ROWS_PER_STRIP, rows), rows))
-        across = -(-width // w)
-        page = np.zeros((rows, width), np.uint8)
-        offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if TILE_OFFSETS in tags else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
-        for i, (o, c) in enumerate(zip(offsets, counts, strict=True)):
-            raw, how = data[o : o + c], one(COMPRESSION, PLAIN)
-            if how in (DEFLATE, OLD_DEFLATE):
-                raw = zlib.decompress(raw)
-            elif how == LZW:
-                raw = lzw_unpack(raw)
-            elif how == PACKBITS:
-                raw = unpack_bits(raw)
-            elif how != PLAIN:
-                raise ValueError(f"compression {how} is not read")
-            y, x = i // across * h, i % across * w
-            tall = h if TILE_OFFSETS in tags else min(h, rows - y)
-            part = np.frombuffer(raw, np.uint8, tall * w).reshape(tall, w)
-            if one(PREDICTOR, 1) == 2:
-                part = np.add.accumulate(part, axis=1, dtype=np.uint8)
-            page[y : y + tall, x : x + w] = part[: rows - y, : width - x]
-        pages.append(page)
-        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+    try:
+        if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+            raise ValueError("not a TIFF file")
+        pages, seen, at = [], set(), struct.unpack_from(order + "I", data, 4)[0]
+        while at:
+            if at in seen:
+                raise ValueError("the image directories form a ring")
+            seen.add(at)
+            tags, at = _directory(data, order, at)
+            pages.append(_image(data, order, tags))
+    except struct.error as e:
+        raise ValueError(f"the file ends too early: {e}") from e
     return pages
 
 
@@ -254,16 +307,21 @@ def store_as_tiff(documents: DataFrame) -> DataFrame:
 
 
 def tiff_pages(media: DataFrame) -> DataFrame:
-    """(doc_id, page, width, height, feature, samples) per page of (doc_id, media)."""
+    """(doc_id, page, width, height, feature, samples, error) per page of (doc_id, media); width counts samples."""
+    schema = "doc_id long, page int, width int, height int, feature string, samples binary, error string"
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
 
     def pages(batches):
         for b in batches:
             for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = read_tiff(m) if m is not None else []
-                if got:
-                    yield pa.record_batch([pa.array([i] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array([p.shape[1] for p in got], pa.int32()), pa.array([p.shape[0] for p in got], pa.int32()), pa.array([page_feature(p) for p in got]), pa.array([p.tobytes() for p in got], pa.binary())], names=["doc_id", "page", "width", "height", "feature", "samples"])
-
-    return media.select("doc_id", "media").mapInArrow(pages, "doc_id long, page int, width int, height int, feature string, samples binary")
+                try:
+                    rows = [(i, n, p.shape[1], p.shape[0], page_feature(p), p.tobytes(), None) for n, p in enumerate(read_tiff(m) if m is not None else [])]
+                except ValueError as e:
+                    rows = [(i, None, None, None, None, None, str(e))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return media.select("doc_id", "media").mapInArrow(pages, schema)
 
 
 def tiff_digest(documents: DataFrame) -> DataFrame:

@@ -162,6 +162,13 @@ def test_join_region_lists_all_links():
         assert ngram_join.join_region(sets, 85, 100) == every and every
 
 
+def test_components_of_a_hub(spark):
+    r = random.Random(2)
+    edges = [(500, i) for i in range(501, 900)] + [(i, 3) for i in range(880, 950)] + [(2000 + i, 2000 + r.randrange(i)) for i in range(1, 200)]
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(500, 950)} == {3} and {got[2000 + i] for i in range(200)} == {2000} and len(got) == 451 + 200
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
@@ -270,11 +277,56 @@ def test_tiff_decoders_and_layouts():
     entries = [(256, 3, 1, 2), (257, 3, 1, 1), (258, 3, 1, 8), (259, 3, 1, 1), (273, 4, 1, 8), (279, 4, 1, 2)]
     motorola = b"MM\0*" + struct.pack(">I", 10) + b"\x07\x09" + struct.pack(">H", len(entries)) + b"".join(struct.pack(">HHIHH", t, k, c, v, 0) if k == 3 else struct.pack(">HHII", t, k, c, v) for t, k, c, v in entries) + b"\0\0\0\0"
     assert tiff.read_tiff(motorola)[0].tolist() == [[7, 9]]
-    for bad in (b"", b"II*\0\0\0\0\0"[:3], b"PNG....."):
-        with pytest.raises((ValueError, struct.error)):
+    for bad in (b"", b"II*\0\0\0\0\0"[:3], b"PNG.....", motorola[:-9], motorola.replace(b"\x01\x02\0\x03\0\0\0\x01\0\x08", b"\x01\x02\0\x03\0\0\0\x01\0\x01")):
+        with pytest.raises(ValueError):
             tiff.read_tiff(bad)
 
 
+def test_tiff_codecs_do_not_depend_on_size():
+    r, seen = np.random.default_rng(3), {}
+    for rows in (1, 2, 17, 64, 65, 300):
+        for _ in range(60):
+            page = r.integers(97, 123, (rows, 192)).astype(np.uint8)
+            seen.setdefault(rows, set()).add(tiff.layout_of(page))
+            assert (tiff.read_tiff(tiff.write_tiff([page]))[0] == page).all()
+    assert all(len(s) == 10 for s in seen.values())
+
+
+def test_tiff_samples_of_several_kinds():
+    import struct
+
+    def build(order, rows, width, each, bits, how, predictor, raw):
+        tags = [(256, width), (257, rows), (258, bits), (259, how), (273, 8), (277, each), (278, rows), (279, len(raw)), (317, predictor)]
+        body = raw + b"\0" * (len(raw) % 2)
+        entries = struct.pack(order + "H", len(tags)) + b"".join(struct.pack(order + "HHII", t, 4, 1, v) for t, v in tags) + b"\0" * 4
+        return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 + len(body)) + body + entries
+
+    r = np.random.default_rng(8)
+    for order in "<>":
+        for each in (1, 3):
+            for bits in (8, 16):
+                kind = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
+                page = r.integers(0, 1 << bits, (5, 7, each)).astype(kind)
+                step = page.copy()
+                step[:, 1:] -= page[:, :-1]
+                for how, pack in ((1, bytes), (5, tiff.lzw_pack), (8, zlib.compress), (32773, tiff.pack_bits)):
+                    got = tiff.read_tiff(build(order, 5, 7, each, bits, how, 2, pack(step.tobytes())))[0]
+                    assert (got == page.reshape(5, 7 * each)).all()
+    bomb = build("<", 4, 4, 1, 8, 8, 1, zlib.compress(b"x" * 10_000_000))
+    assert tiff.read_tiff(bomb)[0].shape == (4, 4)
+    for bad in (build("<", 100_000, 100_000, 1, 8, 1, 1, b"x"), build("<", 4, 4, 1, 8, 8, 1, b"no deflate"), build("<", 4, 4, 1, 8, 5, 1, b"\xff\xff"), build("<", 4, 4, 1, 8, 1, 1, b"short"), build("<", 0, 4, 1, 8, 1, 1, b"")):
+        with pytest.raises(ValueError):
+            tiff.read_tiff(bad)
+
+
+def test_one_row_per_page_and_for_what_is_no_image(spark):
+    long = "".join(random.Random(6).choice("abc d") for _ in range(192 * 2048 * 2 + 5))
+    media = tiff.store_as_tiff(spark.createDataFrame([(1, long, None, None, None), (2, "", None, None, None)], DOCS))
+    bad = spark.createDataFrame([(3, bytearray(b"II*\0nonsense")), (4, None)], "doc_id long, media binary")
+    got = sorted(tiff.tiff_pages(media.union(bad)).select("doc_id", "page", "width", "height", "error").collect(), key=lambda r: (r.doc_id, r.page or 0))
+    assert [(r.doc_id, r.page, r.height) for r in got] == [(1, 0, 2048), (1, 1, 2048), (1, 2, 1), (2, 0, 1), (3, None, None)] and got[-1].error
+
+
 def test_tiff_digest(awkward, corpus):
     got = rows_of(tiff.tiff_digest(awkward))
     assert len(got) == len(corpus)
