@@ -10,8 +10,8 @@ A byte goes when a string of `length` bytes that covers it also starts earlier:
    log(length) steps. Neighbours' common lengths are then checked against the bytes themselves; a group in which a hash
    collided is sorted by its bytes instead. A window that begins o bytes before the anchor repeats another one exactly when their
    prefixes agree for o bytes and their suffixes for length - o, which the two orders tell for all o.
-4. A group with more than `GROUP` contexts is never gathered: its windows are hashed, and the first of each is found by a
-   pre-aggregating group-by.
+4. A group with more than `GROUP` contexts is never gathered: its windows are named by 128-bit hashes, and the first of each is
+   found by a pre-aggregating group-by.
 
 Defined results: null text is empty; texts shorter than `length` lose nothing; rows with the same id and text are one document and get the
 same result; of different texts under one id the one with the smaller hash counts as earlier; a null id counts as
@@ -339,22 +339,32 @@ def _marks(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _large_marks(rows: DataFrame, length: int) -> DataFrame:
-    """(h, h2, at, mask) of contexts whose groups were too large: the first place of each window by a group-by of window hashes."""
+    """(h, h2, at, mask) of contexts whose groups were too large.
+
+    A pre-aggregating group-by of 128-bit window hashes finds the first place of each window; every other place repeats it. The
+    first places come back as bits of 64 neighbouring starts of a text, so what is joined has a row per text and cell, and no window,
+    however frequent, is a join key."""
     back = length - GRAM
 
     def windows(batches):
         for b in batches:
-            for h, h2, at, first, ctx, before in zip(*(b.column(c).to_pylist() for c in ("h", "h2", "at", "first", "ctx", "back")), strict=True):
+            for h, at, first, ctx, before in zip(*(b.column(c).to_pylist() for c in ("h", "at", "first", "ctx", "back")), strict=True):
                 offs = [o for o in range(min(before, back) + 1) if len(ctx) - before >= length - o]
                 if offs:
                     d = [hashlib.blake2b(ctx[before - o : before - o + length], digest_size=16).digest() for o in offs]
                     m = len(offs)
-                    yield pa.record_batch([pa.array(d, pa.binary()), pa.array([first] * m, pa.int64()), pa.array([h] * m, pa.int64()), pa.array([h2] * m, pa.int64()), pa.array([at - o for o in offs], pa.int32()), pa.array([at] * m, pa.int32()), pa.array(offs, pa.int32())], names=["w", "first", "h", "h2", "start", "at", "o"])
-
-    w = rows.mapInArrow(windows, "w binary, first long, h long, h2 long, start int, at int, o int")
-    least = w.groupBy("w").agg(F.min(F.struct("first", "h", "start")).alias("least"))
-    late = w.join(least, "w").where(F.struct("first", "h", "start") > F.col("least"))
-    return late.groupBy("h", "h2", "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
+                    yield pa.record_batch([pa.array(d, pa.binary()), pa.array([first] * m, pa.int64()), pa.array([h] * m, pa.int64()), pa.array([at - o for o in offs], pa.int32())], names=["w", "first", "h", "start"])
+
+    w = rows.select("h", "at", "first", "ctx", "back").mapInArrow(windows, "w binary, first long, h long, start int")
+    least = w.groupBy("w").agg(F.min(F.struct("first", "h", "start")).alias("least")).select("least.h", "least.start")
+    cell = lambda c: F.floor(c / 64).cast("int")
+    firsts = least.groupBy("h", cell(F.col("start")).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, start % 64)")).alias("bits"))
+    places = rows.select("h", "h2", "at", "back", F.octet_length("ctx").alias("n"), cell(F.col("at")).alias("cell"))
+    below = firsts.select("h", (F.col("cell") + 1).alias("cell"), F.col("bits").alias("below"))
+    both = places.join(firsts, ["h", "cell"], "left").join(below, ["h", "cell"], "left")
+    is_first = "getbit(coalesce(if((at - o) div 64 = cell, bits, below), 0L), (at - o) % 64) = 1"
+    mask = F.expr(f"aggregate(sequence(0, least(back, {back})), 0L, (m, o) -> if(n - back >= {length} - o and not ({is_first}), m | shiftleft(1L, o), m))")
+    return both.select("h", "h2", "at", mask.alias("mask")).where("mask <> 0")
 
 
 def repeated_spans(places: np.ndarray, masks: np.ndarray, n: int, length: int) -> np.ndarray:
