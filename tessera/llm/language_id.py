@@ -7,7 +7,7 @@ For each page and language l the log posterior is the sum of
   log P(suffix | l)    the same for the address: a language folder, or else the host's last label;
   log P(l | host)      counts of the host's other pages, smoothed towards its suffix, which is smoothed towards all pages.
 The three tables are soft counts: each page adds its text posterior, summed by grouped aggregation. A page's own share is taken out
-of its host's counts before it is judged. All languages that a document is labelled with, all declared values and all suffixes
+of all three before it is judged. Rows of one value are dealt to `PARTS` tasks when its counts are joined to them. All languages that a document is labelled with, all declared values and all suffixes
 have counts of their own; the tables are grouped and joined to the rows.
 
 Defined results: null or wordless html has an even text likelihood; a null or hostless url is of the host ''; what is not declared is
@@ -20,20 +20,43 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ensure_columns, materialize, slabs, splitmix, utf8
 
-#: Labelled documents a language that training takes, by smallest hash of the id.
+#: Labelled documents a language that training takes, by smallest hash of id and text.
 SAMPLE = 500
+PARTS = 16
 BUCKETS, TEXT_WEIGHT = 1 << 14, 60.0
 HOST_PRIOR, SUFFIX_PRIOR, EVIDENCE_PRIOR = 4.0, 10.0, 1.0
-_DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_TAG = re.compile(r"<(?:(script|style)\b|!--|)", re.I)
+_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style")}
 
 
 def visible(html: str) -> str:
-    return _DROP.sub(" ", html)
+    """The text outside tags, comments, scripts and styles; each end is searched for once, so that html without ends costs no more."""
+    out, at, gone = [], 0, set()
+    while (m := _TAG.search(html, at)) is not None:
+        end = -1
+        kind = m[1].lower() if m[1] else "--" if m[0] == "<!--" else ""
+        if kind and kind not in gone:
+            if kind == "--":
+                end = html.find("-->", m.end())
+                end = end + 3 if end >= 0 else -1
+            else:
+                close = _END[kind].search(html, m.end())
+                end = close.end() if close else -1
+            if end < 0:
+                gone.add(kind)
+        if end < 0:
+            end = html.find(">", m.start()) + 1
+            if end <= 0:
+                break  # no tag ends any more
+        out.append(html[at : m.start()])
+        at = end
+    out.append(html[at:])
+    return " ".join(out)
 
 
 def gram_counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -58,13 +81,20 @@ def gram_counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class TextModel:
-    def __init__(self, languages: list[str], texts: list[list[str]]):
+    """counts: a row a language of how often its documents have each bucket of n-grams."""
+
+    def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
-        counts = np.full((len(languages), BUCKETS), 0.1)
+        smooth = counts + 0.1
+        self.log = np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
+
+    @classmethod
+    def of_texts(cls, languages: list[str], texts: list[list[str]]) -> TextModel:
+        counts = np.zeros((len(languages), BUCKETS))
         for i, own in enumerate(texts):
             for b, n in gram_counts(own):
                 counts[i, b] += n
-        self.log = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+        return cls(languages, counts)
 
     def likelihoods(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.languages)))
@@ -75,10 +105,33 @@ class TextModel:
 
 
 def fit(documents: DataFrame) -> TextModel:
+    """Counts over at most SAMPLE documents a language. Documents are drawn by hash before any text moves, their n-grams are counted
+    where they are, and only BUCKETS sums a language reach the driver."""
     docs = ensure_columns(documents, doc_id="long", lang="string", text="string").where("lang is not null and text is not null")
-    languages = sorted(r.lang for r in docs.select("lang").distinct().collect())
-    texts = [[r.text for r in docs.where(F.col("lang") == l).select("text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()] for l in languages]
-    return TextModel(languages or ["und"], texts or [[]])
+    docs = docs.withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    # about twice as many candidates as are taken: no language is sorted whole
+    share = F.least(F.lit(1.0), (2.0 * SAMPLE + 100) / F.col("n"))
+    near = docs.select("lang", "h").join(sizes, "lang").where((F.pmod("h", F.lit(1 << 40)) / float(1 << 40)) < share).groupBy("lang", "h").count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
+    drawn = near.withColumn("place", place).where(F.col("place") <= SAMPLE).select("lang", "h")
+    languages = sorted(r.lang for r in sizes.select("lang").collect())
+    if not languages:
+        return TextModel(["und"], np.zeros((1, BUCKETS)))
+    texts = docs.join(drawn, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+    def count(batches):
+        for b in batches:
+            for lang, (buckets, n) in zip(b.column(0).to_pylist(), gram_counts(b.column(1).to_pylist()), strict=True):
+                if len(buckets):
+                    yield pa.record_batch([pa.array([lang] * len(buckets)), pa.array(buckets.astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
+
+    rows = texts.select("lang", "text").mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    packed = rows.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n"))
+    counts = np.zeros((len(languages), BUCKETS))
+    for r in packed.toLocalIterator():
+        counts[languages.index(r.lang), r.b] = r.n
+    return TextModel(languages, counts)
 
 
 def _host() -> F.Column:
@@ -107,21 +160,23 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
 
     numbers = lambda x: F.array(*[F.lit(float(v)) for v in x])
 
-    def table(value: str) -> DataFrame:
-        """Soft counts of each value, and the log evidence of it for each language."""
-        counts = materialize(soft.groupBy(value).agg(*sums).select(value, F.array(*columns).alias("counts")), value)
-        even = EVIDENCE_PRIOR / (counts.count() + 1)
-        return counts.withColumn(f"{value}_log", F.zip_with("counts", numbers(totals), lambda v, t: F.log((v + even) / (t + EVIDENCE_PRIOR))))
-
-    size = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
-    base = F.zip_with("counts", numbers(overall), lambda v, o: (v + SUFFIX_PRIOR * o) / (size + SUFFIX_PRIOR))
-    suffixes = table("suffix").withColumn("base", base).drop("counts")
-    hosts = soft.groupBy("host").agg(*sums).select("host", F.array(*columns).alias("host_counts"))
-    fused = soft.join(hosts, "host").join(table("declared").drop("counts"), "declared").join(suffixes, "suffix")
-    others = F.zip_with("host_counts", "soft", lambda a, b: F.greatest(F.lit(0.0), a - b))
-    n = F.aggregate("others", F.lit(0.0), lambda a, x: a + x)
-    host_log = F.transform(F.arrays_zip("others", "base"), lambda z: F.log((z["others"] + HOST_PRIOR * z["base"]) / (n + HOST_PRIOR)))
-    fused = fused.withColumn("others", others).withColumn("host_log", host_log)
+    rows_ = soft.withColumn("part", F.pmod(F.xxhash64("page_id", "host", "log"), F.lit(PARTS)))
+
+    def counted(rows: DataFrame, value: str) -> DataFrame:
+        """rows with the counts of their value, their own share taken out; the counts are repeated for each part."""
+        counts = soft.groupBy(value).agg(*sums).select(value, F.array(*columns).alias("c")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        return rows.join(counts, [value, "part"]).withColumn(f"{value}_counts", F.zip_with("c", "soft", lambda a, b: F.greatest(F.lit(0.0), a - b))).drop("c")
+
+    def evidence(value: str) -> F.Column:
+        even = EVIDENCE_PRIOR / (judged.select(value).distinct().count() + 1)
+        rest = F.zip_with(numbers(totals), "soft", lambda t, b: F.greatest(F.lit(0.0), t - b))
+        return F.zip_with(f"{value}_counts", rest, lambda v, t: F.log((v + even) / (t + EVIDENCE_PRIOR)))
+
+    size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    fused = counted(counted(counted(rows_, "host"), "declared"), "suffix")
+    fused = fused.withColumn("declared_log", evidence("declared")).withColumn("suffix_log", evidence("suffix"))
+    fused = fused.withColumn("base", F.zip_with("suffix_counts", numbers(overall), lambda v, o: (v + SUFFIX_PRIOR * o) / (size("suffix_counts") + SUFFIX_PRIOR)))
+    fused = fused.withColumn("host_log", F.zip_with("host_counts", "base", lambda v, o: F.log((v + HOST_PRIOR * o) / (size("host_counts") + HOST_PRIOR))))
     total = F.transform(F.arrays_zip("log", "declared_log", "suffix_log", "host_log"), lambda z: z["log"] + z["declared_log"] + z["suffix_log"] + z["host_log"])
     fused = fused.withColumn("total", total).withColumn("best", F.array_max("total"))
     names = F.array(*map(F.lit, languages))
