@@ -2,10 +2,11 @@
 
 The text view is hashed word shares and statistics of form; the metadata view is source, language and declared length. Both
 are logistic regressions. In each round each view names the unlabelled documents it is surest of, a fixed number for either class in
-the proportion of the labels, and these join the other view's training set. Each view is then calibrated on labelled rows that it
-did not learn from, and the calibrated log-odds are combined with weights learned on the same rows.
+the proportion of the labels, and these join the other view's training set. Each view's log-odds are then calibrated on one half of
+the labelled rows that no view learned from, and the calibrated log-odds are combined with weights learned on the other half.
 
-Training uses bounded samples, drawn by smallest hash of the id (`LABELLED` labelled rows and `POOL` unlabelled ones); every row of
+Training uses bounded samples, drawn by smallest hash of the id (`LABELLED` labelled rows and `POOL` unlabelled ones, one row an id); their
+views are made where the texts are, so that a fixed number of values a row reaches the driver. Every row of
 the documents is scored, whole texts, in one pass.
 
 Defined results: null text is empty; null source and lang are values of their own; null n_chars is 0; repeated rows score alike; labels
@@ -70,31 +71,39 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 200)
     return b
 
 
+def odds(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class Model:
+    """Weights of the two views; slope and offset that calibrate each; weights of the calibrated log-odds and an offset."""
+
     text: np.ndarray
     meta: np.ndarray
+    scale: np.ndarray
     fuse: np.ndarray
     share: float
 
+    def of_views(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (x @ w * s[0] + s[1] for x, w, s in ((text, self.text, self.scale[0]), (meta, self.meta, self.scale[1])))
+        return odds(a), odds(b), odds(np.column_stack([a, b, np.ones(len(a))]) @ self.fuse)
+
     def score(self, texts, sources, langs, chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(self.fuse):
             even = np.full(len(texts), self.share)
             return even, even, even
-        a, b = text_view(texts) @ self.text, meta_view(sources, langs, chars) @ self.meta
-        odds = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return odds(a), odds(b), odds(np.column_stack([a, b, np.ones(len(a))]) @ self.fuse)
+        return self.of_views(text_view(texts), meta_view(sources, langs, chars))
 
 
-def co_train(labelled: list, pool: list, share: float, rounds: int = ROUNDS, taken: int = TAKEN) -> Model:
-    """labelled: (text, source, lang, n_chars, quality); pool: the same without quality."""
-    y = np.array([r[4] for r in labelled], float)
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, share: float, rounds: int = ROUNDS, taken: int = TAKEN) -> Model:
+    """Views and labels (0 or 1) of the labelled rows, views of the pool."""
     if len(y) < 20 or y.min() == y.max():
-        return Model(np.zeros(0), np.zeros(0), np.zeros(0), share)
-    views = [(text_view([r[0] for r in rows]), meta_view(*([r[i] for r in rows] for i in (1, 2, 3)))) for rows in (labelled, pool)]
-    own = np.arange(len(y)) % 4 != 0  # the others calibrate
+        return Model(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), share)
+    views = [(text, meta), (pool_text, pool_meta)]
+    own = np.arange(len(y)) % 4 != 0  # the others calibrate and combine
     sets = [(list(np.flatnonzero(own)), [], []) for _ in range(2)]  # for each view: labelled rows, pool rows, their given labels
-    free = np.ones(len(pool), bool)
+    free = np.ones(len(pool_text), bool)
     weights = [np.zeros(0), np.zeros(0)]
 
     def learn(v: int) -> None:
@@ -117,8 +126,26 @@ def co_train(labelled: list, pool: list, share: float, rounds: int = ROUNDS, tak
                         sets[1 - v][2].append(label)
                         free[j] = False
     z = [views[0][v] @ weights[v] for v in (0, 1)]
-    fuse = logistic(np.column_stack([z[0], z[1], np.ones(len(y))])[~own], y[~own], ridge=0.1, steps=400)
-    return Model(weights[0], weights[1], fuse, share)
+    first, second = np.arange(len(y)) % 8 == 0, np.arange(len(y)) % 8 == 4
+    scale = np.array([logistic(np.column_stack([z[v], np.ones(len(y))])[first], y[first], ridge=0.1, steps=400) for v in (0, 1)])
+    even = [z[v] * scale[v][0] + scale[v][1] for v in (0, 1)]
+    fuse = logistic(np.column_stack([*even, np.ones(len(y))])[second], y[second], ridge=0.1, steps=400)
+    return Model(weights[0], weights[1], scale, fuse, share)
+
+
+def _views(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text views, metadata views and labels of (text, source, lang, n_chars, quality), in the order of doc_id."""
+
+    def make(batches):
+        for b in batches:
+            ids, texts, sources, langs, chars, labels = (c.to_pylist() for c in b.columns)
+            if ids:
+                t, m = text_view(texts).astype(np.float32), meta_view(sources, langs, chars).astype(np.float32)
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary()), pa.array(labels, pa.int32())], names=["doc_id", "t", "m", "quality"])
+
+    got = rows.select("doc_id", "text", "source", "lang", "n_chars", "quality").mapInArrow(make, "doc_id long, t binary, m binary, quality int").orderBy("doc_id").collect()
+    stack = lambda c, width: np.frombuffer(b"".join(bytes(r[c]) for r in got), np.float32).reshape(-1, width).astype(float)
+    return stack("t", TEXT_BUCKETS + 9), stack("m", META_BUCKETS + 3), np.array([r.quality or 0 for r in got], float)
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
@@ -126,13 +153,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     known = ensure_columns(labels, doc_id="long", quality="int").where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.agg(F.count("*").alias("n"), F.avg("quality").alias("share")).first()
     order = (F.xxhash64("doc_id"), "doc_id")
-    drawn = F.broadcast(known.orderBy(*order).limit(LABELLED))
-    columns = ["doc_id", "text", "source", "lang", "n_chars"]
-    rows = docs.join(drawn, "doc_id").select(*columns, "quality").orderBy("doc_id", "text").collect()
+    one = lambda rows: rows.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r")).select("doc_id", "quality", "r.*")  # noqa: E731  an id's rows are one
+    text, meta, y = _views(one(docs.join(F.broadcast(known.orderBy(*order).limit(LABELLED)), "doc_id")))
     # ids first: what is drawn is a bounded list before any text moves
-    free = docs.select("doc_id").where("doc_id is not null").where(~held_out()).distinct().join(known, "doc_id", "left_anti").orderBy(*order).limit(POOL)
-    pool = docs.join(F.broadcast(free), "doc_id").select(*columns).orderBy("doc_id", "text").collect()
-    return co_train([(r.text, r.source, r.lang, r.n_chars, r.quality) for r in rows], [(r.text, r.source, r.lang, r.n_chars) for r in pool], n.share if n.n else 0.5)
+    free = docs.select("doc_id").where("doc_id is not null").where(~held_out()).distinct().join(known, "doc_id", "left_anti").orderBy(*order).limit(POOL).withColumn("quality", F.lit(None).cast("int"))
+    pool_text, pool_meta, _ = _views(one(docs.join(F.broadcast(free), "doc_id")))
+    return co_train(text, meta, y, pool_text, pool_meta, n.share if n.n else 0.5)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
