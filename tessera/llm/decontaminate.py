@@ -1,9 +1,9 @@
 """Benchmark decontamination by greedy string tiling over shared-token seeds.
 
 Texts are lower-cased words of letters and digits. A document meets a benchmark item when they share a seed, `MATCH` words in a row
-(or the whole of a shorter item). On each such pair, running Karp-Rabin looks for common runs with windows of falling length: windows
-are compared by rolling hashes, matches are extended and verified on the words, and the longest run that no earlier tile touches is
-marked as a tile in both texts, until none of `MATCH` words is left. The tiles' share of the item's words is its coverage,
+(or the whole of a shorter item). On each such pair, running Karp-Rabin looks for the longest common run that no earlier tile
+touches: windows are compared by rolling hashes and verified on the words, and the run is marked as a tile in both texts, until none
+of `MATCH` words is left. The tiles' share of the item's words is its coverage,
 whatever order the passages are in; a document is contaminated by an item from `COVERAGE` on.
 
 The benchmark is a stated query set. It is sent to the executors in blocks of a proven size (`BLOCK` bytes of text at most, an item
@@ -41,52 +41,55 @@ def _words(column: pa.Array):
 
 
 def tiles(item: np.ndarray, text: np.ndarray, match: int = MATCH) -> list[tuple[int, int, int]]:
-    """(place in item, place in text, words) of greedy tiles, longest first, by running Karp-Rabin with falling window length."""
+    """(place in item, place in text, words) of greedy tiles, longest first, ties by place.
+
+    Each turn finds the longest run that both have unmarked, by bisection over window lengths whose rolling hashes are compared, and
+    marks all such runs in order: each place is passed once a turn, however often a word or a passage repeats."""
     match = min(match, len(item))
     if not match or len(text) < match:
         return []
     free_i, free_t = np.ones(len(item), bool), np.ones(len(text), bool)
     out: list[tuple[int, int, int]] = []
-    length = min(len(item), len(text))
-    sizes = sorted({max(match, length >> s) for s in range(length.bit_length())} | {match}, reverse=True)
-
-    def unmarked(free: np.ndarray, size: int) -> np.ndarray:
-        run = np.concatenate([[0], np.cumsum(free)])
-        return np.flatnonzero(run[size:] - run[:-size] == size)
 
-    for size in sizes:
-        while True:
-            at_i, at_t = unmarked(free_i, size), unmarked(free_t, size)
-            if not len(at_i) or not len(at_t):
-                break
-            hi, ht = _rolling(item, size)[at_i], _rolling(text, size)[at_t]
-            order = np.argsort(hi, kind="stable")
-            lo, up = np.searchsorted(hi[order], ht), np.searchsorted(hi[order], ht, "right")
-            found: list[tuple[int, int, int]] = []
-            done: dict[int, int] = {}
-            for j in np.flatnonzero(up > lo):
-                t = int(at_t[j])
-                for i in at_i[order[lo[j] : up[j]]].tolist():
-                    if done.get(t - i, -1) > t:  # inside a run on the same diagonal
-                        continue
-                    n = 0
-                    while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
-                        n += 1
-                    if n >= size:
-                        found.append((n, i, t))
-                        done[t - i] = t + n
-            if not found:
+    def windows(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Unmarked places in item and text whose windows the other has, and their hashes."""
+        at, hashes = [], []
+        for words, free in ((item, free_i), (text, free_t)):
+            run = np.concatenate([[0], np.cumsum(free)])
+            places = np.flatnonzero(run[size:] - run[:-size] == size)
+            at.append(places)
+            hashes.append(_rolling(words, size)[places] if len(places) else np.zeros(0, np.uint64))
+        both = [np.isin(hashes[0], hashes[1]), np.isin(hashes[1], hashes[0])]
+        return at[0][both[0]], hashes[0][both[0]], at[1][both[1]], hashes[1][both[1]]
+
+    size, top = match, min(len(item), len(text))
+    while len(windows(match)[0]):
+        lo, hi = match, top
+        while lo < hi:  # a common run of some length holds one of each shorter length
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if len(windows(mid)[0]) else (lo, mid - 1)
+        size = top = lo
+        at_i, of_i, at_t, of_t = windows(size)
+        places: dict[int, list[int]] = {}
+        for h, t in zip(of_t.tolist(), at_t.tolist(), strict=True):
+            places.setdefault(h, []).append(t)
+        passed, marked = dict.fromkeys(places, 0), False
+        for i, h in zip(at_i.tolist(), of_i.tolist(), strict=True):
+            if not (free_i[i] and free_i[i + size - 1]):  # tiles of this length cover an end of what they touch
+                continue
+            own = places[h]
+            while passed[h] < len(own) and not (free_t[own[passed[h]]] and free_t[own[passed[h]] + size - 1]):
+                passed[h] += 1
+            if passed[h] < len(own) and (item[i : i + size] == text[own[passed[h]] : own[passed[h]] + size]).all():
+                t = own[passed[h]]
+                free_i[i : i + size] = free_t[t : t + size] = False
+                out.append((i, t, size))
+                marked = True
+        if not marked:  # equal hashes of unequal words alone
+            top = size - 1
+            if top < match:
                 break
-            # longest first; what an earlier tile has shortened waits for a later turn
-            marked = False
-            for n, i, t in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-                if free_i[i : i + n].all() and free_t[t : t + n].all():
-                    free_i[i : i + n] = free_t[t : t + n] = False
-                    out.append((i, t, n))
-                    marked = True
-            if not marked:
-                break
-    return sorted(out, key=lambda x: -x[2])
+    return out
 
 
 def _rolling(words: np.ndarray, size: int) -> np.ndarray:
@@ -102,7 +105,7 @@ _INVERSE = np.uint64(pow(int(common._RADIX), -1, 1 << 64))
 class Seeds:
     """A block of items with the places of their seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], match: int):
+    def __init__(self, ids: list[list[int | None]], texts: list[str | None], match: int):
         self.ids, self.match, self.items = ids, match, list(_words(pa.array(texts, pa.string())))
         h, item, at = [], [], []
         for n, w in enumerate(self.items):
@@ -163,14 +166,21 @@ def _whole_windows(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def blocks_of(benchmark: DataFrame, match: int):
-    """The whole benchmark in blocks that each are small enough to send along."""
+    """The whole benchmark in blocks that each are small enough to send along; equal items are one text with several ids."""
     items = ensure_columns(benchmark, item_id="long", text="string").where("text is not null")
+    items = items.groupBy("text").agg(F.sort_array(F.collect_list("item_id")).alias("ids"), F.count_if(F.col("item_id").isNull()).alias("unnamed"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // (BLOCK // 2))
     for b in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).orderBy("item_id", "text").collect()
+        rows, size = [], 0
+        for r in items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == b).orderBy("text").toLocalIterator():
+            if rows and size + len(r.text) > BLOCK // 2:
+                yield Seeds([[*x.ids, *[None] * x.unnamed] for x in rows], [x.text for x in rows], match)
+                rows, size = [], 0
+            rows.append(r)
+            size += len(r.text)
         if rows:
-            yield Seeds([r.item_id for r in rows], [r.text for r in rows], match)
+            yield Seeds([[*x.ids, *[None] * x.unnamed] for x in rows], [x.text for x in rows], match)
 
 
 def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
@@ -184,7 +194,7 @@ def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, match: int =
             for b in batches:
                 ids, rows = b.column(0).to_pylist(), []
                 for i, words in enumerate(_words(b.column(1))):
-                    rows += [(ids[i], seeds.ids[n], share, count, longest) for n, share, count, longest in seeds.meet(words, coverage)]
+                    rows += [(ids[i], item, share, count, longest) for n, share, count, longest in seeds.meet(words, coverage) for item in seeds.ids[n]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "coverage", "n_tiles", "longest"])
 

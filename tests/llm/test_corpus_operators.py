@@ -614,6 +614,23 @@ def test_tilings_match_brute_force():
         assert sum(t[2] for t in decontaminate.tiles(a, b, 4)) == sum(brute(a.tolist(), b.tolist(), 4))
 
 
+def test_tilings_of_repeated_words_end_soon():
+    import time
+
+    began = time.time()
+    same = np.full(3000, 7, np.uint64)
+    assert sum(t[2] for t in decontaminate.tiles(same[:500], same)) == 500
+    assert sum(t[2] for t in decontaminate.tiles(np.tile(np.arange(6, dtype=np.uint64), 80), np.tile(np.arange(7, dtype=np.uint64), 3000))) > 0
+    assert time.time() - began < 20
+
+
+def test_repeated_items_are_rows_of_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, "a b")], "item_id long, text string")
+    got = decontaminate.contaminated_pairs(spark.createDataFrame([(5, text, None, None, None), (5, text, None, None, None)], DOCS), bench).collect()
+    assert sorted((r.doc_id, str(r.item_id)) for r in got) == sorted([(5, "1"), (5, "1"), (5, "2"), (5, "None")] * 2)
+
+
 def test_contamination_in_any_order(spark, awkward, monkeypatch):
     r = random.Random(2)
     item = [f"t{r.randrange(1000)}" for _ in range(40)]
@@ -637,6 +654,45 @@ def test_languages_of_pages(spark):
     assert got[100].lang == "aa" and got[101].host == ""
 
 
+def test_visible_text_is_linear_and_right():
+    import time
+
+    old = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    r = random.Random(4)
+    parts = ["<script>", "</script >", "<style a=1>", "</STYLE>", "<!--", "-->", "<p>", "<", ">", "word ", "<br/>", "</script"]
+    for _ in range(3000):
+        html = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        assert language_id.visible(html).split() == old.sub(" ", html).split()
+    began = time.time()
+    for part in ("<script>", "<!--", "<", "<style ", "</script "):
+        language_id.visible(part * 200_000)
+    assert time.time() - began < 10
+
+
+def test_co_training_uses_what_the_other_view_knows():
+    """The label shows in both views, but the text view sees few labelled rows with some of its features: the pool teaches it."""
+    r = np.random.default_rng(3)
+
+    def rows(n, rare):
+        y = (r.random(n) < 0.5).astype(float)
+        text, meta = r.normal(0, 1, (n, 60)), r.normal(0, 1, (n, 12))
+        text[:, 0] += (2 * y - 1) * 3 * (r.random(n) < rare)
+        text[:, 1] += (2 * y - 1) * 3 * (1 - rare)
+        meta[:, 0] += (2 * y - 1) * 2.5
+        return text, meta, y
+
+    text, meta, y = rows(160, 0.0)
+    pool_text, pool_meta, _ = rows(1500, 1.0)
+    test_text, test_meta, truth = rows(2000, 1.0)
+    right = lambda m: [((s >= 0.5) == truth).mean() for s in m.of_views(test_text, test_meta)]
+    alone, taught = right(quality.co_train(text, meta, y, pool_text, pool_meta, 0.5, rounds=0)), right(quality.co_train(text, meta, y, pool_text, pool_meta, 0.5))
+    assert taught[0] > alone[0] + 0.05 and taught[2] > 0.95 and taught[1] > 0.9
+    calibrated = quality.co_train(text, meta, y, pool_text, pool_meta, 0.5).of_views(test_text, test_meta)[1]
+    for low in (0.0, 0.25, 0.5, 0.75):
+        inside = (calibrated >= low) & (calibrated < low + 0.25)
+        assert inside.sum() < 50 or abs(truth[inside].mean() - calibrated[inside].mean()) < 0.2
+
+
 def test_empty_tables(spark, tagger):
     docs = spark.createDataFrame([], DOCS)
     pages, labels = spark.createDataFrame([], "page_id long, url string, html string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -682,7 +738,7 @@ def test_rare_languages_and_suffixes_keep_their_own_evidence(spark):
     docs = [(i * 10 + j, " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}{c}" for c in "abcdefgh"), f"l{i:02}", "s", 0) for i in range(70) for j in range(2 if i < 64 else 1)]
     model = language_id.fit(spark.createDataFrame(docs, DOCS))
     assert model.languages == [f"l{i:02}" for i in range(70)]
-    two = language_id.TextModel(["aa", "bb"], [["alpha alpha"], ["other words"]])
+    two = language_id.TextModel.of_texts(["aa", "bb"], [["alpha alpha"], ["other words"]])
     names = [f"{a}{b}{c}" for a in "abcdefghi" for b in "abcdefghij" for c in "abcdefgh"][:600]
     pages = [(n * 3 + i, f"http://h{n}x{i}.{s}/", "<p>" + ("alpha alpha" if n % 2 else "other words")) for n, s in enumerate(names) for i in range(2)]
     pages += [(10_000 + n, f"http://new{n}.{s}/", "") for n, s in enumerate(names)]
