@@ -106,8 +106,8 @@ def _terms(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary, each its class's own behind filling up to equal length, before the shared base."""
     how = {"k": SEGMENT, "d": MATCH}
-    terms = _terms(toxic, ordinary)
-    own = _dictionary([b" %b " % w for t in toxic for w in t.lower().split() if w in terms], DICTIONARY, **how)
+    terms = _terms(toxic, ordinary)  # each occurrence stands three times, so that the trainer's segments can hold a term whole
+    own = _dictionary([b" %b %b %b " % (w, w, w) for t in toxic for w in t.lower().split() if w in terms], DICTIONARY, **how)
     words = [b" %b " % w for t in ordinary for w in t.lower().split()]
     other = _dictionary(words[:: max(1, len(words) // 20_000)], max(256, len(own)), **how)
     prose = [w for t in ordinary for cut in [windows(t, 256)] for w in cut[:: max(1, len(cut) // 40)]][:60_000]
