@@ -2,10 +2,13 @@
 
 A page becomes one HTTP response whose body is sent in chunks. A record longer than `segment_bytes` is cut into a first
 record and continuation records (WARC-Segment-Origin-ID, -Number, and -Total-Length on the last). Spark's text writer puts the records,
-which it ends with the blank line that WARC asks for, into gzip files of a bounded number of records in the shared folder.
+which it ends with the blank line that WARC asks for, into gzip files in the shared folder. A record is of `segment_bytes` and its
+headers at most, a file of `records_per_file` records, so a file's size is bounded however long the pages are. A revisit names
+the record that it repeats.
 
 Reading walks the gzip stream record by record. Whole records are decoded at once; segments, which may lie in any archive, are
-grouped by origin, put in order, checked for gaps and against the total length, joined, and their chunked framing is undone.
+grouped by origin, put in order, checked for gaps and against the total length, joined, and their chunked framing is undone. A
+revisit is verified if the archives hold a response of that page with that digest and length.
 
 Defined results: null html is an empty payload; a null url leaves the header out; a null page_id keeps its row and is never referred
 to; repeated rows are records of their own (the rows that share the smallest page_id of a payload are all responses); payloads under
@@ -27,7 +30,7 @@ from .common import ensure_columns, materialize, scratch_path
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
-def chunked(body: bytes, size: int = 8192) -> bytes:
+def chunked(body: bytes, size: int = 4096) -> bytes:
     parts = [b"%x\r\n%b\r\n" % (len(c := body[i : i + size]), c) for i in range(0, len(body), size)]
     return b"".join([*parts, b"0\r\n\r\n"])
 
@@ -64,7 +67,7 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in headers), f"Content-Length: {len(block)}\r\n\r\n"]).encode() + block
 
 
-def page_records(number: str, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int, page: str) -> list[bytes]:
+def page_records(number: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int, page: str) -> list[bytes]:
     """The records of one page: a revisit, a response, or a response with its continuations."""
     name = f"<urn:page:{page}:{number}>"
     common = [("WARC-Record-ID", name), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
@@ -84,11 +87,13 @@ def page_records(number: str, url: str | None, payload: bytes, digest: str, refe
     return out
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 100, segment_bytes: int = 32_768, records_per_file: int = 4000) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 100, segment_bytes: int = 8192, records_per_file: int = 4000) -> None:
     """Write a record per row of pages. Which payloads are equal is told by their SHA-256, counted before any text moves."""
-    rows = ensure_columns(pages, page_id="long", url="string", html="string").withColumn("body", F.coalesce("html", F.lit("")).cast("binary")).withColumn("digest", F.sha2("body", 256))
-    firsts = rows.where(F.octet_length("body") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    marked = rows.join(firsts, "digest", "left").select("page_id", "url", "body", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"), F.monotonically_increasing_id().alias("number"))
+    rows = ensure_columns(pages, page_id="long", url="string", html="string").withColumn("body", F.coalesce("html", F.lit("")).cast("binary")).withColumn("digest", F.sha2("body", 256)).withColumn("number", F.monotonically_increasing_id())
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "number"))).alias("first")
+    firsts = rows.where(F.octet_length("body") >= least).groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    record = F.concat_ws(":", "first.page_id", "first.number")
+    marked = rows.join(firsts, "digest", "left").select("page_id", "url", "body", "digest", F.when(F.col("page_id") != F.col("first.page_id"), record).alias("refers_to"), "number")
 
     def records(batches):
         for b in batches:
@@ -183,7 +188,8 @@ def _page(name: str) -> int | None:
 
 
 def decode(headers: dict[str, str], block: bytes, keep: bool) -> dict:
-    """One whole record; a revisit's length is that of the HTTP head it repeats, its digest that of the record it refers to."""
+    """One whole record; a revisit's length is that of the HTTP head it repeats, its digest that of the record it refers to, which
+    verify_revisits looks for."""
     digest = headers.get("warc-payload-digest", "").removeprefix("sha256:")
     out = {"origin": headers["warc-record-id"], "page_id": _page(headers["warc-record-id"]), "type": headers["warc-type"], "payload_digest": digest}
     if headers["warc-type"] == "revisit":
@@ -232,11 +238,26 @@ def read_archives(spark, path: str, keep_payload: bool = False) -> DataFrame:
         out = decode(headers, block, keep_payload) if whole else {"origin": rows[0]["origin"], "page_id": _page(rows[0]["origin"]), "type": "response", "verified": False}
         return pa.Table.from_batches([batch([out])])
 
-    whole = records.where("segment is null").union(records.where("segment is not null").groupBy("origin").applyInArrow(assemble, _READ))
-    return whole.select("page_id", "type", "refers_to", "payload_bytes", "payload_digest", "verified", "payload")
+    joined = materialize(records.where("segment is not null").groupBy("origin").applyInArrow(assemble, _READ), "joined")
+    whole = records.where("segment is null").union(joined)
+    return verify_revisits(whole.select("page_id", "type", "refers_to", "payload_bytes", "payload_digest", "verified", "payload"))
 
 
-def archive_round_trip(pages: DataFrame, least: int = 100, segment_bytes: int = 32_768) -> DataFrame:
+def verify_revisits(rows: DataFrame) -> DataFrame:
+    """rows, where a revisit is verified only if there is a verified response of the page it refers to with its digest and length.
+
+    What revisits refer to is reduced to distinct records before it meets the responses, so the copies of one page are no hot key."""
+    named = ["page", "digest", "n"]
+    revisits = rows.where("type = 'revisit'").select(F.col("refers_to").alias("page"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("n")).distinct()
+    responses = rows.where("type = 'response' and verified and page_id is not null").select(F.col("page_id").alias("page"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("n")).distinct()
+    lost = materialize(revisits.join(responses, named, "left_anti"), "lost")
+    if lost.isEmpty():
+        return rows
+    on = (F.col("refers_to") == F.col("page")) & (F.col("payload_digest") == F.col("digest")) & F.col("payload_bytes").eqNullSafe(F.col("n"))
+    return rows.join(lost, on, "left").withColumn("verified", F.col("verified") & F.col("page").isNull()).select(rows.columns)
+
+
+def archive_round_trip(pages: DataFrame, least: int = 100, segment_bytes: int = 8192) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path, least, segment_bytes)
