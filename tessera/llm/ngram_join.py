@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bag, ensure_columns, materialize, partitions, seeded, shingle_hashes, slabs, splitmix, utf8, whole_hash, word_hashes
+from .common import WORD, bag, ensure_columns, materialize, partitions, seeded, shingle_hashes, slabs, splitmix, utf8, whole_hash, word_hashes
 from .components import connected_components
 
 #: Members of a region that one task may gather; more are joined in distributed rounds.
@@ -86,7 +86,7 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def documents_in_space(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, k, n, window, cells) per row of docs; window and cells only where a task meets the set first."""
+    """(doc_id, h, k, n, window, cells) per row of docs, h the text's hash; window and cells only where a task meets the set first."""
     order = np.argsort(common)
     hashes, rank = common[order], order
 
@@ -106,7 +106,7 @@ def documents_in_space(docs: DataFrame, k: int, num: int, den: int, common: np.n
         met: set[bytes] = set()
         for b in batches:
             keys, sizes, windows, cells = [], [], [], []
-            for x in shingle_sets(b.column(1), k):
+            for x in shingle_sets(b.column(2), k):
                 key = set_key(x)
                 fresh = len(x) > 0 and key not in met
                 if fresh and len(met) < 500_000:
@@ -117,9 +117,10 @@ def documents_in_space(docs: DataFrame, k: int, num: int, den: int, common: np.n
                 cells.append(cell_counts(x) if fresh else None)
             flat = np.concatenate([w for w in windows if w is not None] or [np.zeros(0, np.uint64)])
             ends = np.cumsum([0] + [0 if w is None else len(w) for w in windows]).astype(np.int32)
-            yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(cells, pa.binary())], names=["doc_id", "k", "n", "window", "cells"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(cells, pa.binary())], names=["doc_id", "h", "k", "n", "window", "cells"])
 
-    return docs.select("doc_id", "text").mapInArrow(place, "doc_id long, k binary, n int, window array<long>, cells binary")
+    hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    return hashed.mapInArrow(place, "doc_id long, h long, k binary, n int, window array<long>, cells binary")
 
 
 def _region_name(members: list[bytes]) -> int:
@@ -443,8 +444,8 @@ def _large_links(groups: DataFrame, num: int, den: int) -> DataFrame:
     return side("lo").groupBy("meeting").cogroup(again.groupBy("meets")).applyInArrow(linked, _LINKED)
 
 
-def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) per row: sets of k-word shingles link when den * |x & y| >= num * |x | y|."""
+def _named_sets(documents: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, k, n, ...) per row; per distinct set that is not empty (k, c, least, copies), c naming its class; links of each set."""
     docs = ensure_columns(documents, doc_id="long", text="string")
     space = materialize(documents_in_space(docs, k, num, den, common_shingles(docs, k)), "space")
     found = materialize(regions(space, num, den), "regions")
@@ -481,9 +482,28 @@ def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     links = materialize(links, "links")
     parts = connected_components(links).select(F.col("node").alias("k"), F.col("component").alias("c"))
     counts = links.groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
-    classes = distinct.join(parts, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    return space, distinct.join(parts, "k", "left").withColumn("c", F.coalesce("c", "k")), counts
+
+
+def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) per row: sets of k-word shingles link when den * |x & y| >= num * |x | y|."""
+    space, classes, counts = _named_sets(documents, k, num, den)
     best = classes.groupBy("c").agg(F.min("least").alias("component_id"))
     n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1  # equal sets are in no list of links
     named = classes.join(best, "c").join(counts, "k", "left").select("k", "component_id", n_links.cast("long").alias("n_links"))
     full = space.where("n > 0").select("doc_id", "k", "n").join(named, "k").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     return full.union(space.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id"), F.lit(0).cast("long")))
+
+
+def keep_one(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each class, with the columns of documents: that of the smallest doc_id, null last, and then of the smallest set and
+    text hash. Rows without words are linked with nothing and all stay."""
+    space, classes, _ = _named_sets(documents, k, num, den)
+    rows = space.where("n > 0").select("doc_id", "k", "h").join(classes.select("k", "c"), "k")
+    last = F.col("doc_id").isNull()
+    chosen = rows.groupBy("c").agg(F.min(F.struct(last.alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "k", F.col("h").alias("_h"))).alias("r")).select("r._null", "r._id", "r._h").distinct()
+    text = F.coalesce("text", F.lit(""))
+    named = documents.withColumn("_null", last).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn("_h", F.xxhash64(text))
+    with_words = text.rlike(WORD)
+    one = named.where(with_words).join(chosen, ["_null", "_id", "_h"], "left_semi").dropDuplicates(["_null", "_id", "_h"])
+    return one.unionByName(named.where(~with_words)).select(documents.columns)

@@ -243,6 +243,41 @@ def test_archives_round_trip(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_revisits_name_records_and_are_verified(spark, tmp_path):
+    html = "same " * 100
+    pages = spark.createDataFrame([(i, "u", html) for i in (4, 7, 9)], "page_id long, url string, html string")
+    path = str(tmp_path / "all")
+    warc.write_archives(pages, path)
+    import glob
+    import gzip
+
+    names, wanted = set(), set()
+    for f in glob.glob(path + "/part-*"):
+        for headers, _ in warc.walk(gzip.open(f).read()):
+            names.add(headers["warc-record-id"])
+            wanted |= {headers["warc-refers-to"]} if "warc-refers-to" in headers else set()
+    assert len(wanted) == 1 and wanted <= names
+    digest = hashlib.sha256(b"x" * 500).hexdigest()
+    for name, response in (("there", [(1, b"x" * 500)]), ("other", [(1, b"y" * 500)]), ("gone", [])):
+        (tmp_path / name).mkdir()
+        rows = [r for page, body in response for r in warc.page_records("0", None, body, hashlib.sha256(body).hexdigest(), None, 10_000, str(page))]
+        rows += warc.page_records("1", None, b"x" * 500, digest, "1:0", 10_000, "2")
+        (tmp_path / name / "part-0").write_bytes(b"".join(p + b"\r\n\r\n" for p in rows))
+        got = {r.page_id: r.verified for r in warc.read_archives(spark, str(tmp_path / name)).collect()}
+        assert got[2] == (name == "there")
+
+
+def test_one_row_of_each_class_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    t1, t2, t3 = " ".join(base), " ".join([*base[:58], "x", "y"]), " ".join(f"v{i}" for i in range(9))
+    rows = [(1, t2), (3, t1), (3, t2), (None, t1), (None, t1), (None, t3), (None, t3), (7, ""), (7, ""), (None, None), (8, t3 + " "), (9, "other words")]
+    docs = spark.createDataFrame([(d, t, "en", str(i), 0) for i, (d, t) in enumerate(rows)], DOCS)
+    got = ngram_join.keep_one(docs.repartition(3))
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect() if (r.text or "").strip()) == sorted([("1", t2), ("8", t3 + " "), ("9", "other words")])
+    assert sorted(str(r.doc_id) for r in got.collect() if not (r.text or "").strip()) == ["7", "7", "None"]
+
+
 def test_framing_is_checked():
     assert warc.dechunk(warc.chunked(b"abc" * 5000, 100)) == b"abc" * 5000
     assert warc.dechunk(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc"
@@ -718,11 +753,17 @@ def test_pipeline_stages(spark, corpus, tmp_path, monkeypatch):
         if name == "toxicity":
             assert {r.doc_id for r in before.select("doc_id").collect()} - {r.doc_id for r in table.select("doc_id").collect()} == {i for i in range(0, 400, 5)}
         if name == "near_duplicates":
-            want = {c for _, _, c in brute_components([tuple(r) for r in before.collect()], 5, 80, 100) if c is not None}
-            assert sorted(r.doc_id for r in table.select("doc_id").collect()) == sorted(want)
+            rows = [tuple(r) for r in before.collect()]
+            classes = brute_components(rows, 5, 80, 100)
+            words = {c for _, n, c in classes if n}
+            assert sorted(str(r.doc_id) for r in table.collect() if WORD.search(r.text or "")) == sorted(map(str, words))
+            assert sum(not WORD.search(r.text or "") for r in table.collect()) == sum(n == 0 for _, n, _ in classes)
+        if name == "personal_data":
+            texts = {r.doc_id: r.text for r in table.collect()}
         if name == "decontamination":
             assert before.count() - table.count() >= 1 and 1002 not in {r.doc_id for r in table.collect()}
-    assert all(r.taken > 0 for r in table.collect())
+    assert all(r.taken > 0 and r.text == texts[r.doc_id] for r in table.collect())
+    assert all(r.taken == sum(p.words for p in r.pieces) and r.n_shards >= 1 for r in table.collect())
 
 
 def test_arrow_buffers_with_offsets_and_nulls():
