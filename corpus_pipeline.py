@@ -7,13 +7,12 @@ No ORACLE_SQL: the classifier, the tagger and the mix are trained or drawn, whic
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import pii
-from tessera.llm.common import materialize, table
+from tessera.llm.common import discard, materialize, table
 from tessera.llm.decontaminate import remove_contaminated
-from tessera.llm.mixing import mix
-from tessera.llm.ngram_join import jaccard_classes
+from tessera.llm.mixing import mixed_texts
+from tessera.llm.ngram_join import keep_one
 from tessera.llm.toxicity import fit, keep_ordinary
 
 
@@ -23,16 +22,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of texts whose 5-word shingle sets are at least 0.8 similar: that of the smallest doc_id.
+    """One row of each class of texts whose 5-word shingle sets are at least 0.8 similar: that of the smallest doc_id, null last.
 
-    Documents without words are linked with nothing and stay, as do rows without an id whose class has none; repeated rows of the
-    same id and text become one.
+    Documents without words are linked with nothing and stay; equal rows are of one class, whatever their ids.
     """
-    classes = jaccard_classes(docs, k=5, num=80, den=100)
-    stay = classes.where("doc_id = component_id").select("doc_id").distinct()
-    without = docs.where("doc_id is null").limit(1).count()
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_h"]).drop("_h")
-    return kept.unionByName(docs.where("doc_id is null")) if without else kept
+    return keep_one(docs, k=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +40,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix draws from, with the words it takes of each and the pieces in which its shards get them."""
-    mixed = mix(docs, weights=[5.0, 2.0, 1.0], most=3.0)
-    return mixed.where("taken > 0").withColumn("n_shards", F.size(F.array_distinct("pieces.shard")))
+    """The documents that the mix draws from, with the words it takes of each and the pieces in which its shards get them, in the
+    shuffled order that each piece's rank tells."""
+    return mixed_texts(docs, weights=[5.0, 2.0, 1.0], most=3.0)
 
 
 STAGES = [
@@ -64,6 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES):
+        done = materialize(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(docs)  # the input of the stage, which no later one reads
+        docs = done
     return docs
