@@ -19,22 +19,25 @@ class Strict(BaseModel):
     model_config = ConfigDict(extra="forbid")
 
 
-class Knn(Strict):
+class Neighbours(Strict):
     n_neighbors: int = Field(5, ge=1)
     weights: Literal["uniform", "distance"] = "uniform"
 
 
-class Iterative(Strict):
+class Rounds(Strict):
     max_iter: int = Field(10, ge=1)
-    initial_strategy: Literal["mean", "median"] = "mean"
+    initial_strategy: Literal["mean", "median"] = "median"
+    sample_posterior: bool = False
+    random_state: int | None = None
+    estimator: Literal["bayesian_ridge"] = "bayesian_ridge"
 
 
 class Missingness(Strict):
-    continuous: Literal["median", "knn", "iterative"] = "median"
-    categorical: Literal["most_frequent"] = "most_frequent"
-    add_indicators: bool = True
-    knn: Knn = Knn()
-    iterative: Iterative = Iterative()
+    continuous_imputer: Literal["median", "knn", "iterative"] = "median"
+    categorical_imputer: Literal["most_frequent"] = "most_frequent"
+    add_missing_indicators: bool = True
+    knn: Neighbours = Neighbours()
+    iterative: Rounds = Rounds()
 
 
 class ColumnSchema(Strict):
@@ -76,7 +79,7 @@ class Data(Strict):
         if set(self.ordinal_maps) != set(self.column_schema.ordinal):
             raise ValueError("every ordinal column needs a level list, and only those")
         for name, levels in self.ordinal_maps.items():
-            if not levels or len(set(map(str, levels))) != len(levels):
+            if not levels or len(set(map(repr, levels))) != len(levels):
                 raise ValueError(f"the levels of {name} must be given once each")
         return self
 
@@ -86,87 +89,161 @@ class Method(Strict):
     params: dict = {}
 
 
+class Methods(Strict):
+    methods: list[Method] = [Method(name="none")]
+
+
+class Clusterers(Strict):
+    methods: list[Method] = Field(min_length=1)
+
+
+class Study(Strict):
+    enabled: bool = False
+    sampler: str = "TPESampler"
+    pruner: str = "MedianPruner"
+    n_trials_per_family: int = Field(50, ge=0)
+
+
 class Search(Strict):
-    pilot_fraction: float = Field(0.35, gt=0, le=1)
+    pilot_sample_fraction: float = Field(0.35, gt=0, le=1)
     pilot_min_rows: int = Field(250, ge=1)
     seeds_pilot: list[int] = [101, 102]
     seeds_full: list[int] = [101, 102, 103, 104, 105]
     perturbations_full: int = Field(5, ge=0)
-    perturbation_type: Literal["bootstrap", "subsample"] = "subsample"
-    trials: int = Field(0, ge=0)
+    perturbation_type: Literal["bootstrap", "subsample"] = "bootstrap"
+    stability_mode: Literal["full_pipeline", "processed_matrix"] = "full_pipeline"
+    optuna: Study = Study()
+
+
+class RareCategories(Strict):
+    enabled: bool = False
+    min_frequency: int | float = Field(0.01, gt=0)
+    replacement: str = "__RARE__"
 
 
-class RareCollapse(Strict):
+class Variance(Strict):
     enabled: bool = False
-    min_frequency: float | int = 0.01
+    threshold: float = 0.0
 
 
 class Preprocessing(Strict):
     continuous_transforms: list[Literal[TRANSFORMS]] = ["standard"]
     categorical_encoding: list[Literal[ENCODINGS]] = ["onehot"]
-    rare_collapse: RareCollapse = RareCollapse()
-    variance_threshold: float | None = None
+    rare_category_collapse: RareCategories = RareCategories()
+    variance_threshold: Variance = Variance()
 
 
 class Structure(Strict):
-    k_min: int = 2
-    k_max: int = 10
+    min_clusters: int = 2
+    max_clusters: int = 10
     min_cluster_fraction: float = 0.03
     max_noise_fraction: float = 0.35
-    max_dominant_fraction: float = 0.85
+    dominant_cluster_cap: float = 0.85
 
 
-class Evaluation(Strict):
-    structure: Structure = Structure()
+class Acceptance(Strict):
     hard_thresholds: dict[str, float] = {}
-    weighted_score: dict[str, float] = {"silhouette": 0.35, "ari_seed": 0.35, "jaccard_perturbation": 0.3}
+    weighted_score: dict[str, float] = {}
     accept_top_fraction_if_above: float = 1.0
 
 
+class Evaluation(Strict):
+    internal_metrics: list[str] = []
+    structure_constraints: Structure = Structure()
+    acceptance: Acceptance = Acceptance()
+
+
+class RunWeighting(Strict):
+    source: str = "final_weighted_score"
+    normalize: bool = True
+    floor: float = 0.01
+
+
+class Uncertainty(Strict):
+    bootstrap_repeats: int = Field(25, ge=0)
+    ambiguous_top2_gap_threshold: float = 0.10
+    ambiguous_entropy_quantile: float = Field(0.90, ge=0, le=1)
+
+
 class Consensus(Strict):
-    method: Literal["hierarchical", "spectral"] = "hierarchical"
-    final_k: int | None = None
-    weight_floor: float = 0.01
-    normalise_weights: bool = True
-    bootstrap_repeats: int = 25
-    ambiguity_gap: float = 0.1
-    entropy_quantile: float = 0.9
+    include_only_accepted: bool = True
+    run_weighting: RunWeighting = RunWeighting()
+    consensus_method: Literal["hierarchical_on_coassociation", "spectral_on_coassociation"] = "hierarchical_on_coassociation"
+    final_k_strategy: Literal["weighted_mode", "data_driven"] = "weighted_mode"
+    coassociation_storage: Literal["auto", "dense", "sparse"] = "auto"
+    max_dense_n: int = 10_000
+    uncertainty: Uncertainty = Uncertainty()
 
 
 class Interpretation(Strict):
-    folds: int = Field(5, ge=2)
-    repeats: int = Field(3, ge=1)
-    trees: int = 100
-    permutation_repeats: int = 10
-    correlation_threshold: float = 0.85
+    surrogate_model: Literal["xgboost", "random_forest"] = "xgboost"
+    feature_space: Literal["original_imputed_scaled", "best_candidate_preprocessing", "consensus_majority_preprocessing"] = "original_imputed_scaled"
+    continuous_transform: Literal[TRANSFORMS] = "standard"
+    categorical_encoding: Literal[ENCODINGS] = "onehot"
+    cross_validation_folds: int = Field(5, ge=2)
+    repeated_cv_repeats: int = Field(3, ge=1)
+    use_shap: bool = True
+    use_permutation_importance: bool = True
+    top_n_features: int = Field(30, ge=1)
+    grouped_correlation_threshold: float = 0.85
+
+
+class Reporting(Strict):
+    generate_figures: bool = True
+    generate_tables: bool = True
+    manuscript_bundle: bool = True
 
 
 class Experiment(Strict):
     name: str = "experiment"
     output_dir: str = "runs"
     random_seed: int = 2026
+    n_jobs: int = -1
+    use_ray: bool = False
+    use_mlflow: bool = False
+    use_gpu_if_available: bool = False
+    deterministic_mode: Literal["strict", "fast"] = "fast"
 
 
 class ExperimentConfig(Strict):
+    """Keys that name other engines, devices or trackers (n_jobs, use_ray, use_mlflow, use_gpu_if_available) are read and change nothing."""
+
     experiment: Experiment = Experiment()
     data: Data
     search: Search = Search()
     preprocessing: Preprocessing = Preprocessing()
-    representation: list[Method] = [Method(name="none")]
-    clustering: list[Method]
+    representation: Methods = Methods()
+    clustering: Clusterers
     evaluation: Evaluation = Evaluation()
     consensus: Consensus = Consensus()
     interpretation: Interpretation = Interpretation()
+    reporting: Reporting = Reporting()
 
     @model_validator(mode="after")
     def known_methods(self):
-        for kind, given, known in (("representation", self.representation, REPRESENTATIONS), ("clusterer", self.clustering, (*CLUSTERERS, *_OLD))):
+        for kind, given, known in (("representation", self.representation.methods, REPRESENTATIONS), ("clusterer", self.clustering.methods, (*CLUSTERERS, *_OLD))):
             odd = sorted({m.name for m in given} - set(known))
             if odd:
                 raise ValueError(f"unknown {kind}: {odd}")
+        if "log1p_standard" in self.preprocessing.continuous_transforms and not self.data.column_schema.continuous:
+            raise ValueError("log1p_standard needs a continuous column")
         return self
 
 
+# What a file that leaves these out gets.
+DEFAULTS = {
+    "search": {"perturbation_type": "subsample"},
+    "clustering": {"methods": [{"name": "kmeans", "params": {"n_clusters": [2, 3, 4]}}]},
+    "evaluation": {
+        "internal_metrics": ["silhouette", "davies_bouldin", "calinski_harabasz"],
+        "acceptance": {
+            "hard_thresholds": {"silhouette_min": -1.0, "ari_seed_min": 0.0, "nmi_seed_min": 0.0, "mean_cluster_jaccard_min": 0.0},
+            "weighted_score": {"silhouette": 0.15, "davies_bouldin": 0.05, "calinski_harabasz": 0.05, "ari_seed": 0.3, "nmi_seed": 0.15, "mean_cluster_jaccard": 0.25, "cluster_balance": 0.05, "runtime": 0.03, "parsimony": 0.02},
+        },
+    },
+}
+
+
 def deep_merge(base: dict, over: dict) -> dict:
     """Mappings are merged, everything else is replaced."""
     out = dict(base)
@@ -177,7 +254,7 @@ def deep_merge(base: dict, over: dict) -> dict:
 
 def load_config(path: str, defaults: dict | None = None) -> ExperimentConfig:
     """Read a YAML file over the defaults; its relative paths are relative to the file."""
-    raw = deep_merge(defaults or {}, read_yaml(path))
+    raw = deep_merge(DEFAULTS if defaults is None else defaults, read_yaml(path))
     here = Path(path).resolve().parent
     absolute = lambda p: p if "://" in p or Path(p).is_absolute() else str(here / p)
     config = ExperimentConfig.model_validate(raw)

@@ -88,7 +88,7 @@ def gmm(x: np.ndarray, k: int, seed: int, covariance_type: str = "full", rounds:
             break
         last = norm.mean()
     free = {"full": k * p * (p + 1) // 2, "tied": p * (p + 1) // 2, "diag": k * p, "spherical": k}[covariance_type] + k * p + k - 1
-    return resp.argmax(1), {"bic": float(-2 * norm.sum() + free * np.log(n)), "average_confidence": float(resp.max(1).mean())}
+    return resp.argmax(1), {"bic": float(-2 * norm.sum() + free * np.log(n)), "average_confidence": float(resp.max(1).mean()), "assignment_entropy": float(-(resp * np.log(resp + 1e-12)).sum(1).mean())}
 
 
 def _metric(x: np.ndarray, metric: str) -> np.ndarray:
@@ -344,19 +344,19 @@ def autoencoder(x: np.ndarray, seed: int, latent_dim: int = 10, hidden: tuple[in
 def ae_kmeans(x, k, seed, **p):
     z, m = autoencoder(x, seed, **p)
     lab, n = kmeans(z, k, seed)
-    return lab, m | n
+    return lab, m | n | {"space": z}
 
 
 def ae_gmm(x, k, seed, covariance_type="diag", **p):
     z, m = autoencoder(x, seed, **p)
     lab, n = gmm(z, k, seed, covariance_type)
-    return lab, m | n
+    return lab, m | n | {"space": z}
 
 
 def vae_gmm(x, k, seed, **p):
     z, m = autoencoder(x, seed, variational=True, **p)
     lab, n = gmm(z, k, seed, "diag")
-    return lab, m | n
+    return lab, m | n | {"space": z}
 
 
 def ae_centroid_refinement(x, k, seed, rounds: int = 50, **p):
@@ -379,7 +379,10 @@ def ae_centroid_refinement(x, k, seed, rounds: int = 50, **p):
         g = -2 * (f.T @ z - f.sum(0)[:, None] * c) / len(z)
         mo, ve = 0.9 * mo + 0.1 * g, 0.999 * ve + 0.001 * g**2
         c = c - 0.001 * (mo / (1 - 0.9**t)) / (np.sqrt(ve / (1 - 0.999**t)) + 1e-8)
-    return _sq(z, c).argmin(1), m | {"kl": best}
+    q = 1 / (1 + _sq(z, c))
+    q = q / q.sum(1, keepdims=True)
+    sure = {"average_confidence": float(q.max(1).mean()), "assignment_entropy": float(-(q * np.log(q + 1e-12)).sum(1).mean())}
+    return q.argmax(1), m | sure | {"kl": best, "space": z}
 
 
 def umap(x: np.ndarray, seed: int, n_components: int = 2, n_neighbors: int = 15, min_dist: float = 0.1, epochs: int = 200, **_) -> np.ndarray:
@@ -478,3 +481,33 @@ def represent(name: str, x: np.ndarray, params: dict, seed: int) -> np.ndarray:
     if name == "autoencoder":
         return autoencoder(x, seed, **params)[0]
     raise ValueError(f"unknown representation: {name}")
+
+
+def internal_quality(x: np.ndarray, labels: np.ndarray, block: int = 1024) -> dict[str, float]:
+    """Silhouette, Davies-Bouldin and Calinski-Harabasz of a matrix; noise is left out. What isn't defined is -1, infinite and 0."""
+    real = labels >= 0
+    x, code = x[real], np.unique(labels[real], return_inverse=True)[1]
+    n, k = len(x), int(code.max()) + 1 if len(code) else 0
+    if not 2 <= k < n:
+        return {"silhouette": -1.0, "davies_bouldin": float("inf"), "calinski_harabasz": 0.0}
+    size, member = np.bincount(code, minlength=k), np.zeros((n, k))
+    member[np.arange(n), code] = 1
+    total = 0.0
+    for lo in range(0, n, block):
+        own = code[lo : lo + block]
+        sums = np.sqrt(np.maximum(0, _sq(x[lo : lo + block], x))) @ member
+        row = np.arange(len(own))
+        a = sums[row, own] / np.maximum(1, size[own] - 1)
+        away = sums / size
+        away[row, own] = np.inf
+        b = away.min(1)
+        s = (b - a) / np.maximum(np.maximum(a, b), 1e-300)
+        total += float(np.where(size[own] == 1, 0, s).sum())
+    center = member.T @ x / size[:, None]
+    off = np.sqrt(((x - center[code]) ** 2).sum(1))
+    spread = np.bincount(code, off, k) / size
+    apart = np.sqrt(np.maximum(0, _sq(center, center)))
+    np.fill_diagonal(apart, 0)
+    ratio = np.divide(spread[:, None] + spread[None], apart, out=np.zeros((k, k)), where=apart > 0)  # equal centers don't count
+    within, between = float((off**2).sum()), float((size * ((center - x.mean(0)) ** 2).sum(1)).sum())
+    return {"silhouette": total / n, "davies_bouldin": float(ratio.max(1).mean()), "calinski_harabasz": between / (k - 1) / (within / (n - k)) if within > 0 else 1.0}

@@ -4,8 +4,6 @@ All pairwise metrics come from contingency counts, built by one equi-join of the
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +18,8 @@ def structure_summary(runs: DataFrame, tiny_below: float = 0.03) -> DataFrame:
     return with_total.groupBy("run_id").agg(
         F.count_if(real).alias("n_clusters"),
         (F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)) / F.sum("n")).alias("noise_fraction"),
-        F.coalesce(F.max(F.when(real, F.col("n") / F.col("total"))), F.lit(0.0)).alias("dominant_fraction"),
-        F.coalesce(F.avg(F.when(real, (F.col("n") / F.col("total") < tiny_below).cast("double"))), F.lit(0.0)).alias("tiny_fraction"),
+        F.coalesce(F.max(F.when(real, F.col("n") / F.col("total"))), F.lit(0.0)).alias("dominant_cluster_fraction"),
+        F.coalesce(F.avg(F.when(real, (F.col("n") / F.col("total") < tiny_below).cast("double"))), F.lit(0.0)).alias("tiny_cluster_fraction"),
     )
 
 
@@ -152,9 +150,3 @@ def seed_summary(values: DataFrame, metrics: list[str], by: list[str]) -> DataFr
         pick = lambda f: F.coalesce(f(finite), f(x))
         out += [pick(lambda c: F.percentile(c, 0.5)).alias(f"{m}_median"), pick(F.avg).alias(f"{m}_mean"), F.coalesce(F.stddev_samp(finite), F.lit(0.0)).alias(f"{m}_sd")]
     return values.groupBy(*by).agg(*out)
-
-
-def brute_matching(gain: np.ndarray) -> float:
-    """For tests: the best matching by trying all."""
-    small, large = (gain, gain.T) if gain.shape[0] <= gain.shape[1] else (gain.T, gain)
-    return max(sum(small[i, p[i]] for i in range(len(small))) for p in itertools.permutations(range(small.shape[1]), len(small)))

@@ -233,7 +233,7 @@ def _scale_fits(df: DataFrame, columns: list[str], transform: str) -> dict[str,
     return {c: (float(m), float(s) or 1.0) for c, (m, s) in pairs.items()}
 
 
-def preprocess(df: DataFrame, roles: Roles, key: str, transform: str = "standard", encoding: str = "onehot", indicators: bool = True, rare: float | int | None = None, variance: float | None = None) -> tuple[DataFrame, list[str]]:
+def preprocess(df: DataFrame, roles: Roles, key: str, transform: str = "standard", encoding: str = "onehot", indicators: bool = True, rare: float | int | None = None, variance: float | None = None, rare_token: str = RARE) -> tuple[DataFrame, list[str]]:
     """(key, features array) and the features' names: blocks in the order continuous, binary, categorical, ordinal, indicators last in each.
 
     Fits take three passes whatever the number of columns: gaps, medians and modes; levels of the collapsed columns; scales. All
@@ -262,7 +262,7 @@ def preprocess(df: DataFrame, roles: Roles, key: str, transform: str = "standard
 
     level_columns = [c for c in roles.categorical if c in full]
     for c in level_columns if rare is not None else []:
-        out = rare_collapse(out, c, rare)
+        out = rare_collapse(out, c, rare, rare_token)
     known = {c: sorted(v) for c, v in _one(out, {c: F.collect_set(as_level(c)) for c in level_columns}).items()}
     known |= {c: roles.ordinal_maps[c] if c in roles.ordinal_maps else sorted(v) for c, v in _one(out, {c: F.collect_set(as_level(c)) for c in roles.ordinal if c in full}).items()}
 

@@ -28,7 +28,7 @@ def _distance(a: str, b: str):
 
 
 def _with_center(points: DataFrame) -> DataFrame:
-    return points.where("label >= 0").join(F.broadcast(centroids(points)), "label")
+    return points.where("label >= 0").join(centroids(points), "label")
 
 
 def silhouette(points: DataFrame) -> DataFrame:
@@ -69,10 +69,11 @@ def silhouette(points: DataFrame) -> DataFrame:
 def davies_bouldin(points: DataFrame) -> DataFrame:
     """Mean over clusters of the worst ratio of spreads to center distance; infinite where it isn't defined."""
     spread = _with_center(points).withColumn("d", _distance("features", "center")).groupBy("label").agg(F.avg("d").alias("s"), F.first("center").alias("c"), F.count("*").alias("n"))
-    a, b = spread.toDF("la", "sa", "ca", "na"), spread.toDF("lb", "sb", "cb", "nb")
-    # clusters squared, never rows
-    ratio = a.join(b, F.col("la") != F.col("lb")).withColumn("r", (F.col("sa") + F.col("sb")) / _distance("ca", "cb"))
-    worst = ratio.groupBy("la", "na").agg(F.max("r").alias("w"))
+    # clusters squared, never rows: the clusters meet in one list, so that the statistics are planned once
+    every = spread.groupBy().agg(F.collect_list(F.struct("label", "s", "c", "n")).alias("l")).select(F.col("l"), F.explode("l").alias("x"))
+    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v))
+    others = F.transform(F.filter("l", lambda y: y["label"] != F.col("x.label")), lambda y: F.coalesce((F.col("x.s") + y["s"]) / F.nullif(gap(F.col("x.c"), y["c"]), F.lit(0.0)), F.lit(0.0)))  # equal centers don't count
+    worst = every.select(F.col("x.n").alias("na"), F.array_max(others).alias("w"))
     return worst.agg(F.when((F.count("*") < 2) | (F.count("*") >= F.coalesce(F.sum("na"), F.lit(0))), float("inf")).otherwise(F.avg("w")).alias("davies_bouldin"))
 
 

@@ -15,8 +15,8 @@ def membership(labels: DataFrame, label: str = "consensus_label") -> DataFrame:
 
 
 def penalties(n_clusters: str, rows: int, features: int) -> dict[str, F.Column]:
-    """Parsimony ln(1 + k) / ln(1 + n), share of dimensions to rows, and the runtime penalty, which is constant."""
-    return {"parsimony_penalty": F.log1p(F.col(n_clusters)) / float(np.log1p(rows)), "dimensionality_penalty": F.lit(features / max(1, rows)), "runtime_penalty": F.lit(0.0)}
+    """Parsimony ln(1 + k) / ln(1 + n) with one cluster at least, features a row, and the runtime penalty, which is constant."""
+    return {"parsimony_penalty": F.log1p(F.greatest(F.col(n_clusters).cast("double"), F.lit(1.0))) / float(np.log1p(rows)), "feature_dimensionality_penalty": F.lit(features / max(1, rows)), "runtime_penalty": F.lit(0.0)}
 
 
 def metadata_means(runs: DataFrame) -> DataFrame:
@@ -68,25 +68,25 @@ def data_driven_k(cuts: DataFrame, agreement: DataFrame) -> DataFrame:
 
 
 def shapley(points: DataFrame, predict, background: np.ndarray, names: list[str], permutations: int = 20, seed: int = 0, most: int = 500) -> DataFrame:
-    """(feature, mean_abs_shapley) over a bounded sample: Monte-Carlo Shapley values of predict(matrix) -> class probabilities.
+    """(feature, mean_abs_shapley) over a bounded sample: Monte-Carlo Shapley values of predict(matrix) -> values or class probabilities.
 
-    Each sampled row walks random feature orders from a background row to itself; a feature's value is the mean change it makes."""
+    Each sampled row walks random feature orders from a background row to itself; a feature's value is the mean change it makes, with its
+    sign. Only the finished values' sizes are averaged, over classes and rows."""
     from .sampling import take_exact
 
     def walk(frames):
         for f in frames:
             for key, row in zip(f.row_idx, f.features, strict=True):
                 r, x = np.random.default_rng([seed, int(key)]), np.array(row, float)
-                total = np.zeros(len(names))
+                total = np.zeros((len(names), predict(x[None]).reshape(1, -1).shape[1]))
                 for _ in range(permutations):
                     order, z = r.permutation(len(names)), background[r.integers(len(background))].copy()
                     path = [z.copy()]
                     for j in order:
                         z[j] = x[j]
                         path.append(z.copy())
-                    p = predict(np.array(path))
-                    total[order] += np.abs(np.diff(p, axis=0)).mean(1) if p.ndim > 1 else np.diff(p)
-                yield pd.DataFrame({"feature": names, "value": np.abs(total) / permutations})
+                    total[order] += np.diff(predict(np.array(path)).reshape(len(path), -1), axis=0)
+                yield pd.DataFrame({"feature": names, "value": np.abs(total / permutations).mean(1)})
 
     sample = take_exact(points, "row_idx", most, seed)
     return sample.select("row_idx", "features").mapInPandas(walk, "feature string, value double").groupBy("feature").agg(F.avg("value").alias("mean_abs_shapley"))

@@ -6,6 +6,8 @@ segment where it divides by 23; three label runs of supplier come from its colum
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,19 +64,34 @@ RUNS = """lr AS (SELECT 0 AS run_id, s_suppkey AS row_idx, CAST(s_nationkey % 3
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")
     k, z = F.col("p_partkey"), F.col("p_size")
+    at = lambda names, m: F.element_at(F.array(*map(F.lit, names)), (k % m + 1).cast("int"))
+    share = lambda m, n: (k % m) / float(n)
     return p.select(
-        F.col("p_partkey").cast("string").alias("candidate_id"), F.when(k % 4 == 0, "deep").otherwise("classical").alias("family"), F.when(k % 20 == 0, "pilot_pruned").otherwise("full").alias("stage"),
-        ((z - 25) / 50.0).alias("silhouette"), (z / 20.0).alias("davies_bouldin"), (z * 7.5).alias("calinski_harabasz"), ((k % 97) / 97.0).alias("ari_seed"), F.when(k % 29 != 0, (k % 89) / 89.0).alias("jaccard_perturbation"),
-        (2 + z % 9).cast("int").alias("n_clusters"), ((k % 50) / 100.0).alias("noise_fraction"), ((30 + k % 61) / 100.0).alias("dominant_fraction"), ((k % 11) / 100.0).alias("min_cluster_fraction"), ((k % 7) / 10.0).alias("tiny_fraction"), (k % 400).cast("double").alias("runtime_seconds"),
+        F.col("p_partkey").cast("string").alias("candidate_id"), F.when(k % 4 == 0, "deep").otherwise("classical").alias("family"),
+        F.when(k % 20 == 0, "pilot_pruned").when(k % 33 == 0, "compatibility_rejected").otherwise("full_evaluated").alias("search_stage"),
+        at(["standard", "robust"], 2).alias("continuous_transform"), at(["onehot", "ordinal", "onehot"], 3).alias("categorical_encoding"), at(["none", "pca", "umap"], 3).alias("representation_name"), at(["kmeans", "gmm"], 2).alias("clustering_name"),
+        ((z - 25) / 20.0).alias("silhouette"), (z / 20.0).alias("davies_bouldin"), (z * 7.5).alias("calinski_harabasz"), ((k % 97) / 50.0 - 0.9).alias("ari_seed"), (share(95, 90) - 0.01).alias("nmi_seed"), F.when(k % 29 != 0, share(89, 89)).alias("mean_cluster_jaccard"), share(83, 80).alias("mean_cluster_jaccard_symmetric"),
+        share(79, 75).alias("cluster_balance"), share(73, 72).alias("average_confidence"), (share(71, 30) - 0.1).alias("assignment_entropy"), share(67, 10).alias("reconstruction_loss"), share(61, 60).alias("parsimony_penalty"), share(59, 40).alias("feature_dimensionality_penalty"),
+        (2 + z % 12).cast("int").alias("n_clusters"), share(50, 100).alias("noise_fraction"), ((30 + k % 61) / 100.0).alias("dominant_cluster_fraction"), share(11, 100).alias("min_cluster_fraction"), share(7, 10).alias("tiny_cluster_fraction"), (k % 400).cast("double").alias("runtime_seconds"),
     )
 
 
-REGISTRY = """rg AS (SELECT CAST(p_partkey AS VARCHAR) AS candidate_id, CASE WHEN p_partkey % 4 = 0 THEN 'deep' ELSE 'classical' END AS family, CASE WHEN p_partkey % 20 = 0 THEN 'pilot_pruned' ELSE 'full' END AS stage,
-  (p_size - 25) / 50.0::DOUBLE AS silhouette, p_size / 20.0::DOUBLE AS davies_bouldin, p_size * 7.5::DOUBLE AS calinski_harabasz, (p_partkey % 97) / 97.0::DOUBLE AS ari_seed, CASE WHEN p_partkey % 29 <> 0 THEN (p_partkey % 89) / 89.0::DOUBLE END AS jaccard_perturbation,
-  CAST(2 + p_size % 9 AS INTEGER) AS n_clusters, (p_partkey % 50) / 100.0::DOUBLE AS noise_fraction, (30 + p_partkey % 61) / 100.0::DOUBLE AS dominant_fraction, (p_partkey % 11) / 100.0::DOUBLE AS min_cluster_fraction, (p_partkey % 7) / 10.0::DOUBLE AS tiny_fraction, CAST(p_partkey % 400 AS DOUBLE) AS runtime_seconds FROM part)"""
-SCORE = {"silhouette": 0.4, "ari_seed": 0.3, "jaccard_perturbation": 0.2, "davies_bouldin": 0.1}
-SCORED = f"""{REGISTRY}, sc AS (SELECT *, (least(greatest(silhouette, -1), 1) + 1) / 2 AS utility_silhouette, (ari_seed + 1) / 2 AS utility_ari_seed, jaccard_perturbation AS utility_jaccard_perturbation, 1 / (1 + ln(1 + davies_bouldin)) AS utility_davies_bouldin FROM rg),
-  fs AS (SELECT *, utility_silhouette * 0.4 + utility_ari_seed * 0.3 + utility_jaccard_perturbation * 0.2 + utility_davies_bouldin * 0.1 AS final_weighted_score FROM sc)"""
+REGISTRY = """rg AS (SELECT CAST(p_partkey AS VARCHAR) AS candidate_id, CASE WHEN p_partkey % 4 = 0 THEN 'deep' ELSE 'classical' END AS family,
+  CASE WHEN p_partkey % 20 = 0 THEN 'pilot_pruned' WHEN p_partkey % 33 = 0 THEN 'compatibility_rejected' ELSE 'full_evaluated' END AS search_stage,
+  ['standard', 'robust'][p_partkey % 2 + 1] AS continuous_transform, ['onehot', 'ordinal', 'onehot'][p_partkey % 3 + 1] AS categorical_encoding, ['none', 'pca', 'umap'][p_partkey % 3 + 1] AS representation_name, ['kmeans', 'gmm'][p_partkey % 2 + 1] AS clustering_name,
+  (p_size - 25) / 20.0::DOUBLE AS silhouette, p_size / 20.0::DOUBLE AS davies_bouldin, p_size * 7.5::DOUBLE AS calinski_harabasz, (p_partkey % 97) / 50.0::DOUBLE - 0.9::DOUBLE AS ari_seed, (p_partkey % 95) / 90.0::DOUBLE - 0.01::DOUBLE AS nmi_seed, CASE WHEN p_partkey % 29 <> 0 THEN (p_partkey % 89) / 89.0::DOUBLE END AS mean_cluster_jaccard, (p_partkey % 83) / 80.0::DOUBLE AS mean_cluster_jaccard_symmetric,
+  (p_partkey % 79) / 75.0::DOUBLE AS cluster_balance, (p_partkey % 73) / 72.0::DOUBLE AS average_confidence, (p_partkey % 71) / 30.0::DOUBLE - 0.1::DOUBLE AS assignment_entropy, (p_partkey % 67) / 10.0::DOUBLE AS reconstruction_loss, (p_partkey % 61) / 60.0::DOUBLE AS parsimony_penalty, (p_partkey % 59) / 40.0::DOUBLE AS feature_dimensionality_penalty,
+  CAST(2 + p_size % 12 AS INTEGER) AS n_clusters, (p_partkey % 50) / 100.0::DOUBLE AS noise_fraction, (30 + p_partkey % 61) / 100.0::DOUBLE AS dominant_cluster_fraction, (p_partkey % 11) / 100.0::DOUBLE AS min_cluster_fraction, (p_partkey % 7) / 10.0::DOUBLE AS tiny_cluster_fraction, CAST(p_partkey % 400 AS DOUBLE) AS runtime_seconds FROM part)"""
+SCORE = {"silhouette": 0.2, "ari_seed": 0.2, "nmi_seed": 0.1, "mean_cluster_jaccard": 0.1, "mean_cluster_jaccard_symmetric": 0.1, "cluster_balance": 0.05, "average_confidence": 0.05, "calinski_harabasz": 0.02, "davies_bouldin": 0.05, "assignment_entropy": 0.03, "reconstruction_loss": 0.03, "runtime": 0.03, "parsimony": 0.02, "feature_dimensionality_penalty": 0.02}
+UTILITY_NAMES = [k for k in SCORE]
+_FALLS = lambda x: f"1 / (1 + ln(1 + greatest({x}, 0)))"
+_CLIPS = lambda x: f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, 0), 1) END"
+_UTILITY = {n: f"(least(greatest({n}, -1), 1) + 1) / 2" for n in ("silhouette", "ari_seed")}
+_UTILITY |= {n: _CLIPS(n) for n in ("nmi_seed", "mean_cluster_jaccard", "mean_cluster_jaccard_symmetric", "cluster_balance", "average_confidence")}
+_UTILITY |= {"calinski_harabasz": "ln(1 + greatest(calinski_harabasz, 0))"} | {n: _FALLS(n) for n in ("davies_bouldin", "assignment_entropy", "reconstruction_loss", "feature_dimensionality_penalty")}
+_UTILITY |= {"runtime": _FALLS("runtime_seconds"), "parsimony": _FALLS("parsimony_penalty")}
+SCORED = f"""{REGISTRY}, sc AS (SELECT *, {', '.join(f'{_UTILITY[n]} AS utility_{n}' for n in SCORE)} FROM rg),
+  fs AS (SELECT *, {' + '.join(f'utility_{n} * {w}::DOUBLE' for n, w in SCORE.items())} AS final_weighted_score FROM sc)"""
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -224,7 +241,7 @@ def train_test_split(spark, d):
 _SIZES = f"{RUNS}, z AS (SELECT run_id, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY run_id) AS t FROM lr GROUP BY run_id, label)"
 
 
-@query(f"WITH {_SIZES} SELECT run_id, count_if(label >= 0)::BIGINT AS n_clusters, {rr('coalesce(sum(n) FILTER (label < 0), 0) / sum(n)', 'noise_fraction')}, {rr('coalesce(max(n / t) FILTER (label >= 0), 0)', 'dominant_fraction')}, {rr('coalesce(avg(CASE WHEN n / t < 0.03 THEN 1.0 ELSE 0.0 END) FILTER (label >= 0), 0)', 'tiny_fraction')} FROM z GROUP BY run_id")
+@query(f"WITH {_SIZES} SELECT run_id, count_if(label >= 0)::BIGINT AS n_clusters, {rr('coalesce(sum(n) FILTER (label < 0), 0) / sum(n)', 'noise_fraction')}, {rr('coalesce(max(n / t) FILTER (label >= 0), 0)', 'dominant_cluster_fraction')}, {rr('coalesce(avg(CASE WHEN n / t < 0.03 THEN 1.0 ELSE 0.0 END) FILTER (label >= 0), 0)', 'tiny_cluster_fraction')} FROM z GROUP BY run_id")
 def structure_summary(spark, d):
     return rounded(L.structure_summary(label_runs(spark, d)))
 
@@ -279,9 +296,9 @@ def representative_seed(spark, d):
     return rounded(L.representative_run(L.ari_nmi(L.contingency(label_runs(spark, d)))))
 
 
-@query(f"WITH {REGISTRY} SELECT family, {rr('quantile_cont(silhouette, 0.5)', 'silhouette_median')}, {rr('avg(silhouette)', 'silhouette_mean')}, {rr('coalesce(stddev_samp(silhouette), 0)', 'silhouette_sd')}, {rr('quantile_cont(jaccard_perturbation, 0.5)', 'jaccard_perturbation_median')}, {rr('avg(jaccard_perturbation)', 'jaccard_perturbation_mean')}, {rr('coalesce(stddev_samp(jaccard_perturbation), 0)', 'jaccard_perturbation_sd')} FROM rg GROUP BY family")
+@query(f"WITH {REGISTRY} SELECT family, {rr('quantile_cont(silhouette, 0.5)', 'silhouette_median')}, {rr('avg(silhouette)', 'silhouette_mean')}, {rr('coalesce(stddev_samp(silhouette), 0)', 'silhouette_sd')}, {rr('quantile_cont(mean_cluster_jaccard, 0.5)', 'mean_cluster_jaccard_median')}, {rr('avg(mean_cluster_jaccard)', 'mean_cluster_jaccard_mean')}, {rr('coalesce(stddev_samp(mean_cluster_jaccard), 0)', 'mean_cluster_jaccard_sd')} FROM rg GROUP BY family")
 def seed_summary(spark, d):
-    return rounded(L.seed_summary(candidates(spark, d), ["silhouette", "jaccard_perturbation"], ["family"]))
+    return rounded(L.seed_summary(candidates(spark, d), ["silhouette", "mean_cluster_jaccard"], ["family"]))
 
 
 # --------------------------------------------------------------------------------------------------------- quality
@@ -313,7 +330,7 @@ def calinski_harabasz(spark, d):
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {rr(f'corr({a}, {b})', 'r')} FROM lineitem" for a, b in E.pair_list(_NUM)))
+@query(" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {rr(f'corr({a}, {b})', 'r')} FROM lineitem" for a, b in combinations(_NUM, 2)))
 def correlation_pairs(spark, d):
     return rounded(Q.correlation_pairs(read(spark, d, "lineitem"), _NUM))
 
@@ -326,42 +343,63 @@ def pca_scores(spark, d):
 # --------------------------------------------------------------------------------------------------------- scoring
 
 
-@query(f"""WITH {REGISTRY} SELECT candidate_id, concat_ws(';', CASE WHEN n_clusters <= 1 THEN 'single_cluster' END, CASE WHEN tiny_fraction > 0.5 THEN 'tiny_clusters' END, CASE WHEN silhouette < -0.05 THEN 'low_silhouette' END, CASE WHEN ari_seed < 0 THEN 'unstable' END, CASE WHEN noise_fraction > 0.5 THEN 'noise' END, CASE WHEN runtime_seconds > 300 THEN 'slow' END) AS prune_reasons FROM rg""")
+@query(f"""WITH {REGISTRY} SELECT candidate_id, concat_ws(';', CASE WHEN n_clusters <= 1 THEN 'single_cluster' END, CASE WHEN tiny_cluster_fraction > 0.5 THEN 'too_many_tiny_clusters' END, CASE WHEN silhouette < -0.05 THEN 'silhouette_too_low' END, CASE WHEN ari_seed < 0 THEN 'seed_stability_too_low' END, CASE WHEN noise_fraction > 0.5 THEN 'noise_fraction_excessive' END, CASE WHEN runtime_seconds > 300 THEN 'runtime_cap_exceeded' END) AS prune_reasons FROM rg""")
 def prune(spark, d):
-    return candidates(spark, d).select("candidate_id", R.prune_reasons().alias("prune_reasons"))
+    c = candidates(spark, d)
+    return c.select("candidate_id", R.prune_reasons(c).alias("prune_reasons"))
 
 
-_GATES = {"silhouette_min": 0.0, "jaccard_perturbation_min": 0.2}
-_GATED = """gt AS (SELECT *, concat_ws(';', CASE WHEN n_clusters < 2 THEN 'n_clusters_below_min' END, CASE WHEN n_clusters > 10 THEN 'n_clusters_above_max' END, CASE WHEN dominant_fraction > 0.85 THEN 'dominant_cluster' END, CASE WHEN noise_fraction > 0.35 THEN 'noise_fraction' END, CASE WHEN min_cluster_fraction < 0.03 THEN 'min_cluster_fraction' END,
-  CASE WHEN silhouette < 0 THEN 'silhouette_below_threshold' END, CASE WHEN coalesce(jaccard_perturbation, -1) < 0.2 THEN 'jaccard_perturbation_below_threshold' END) AS rejection_reasons FROM fs)"""
+_GATES = {"silhouette_min": -0.5, "mean_cluster_jaccard_min": 0.2}
+_GATED = """gt AS (SELECT *, concat_ws(';', CASE WHEN n_clusters < 2 OR n_clusters > 10 THEN 'cluster_count_out_of_range' END, CASE WHEN dominant_cluster_fraction > 0.85 THEN 'dominant_cluster_too_large' END, CASE WHEN noise_fraction > 0.35 THEN 'noise_fraction_too_large' END, CASE WHEN min_cluster_fraction < 0.03 THEN 'cluster_too_small' END,
+  CASE WHEN silhouette < -0.5 THEN 'silhouette_below_threshold' END, CASE WHEN coalesce(mean_cluster_jaccard, -1) < 0.2 THEN 'mean_cluster_jaccard_below_threshold' END) AS hard_rejection_reasons FROM fs)"""
 
 
-@query(f"WITH {SCORED}, {_GATED} SELECT candidate_id, rejection_reasons, rejection_reasons = '' AS hard_filter_passed FROM gt")
+@query(f"WITH {SCORED}, {_GATED} SELECT candidate_id, hard_rejection_reasons, hard_rejection_reasons = '' AS hard_filter_passed FROM gt")
 def hard_gates(spark, d):
-    return R.hard_gates(candidates(spark, d), _GATES).select("candidate_id", "rejection_reasons", "hard_filter_passed")
+    return R.hard_gates(candidates(spark, d), _GATES).select("candidate_id", "hard_rejection_reasons", "hard_filter_passed")
+
+
+# a third of the verdicts are given (and may differ from what the gates would say), the others are made, the missing metric included
+_MISSING = "CASE WHEN mean_cluster_jaccard IS NULL THEN '\"Metric ''mean_cluster_jaccard'' required for weighted scoring is missing.\"' END"
+
+
+@query(f"""WITH {SCORED}, {_GATED}, kn AS (SELECT *, CASE CAST(candidate_id AS INTEGER) % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS kept FROM gt)
+  SELECT candidate_id, coalesce(kept, concat_ws(';', nullif(hard_rejection_reasons, ''), {_MISSING}) = '') AS hard_filter_passed, CASE WHEN kept IS NULL THEN concat_ws(';', nullif(hard_rejection_reasons, ''), {_MISSING}) WHEN kept THEN '' ELSE 'given' END AS hard_rejection_reasons FROM kn""")
+def score_gates(spark, d):
+    turn = F.col("candidate_id").cast("int") % 3
+    given = candidates(spark, d).withColumn("hard_filter_passed", F.when(turn == 1, True).when(turn == 2, False)).withColumn("hard_rejection_reasons", F.when(turn == 2, "given"))
+    return R.gate_where_unknown(given, _GATES, SCORE).select("candidate_id", "hard_filter_passed", "hard_rejection_reasons")
 
 
-@query(f"WITH {SCORED} SELECT candidate_id, {', '.join(rr(f'utility_{k}', f'utility_{k}') for k in SCORE)}, {rr('final_weighted_score', 'final_weighted_score')}, CASE WHEN jaccard_perturbation IS NULL THEN 'jaccard_perturbation' ELSE '' END AS missing_score_metrics FROM fs")
+@query(f"WITH {SCORED} SELECT candidate_id, {', '.join(rr(f'utility_{k}', f'utility_{k}') for k in SCORE)}, {rr('final_weighted_score', 'final_weighted_score')}, CASE WHEN mean_cluster_jaccard IS NULL THEN 'mean_cluster_jaccard' ELSE '' END AS missing_score_metrics FROM fs")
 def utility_score(spark, d):
-    return rounded(R.with_utilities(candidates(spark, d), SCORE).select("candidate_id", *[f"utility_{k}" for k in SCORE], "final_weighted_score", "missing_score_metrics"))
+    return rounded(R.with_utilities(candidates(spark, d), SCORE).select("candidate_id", *[R.utility_column(k) for k in SCORE], "final_weighted_score", "missing_score_metrics"))
+
+
+_PILOT = {"silhouette": 0.5, "runtime_seconds": 0.3, "nmi_seed": 0.2}
+
+
+@query(f"WITH {SCORED} SELECT candidate_id, {rr('utility_silhouette * 0.5 + utility_runtime * 0.3', 'pilot_score')} FROM fs")
+def pilot_score(spark, d):
+    return rounded(R.pilot_score(candidates(spark, d).drop("nmi_seed"), _PILOT).select("candidate_id", "pilot_score"))
 
 
 def accepted_registry(spark, d):
     return R.acceptance(R.hard_gates(R.with_utilities(candidates(spark, d), SCORE), _GATES), 0.5)
 
 
-_ACCEPTED = f"""{SCORED}, {_GATED}, ab AS (SELECT *, rejection_reasons = '' AND final_weighted_score IS NOT NULL AS able FROM gt), ra2 AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY final_weighted_score DESC NULLS LAST, candidate_id) AS pos, count(*) OVER (PARTITION BY able) AS nn FROM ab),
-  ac AS (SELECT * EXCLUDE (rejection_reasons), able AND pos <= greatest(1, ceil(nn * 0.5)) AS accepted, CASE WHEN able AND pos > greatest(1, ceil(nn * 0.5)) THEN 'outside_top_fraction_policy' ELSE rejection_reasons END AS rejection_reasons, rejection_reasons = '' AS hard_filter_passed FROM ra2)"""
+_ACCEPTED = f"""{SCORED}, {_GATED}, ab AS (SELECT *, hard_rejection_reasons = '' AND final_weighted_score IS NOT NULL AS able FROM gt), ra2 AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY final_weighted_score DESC NULLS LAST, candidate_id) AS pos, count(*) OVER (PARTITION BY able) AS nn FROM ab),
+  ac AS (SELECT *, able AND pos <= greatest(1, ceil(nn * 0.5)) AS accepted, CASE WHEN able AND pos > greatest(1, ceil(nn * 0.5)) THEN 'outside_top_fraction_policy' ELSE hard_rejection_reasons END AS rejection_reasons FROM ra2)"""
 
 
-@query(f"WITH {_ACCEPTED} SELECT candidate_id, accepted, rejection_reasons FROM ac")
+@query(f"WITH {_ACCEPTED} SELECT candidate_id, able AS accepted_before_top_fraction, accepted, rejection_reasons FROM ac")
 def acceptance_top_fraction(spark, d):
-    return accepted_registry(spark, d).select("candidate_id", "accepted", "rejection_reasons")
+    return accepted_registry(spark, d).select("candidate_id", "accepted_before_top_fraction", "accepted", "rejection_reasons")
 
 
-@query(f"WITH {SCORED} SELECT candidate_id, CAST(row_number() OVER (ORDER BY final_weighted_score DESC NULLS LAST, family, candidate_id) AS INTEGER) AS rank FROM (SELECT * REPLACE (round(final_weighted_score, 9) AS final_weighted_score) FROM fs)")
+@query(f"WITH {SCORED} SELECT candidate_id, CAST(row_number() OVER (ORDER BY final_weighted_score DESC NULLS LAST, family, continuous_transform, categorical_encoding, representation_name, clustering_name, candidate_id) AS INTEGER) AS rank FROM (SELECT * REPLACE (floor(final_weighted_score * 50) / 50 AS final_weighted_score) FROM fs)")
 def rank(spark, d):
-    scored = R.with_utilities(candidates(spark, d), SCORE).withColumn("final_weighted_score", F.round("final_weighted_score", 9))
+    scored = R.with_utilities(candidates(spark, d), SCORE).withColumn("final_weighted_score", F.floor(F.col("final_weighted_score") * 50) / 50)
     return R.rank(scored).select("candidate_id", "rank")
 
 
@@ -375,9 +413,14 @@ def target_k(spark, d):
     return rounded(R.target_k(accepted_registry(spark, d).where("accepted")))
 
 
-@query(f"""WITH {_ACCEPTED} SELECT unnest(['generated', 'incompatible', 'pilot_pruned', 'fully_evaluated', 'hard_rejected', 'outside_top_fraction', 'optuna_pruned', 'accepted_final', 'consensus_used']) AS stage, unnest([count(*), 0, count_if(stage = 'pilot_pruned'), count_if(stage = 'full'), count_if(stage = 'full' AND NOT hard_filter_passed AND rejection_reasons <> 'outside_top_fraction_policy'), count_if(rejection_reasons = 'outside_top_fraction_policy'), 0, count_if(accepted), count_if(accepted)])::BIGINT AS n FROM ac""")
+_WENT = "rejection_reasons LIKE '%outside_top_fraction_policy%'"
+
+
+@query(f"""WITH {_ACCEPTED} SELECT unnest(['generated_total', 'compatibility_rejected', 'pilot_pruned', 'full_evaluated', 'hard_rejected', 'accepted_before_top_fraction', 'accepted_final', 'top_fraction_rejected', 'consensus_used']) AS stage,
+  unnest([count(*), count_if(search_stage = 'compatibility_rejected'), count_if(search_stage = 'pilot_pruned' OR CAST(candidate_id AS INTEGER) % 41 = 0), count_if(search_stage = 'full_evaluated'), count_if(search_stage = 'full_evaluated' AND NOT able AND NOT {_WENT}), count_if(able), count_if(accepted), count_if({_WENT}), count_if(accepted)])::BIGINT AS count FROM ac""")
 def search_flow(spark, d):
-    return R.search_flow(accepted_registry(spark, d))
+    study = F.when(F.col("candidate_id").cast("int") % 41 == 0, "optuna_pruned")
+    return R.search_flow(accepted_registry(spark, d).withColumn("final_rejection_reasons", F.concat_ws(";", "final_rejection_reasons", study)))
 
 
 @query(f"WITH {_ACCEPTED} SELECT family, {rr('avg(runtime_seconds)', 'runtime_mean')}, count_if(accepted)::BIGINT AS accepted, count(*) AS candidates FROM ac GROUP BY family")
@@ -385,8 +428,8 @@ def family_summary(spark, d):
     return rounded(R.family_summary(accepted_registry(spark, d)))
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS candidate_id, concat_ws(';', CASE WHEN c = 'agglomerative' AND l = 'ward' AND m <> 'euclidean' THEN 'ward_needs_euclidean' END, CASE WHEN c = 'gmm' AND v = 'full' AND p > greatest(5, n // 10) THEN 'gmm_full_too_wide' END, CASE WHEN c = 'hdbscan' AND r = 'umap' AND n < 25 THEN 'too_few_rows_for_hdbscan_umap' END, CASE WHEN c = 'spectral' AND n > 5000 THEN 'spectral_too_large' END,
-  CASE WHEN r = 'autoencoder' AND p < 2 THEN 'autoencoder_needs_features' END, CASE WHEN c = 'ae_gmm' AND p < 2 THEN 'deep_needs_features' END, CASE WHEN c = 'ae_gmm' AND r <> 'none' THEN 'deep_needs_raw_features' END, CASE WHEN c = 'ae_gmm' AND 8 > greatest(2, n // 5) THEN 'latent_too_wide' END, CASE WHEN c <> 'hdbscan' AND k < 2 THEN 'k_below_two' END, CASE WHEN c <> 'hdbscan' AND k >= n THEN 'k_not_below_rows' END) AS reasons
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS candidate_id, concat_ws(';', CASE WHEN c = 'agglomerative' AND l = 'ward' AND m <> 'euclidean' THEN 'ward_requires_euclidean' END, CASE WHEN c = 'gmm' AND v = 'full' AND p > greatest(5, n // 10) THEN 'gmm_full_high_dimensionality' END, CASE WHEN c = 'hdbscan' AND r = 'umap' AND n < 25 THEN 'hdbscan_umap_requires_more_rows' END, CASE WHEN c = 'spectral' AND n > 5000 THEN 'spectral_impractical_for_dataset_size' END,
+  CASE WHEN r = 'autoencoder' AND p < 2 THEN 'autoencoder_requires_multiple_features' END, CASE WHEN c = 'ae_gmm' AND p < 2 THEN 'deep_clusterer_requires_multiple_features' END, CASE WHEN c = 'ae_gmm' AND r <> 'none' THEN 'deep_clusterer_requires_raw_processed_features' END, CASE WHEN c = 'ae_gmm' AND 8 > greatest(2, n // 5) THEN 'ae_gmm_latent_dim_too_large' END, CASE WHEN c <> 'hdbscan' AND k < 2 THEN 'cluster_count_less_than_two' END, CASE WHEN c <> 'hdbscan' AND k >= 2 AND k >= n THEN 'cluster_count_too_large_for_rows' END) AS reasons
   FROM (SELECT p_partkey, ['agglomerative', 'gmm', 'hdbscan', 'spectral', 'ae_gmm'][p_partkey % 5 + 1] AS c, ['none', 'umap', 'autoencoder'][p_partkey % 3 + 1] AS r, CASE WHEN p_partkey % 2 = 0 THEN 'ward' ELSE 'average' END AS l, CASE WHEN p_partkey % 7 = 0 THEN 'manhattan' ELSE 'euclidean' END AS m, CASE WHEN p_partkey % 11 = 0 THEN 'diag' ELSE 'full' END AS v, p_size % 12 AS k, CASE WHEN p_partkey % 13 = 0 THEN 6000 ELSE p_size END AS n, p_partkey % 9 AS p FROM part)""")
 def compatibility(spark, d):
     p = read(spark, d, "part")
@@ -399,7 +442,7 @@ def compatibility(spark, d):
 @query("SELECT t AS transform, c AS clusterer, k AS n_clusters FROM (SELECT unnest(['standard', 'robust']) AS t), (SELECT unnest(['kmeans', 'gmm']) AS c), (SELECT unnest([2, 3, 4])::INTEGER AS k)")
 def candidate_grid(spark, d):
     grid = search.candidate_grid(["standard", "robust"], ["onehot"], [{"name": "none"}], [{"name": "kmeans", "params": {"n_clusters": [2, 3, 4]}}, {"name": "gmm", "params": {"n_clusters": [2, 3, 4]}}])
-    return search.registry(spark, grid).select("transform", "clusterer", F.get_json_object("clusterer_params", "$.n_clusters").cast("int").alias("n_clusters"))
+    return search.registry(spark, grid).select(F.col("continuous_transform").alias("transform"), F.col("clustering_name").alias("clusterer"), F.get_json_object("clustering_params_json", "$.n_clusters").cast("int").alias("n_clusters"))
 
 
 # ------------------------------------------------------------------------------------------------------- consensus
@@ -528,9 +571,9 @@ def penalties(spark, d):
     return rounded(candidates(spark, d).select("candidate_id", *[e.alias(k) for k, e in X.penalties("n_clusters", 1000, 12).items()]))
 
 
-@query(f"WITH {REGISTRY} SELECT family AS candidate_id, 'inertia' AS name, {rr('avg(silhouette)', 'value')} FROM rg GROUP BY family UNION ALL SELECT family, 'bic', round(avg(jaccard_perturbation), 6) + 0.0 FROM rg WHERE jaccard_perturbation IS NOT NULL GROUP BY family")
+@query(f"WITH {REGISTRY} SELECT family AS candidate_id, 'inertia' AS name, {rr('avg(silhouette)', 'value')} FROM rg GROUP BY family UNION ALL SELECT family, 'bic', round(avg(mean_cluster_jaccard), 6) + 0.0 FROM rg WHERE mean_cluster_jaccard IS NOT NULL GROUP BY family")
 def metadata_means(spark, d):
-    runs = candidates(spark, d).select(F.col("family").alias("candidate_id"), F.map_filter(F.create_map(F.lit("inertia"), "silhouette", F.lit("bic"), "jaccard_perturbation"), lambda k, v: v.isNotNull()).alias("metadata"))
+    runs = candidates(spark, d).select(F.col("family").alias("candidate_id"), F.map_filter(F.create_map(F.lit("inertia"), "silhouette", F.lit("bic"), "mean_cluster_jaccard"), lambda k, v: v.isNotNull()).alias("metadata"))
     return rounded(X.metadata_means(runs))
 
 

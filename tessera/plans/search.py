@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import itertools
 import json
+import time
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.kernels import fit_predict, represent
+from tessera.functions.kernels import fit_predict, internal_quality, represent
 from tessera.operators import labels as L
+from tessera.operators import sampling as S
 from tessera.sources.tables import stable_id
 
-DEEP = ("ae_kmeans", "ae_gmm", "ae_centroid_refinement", "vae_gmm")
 #: Values of a feature matrix that is sent along to the fits (8 bytes each); larger tables use kmeans_distributed.
 MOST_VALUES = 20_000_000
 
@@ -25,59 +26,133 @@ def expand(params: dict) -> list[dict]:
     return [dict(zip(keys, v, strict=True)) for v in itertools.product(*[params[k] if isinstance(params[k], list) else [params[k]] for k in keys])]
 
 
-def candidate_grid(transforms: list[str], encodings: list[str], representations: list[dict], clusterers: list[dict]) -> list[dict]:
+def candidate_grid(transforms: list[str], encodings: list[str], representations: list[dict], clusterers: list[dict], dataset: dict | None = None) -> list[dict]:
+    """Every combination, in order; the id names the combination and, if given, the dataset. The family is the clusterer."""
     out = []
     for t, e, r, c in itertools.product(transforms, encodings, representations, clusterers):
         for rp, cp in itertools.product(expand(r.get("params", {})), expand(c.get("params", {}))):
             spec = {"transform": t, "encoding": e, "representation": r["name"], "representation_params": rp, "clusterer": c["name"], "clusterer_params": cp}
-            out.append(spec | {"candidate_id": stable_id(spec), "family": "deep" if c["name"] in DEEP else "classical"})
+            out.append(spec | {"candidate_id": stable_id([spec, dataset]), "family": c["name"]})
     return out
 
 
+REGISTRY = "candidate_id string, family string, continuous_transform string, categorical_encoding string, representation_name string, representation_params_json string, clustering_name string, clustering_params_json string"
+
+
 def registry(spark: SparkSession, candidates: list[dict]) -> DataFrame:
     rows = [(c["candidate_id"], c["family"], c["transform"], c["encoding"], c["representation"], json.dumps(c["representation_params"], sort_keys=True), c["clusterer"], json.dumps(c["clusterer_params"], sort_keys=True)) for c in candidates]
-    return spark.createDataFrame(rows, "candidate_id string, family string, transform string, encoding string, representation string, representation_params string, clusterer string, clusterer_params string")
+    return spark.createDataFrame(rows, REGISTRY)
+
 
+INTERNAL = ("silhouette", "davies_bouldin", "calinski_harabasz")
 
-def run_fits(points: DataFrame, candidates: DataFrame, seeds: list[int], kind: str = "seed", share: float = 0.8) -> DataFrame:
-    """(candidate_id, run_kind, run_id, row_idx, label): every candidate with every seed, a task a fit.
 
-    kind 'seed' fits all rows; 'subsample' and 'bootstrap' draw rows by the run's number, the same draws for every candidate, and
-    'bootstrap' keeps the first draw of a row.
-    """
+def fit_table(points: DataFrame, candidates: DataFrame, seeds: list[int], quality: bool = False) -> DataFrame:
+    """(candidate_id, run_id, row_idx, label, facts): every candidate with every seed, a task a fit.
+
+    A fit's facts (seconds, what the method tells of itself and, with quality, the internal metrics in the space that was clustered and
+    in that of the points) stand on one row with row_idx -1. The matrix is sent to every executor: `MOST_VALUES` bounds it."""
     spark = points.sparkSession
     rows, wide = points.agg(F.count("*"), F.max(F.size("features"))).first()
     if rows * (wide or 0) > MOST_VALUES:
         raise ValueError(f"a matrix of {rows} x {wide} is too large to send to every fit; use kmeans_distributed or a pilot sample")
     table = points.select("row_idx", "features").orderBy("row_idx").toPandas()
     x, ids = spark.sparkContext.broadcast(np.array(table.features.tolist(), float)), spark.sparkContext.broadcast(table.row_idx.to_numpy())
-    jobs = candidates.select("candidate_id", "representation", "representation_params", "clusterer", "clusterer_params").crossJoin(spark.createDataFrame([(s,) for s in seeds], "run_id int"))
+    jobs = candidates.select("candidate_id", "representation_name", "representation_params_json", "clustering_name", "clustering_params_json").crossJoin(spark.createDataFrame([(s,) for s in seeds], "run_id int"))
     count = candidates.count() * len(seeds)
 
     def fit(frames):
         for f in frames:
             for r in f.itertuples():
-                data = x.value
-                at = np.arange(len(data))
-                seed = r.run_id
-                if kind != "seed":
-                    rng = np.random.default_rng([977, r.run_id])
-                    at = np.sort(rng.choice(len(data), max(2, int(share * len(data))), replace=False)) if kind == "subsample" else np.unique(rng.integers(0, len(data), len(data)))
-                    seed = 0
-                z = represent(r.representation, data[at], json.loads(r.representation_params), seed)
-                lab, _ = fit_predict(r.clusterer, z, json.loads(r.clusterer_params), seed)
-                yield pd.DataFrame({"candidate_id": r.candidate_id, "run_kind": kind, "run_id": r.run_id, "row_idx": ids.value[at], "label": lab.astype(np.int32)})
+                began, data = time.perf_counter(), x.value
+                z = represent(r.representation_name, data, json.loads(r.representation_params_json), r.run_id)
+                lab, meta = fit_predict(r.clustering_name, z, json.loads(r.clustering_params_json), r.run_id)
+                facts = {"runtime_seconds": time.perf_counter() - began}
+                space = meta.pop("space", z)
+                facts |= {k: float(v) for k, v in meta.items() if isinstance(v, int | float)}
+                if quality:
+                    own = internal_quality(data, lab)
+                    inside = own if space is data else internal_quality(space, lab)
+                    facts |= {f"{k}_original_space": v for k, v in own.items()} | {f"{k}_cluster_space": v for k, v in inside.items()} | inside
+                yield pd.DataFrame({"candidate_id": r.candidate_id, "run_id": r.run_id, "row_idx": [-1], "label": [0], "facts": [facts]})
+                yield pd.DataFrame({"candidate_id": r.candidate_id, "run_id": r.run_id, "row_idx": ids.value, "label": lab.astype(np.int32), "facts": None})
+
+    return jobs.repartition(max(1, min(count, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(fit, "candidate_id string, run_id int, row_idx long, label int, facts map<string,double>")
+
+
+def run_fits(points: DataFrame, candidates: DataFrame, seeds: list[int]) -> DataFrame:
+    """(candidate_id, run_id, row_idx, label) of every candidate with every seed."""
+    return fit_table(points, candidates, seeds).where("row_idx >= 0").drop("facts")
+
+
+def fit_facts(fits: DataFrame) -> DataFrame:
+    return fits.where("row_idx < 0").select("candidate_id", "run_id", "facts")
+
 
-    return jobs.repartition(max(1, min(count, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(fit, "candidate_id string, run_kind string, run_id int, row_idx long, label int")
+def pair_agreement(runs: DataFrame) -> DataFrame:
+    """(candidate_id, run_a, run_b, ari, nmi) of every two runs of a candidate."""
+    a = runs.select("candidate_id", "row_idx", F.col("run_id").alias("a"), F.col("label").alias("la"))
+    b = runs.select("candidate_id", "row_idx", F.col("run_id").alias("b"), F.col("label").alias("lb"))
+    name = lambda c: F.concat_ws("/", "candidate_id", c)
+    cells = a.join(b, ["candidate_id", "row_idx"]).where("a < b").groupBy(name("a").alias("run_a"), name("b").alias("run_b"), "la", "lb").agg(F.count("*").alias("n"))
+    part = lambda c, i: F.element_at(F.split(c, "/"), i)
+    return L.ari_nmi(cells).select(part("run_a", 1).alias("candidate_id"), part("run_a", 2).cast("int").alias("run_a"), part("run_b", 2).cast("int").alias("run_b"), "ari", "nmi")
 
 
 def stability(runs: DataFrame) -> DataFrame:
     """Mean ARI and NMI over the seed pairs of each candidate."""
-    keyed = runs.withColumn("run_key", F.concat_ws("/", "candidate_id", "run_id"))
-    a = keyed.select("candidate_id", "row_idx", F.col("run_id").alias("run_a"), F.col("label").alias("la"))
-    b = keyed.select("candidate_id", "row_idx", F.col("run_id").alias("run_b"), F.col("label").alias("lb"))
-    cells = a.join(b, ["candidate_id", "row_idx"]).where("run_a < run_b").groupBy(F.concat_ws("/", "candidate_id", "run_a").alias("run_a"), F.concat_ws("/", "candidate_id", "run_b").alias("run_b"), "la", "lb").agg(F.count("*").alias("n"))
-    return L.ari_nmi(cells).groupBy(F.element_at(F.split("run_a", "/"), 1).alias("candidate_id")).agg(F.avg("ari").alias("ari_seed"), F.avg("nmi").alias("nmi_seed"))
+    return pair_agreement(runs).groupBy("candidate_id").agg(F.avg("ari").alias("ari_seed"), F.avg("nmi").alias("nmi_seed"))
+
+
+def representative_seeds(runs: DataFrame, seeds: list[int]) -> DataFrame:
+    """(candidate_id, representative_seed, representative_seed_mean_ari_to_others): the seed whose labels agree best with the others', the
+    first in the given order on ties; a single seed agrees fully."""
+    pairs = pair_agreement(runs)
+    both = pairs.select("candidate_id", F.col("run_a").alias("run_id"), "ari").union(pairs.select("candidate_id", F.col("run_b").alias("run_id"), "ari"))
+    mean = runs.select("candidate_id", "run_id").distinct().join(both.groupBy("candidate_id", "run_id").agg(F.avg("ari").alias("mean")), ["candidate_id", "run_id"], "left")
+    place = F.array_position(F.array(*map(F.lit, seeds)), F.col("run_id"))
+    best = F.max(F.struct(F.round(F.coalesce("mean", F.lit(1.0)), 12).alias("mean"), (-place).alias("place"), "run_id")).alias("r")
+    return mean.groupBy("candidate_id").agg(best).select("candidate_id", F.col("r.run_id").alias("representative_seed"), F.col("r.mean").alias("representative_seed_mean_ari_to_others"))
+
+
+def perturbation_draws(rows: DataFrame, kind: str, seed: int, run: int) -> DataFrame:
+    """(draw_idx, row_idx): n draws with replacement, repeats included, or four fifths of the rows once each."""
+    n = rows.count()
+    if kind == "bootstrap":
+        return S.bootstrap_draws(rows, n, seed, run)
+    some = S.subsample(rows.select("row_idx"), "row_idx", seed, run)
+    return some.select(F.col("row_idx").alias("draw_idx"), "row_idx")
+
+
+def perturbation_agreement(reference: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(candidate_id, mean_cluster_jaccard, mean_cluster_jaccard_symmetric, perturbation_rows_compared_mean).
+
+    reference (candidate_id, row_idx, label); drawn (candidate_id, run_id, draw_idx, row_idx, label), of which a row's first draw counts. Both
+    means are of the symmetric index, as a one-sided one would hide clusters that were merged."""
+    key = F.concat_ws("/", "candidate_id", "run_id")
+    first = L.align_perturbation(drawn.select(key.alias("run_id"), "draw_idx", "row_idx", "label")).select(F.element_at(F.split("run_id", "/"), 1).alias("candidate_id"), F.col("run_id").alias("run_b"), "row_idx", F.col("label").alias("lb"))
+    cells = reference.select("candidate_id", "row_idx", F.col("label").alias("la")).join(first, ["candidate_id", "row_idx"]).groupBy(F.col("candidate_id").alias("run_a"), "run_b", "la", "lb").agg(F.count("*").alias("n"))
+    compared = cells.groupBy("run_a", "run_b").agg(F.sum("n").alias("rows"))
+    got = L.jaccard_symmetric(cells).join(compared, ["run_a", "run_b"])
+    return got.groupBy(F.col("run_a").alias("candidate_id")).agg(F.avg("jaccard").alias("mean_cluster_jaccard"), F.avg("jaccard").alias("mean_cluster_jaccard_symmetric"), F.avg("rows").alias("perturbation_rows_compared_mean"))
+
+
+def seed_metrics(runs: DataFrame, facts: DataFrame) -> DataFrame:
+    """A row per candidate: of every metric in both spaces and of the structure the median over the seeds under its own name, and
+    _median, _mean and _sd; runtime_seconds over all seeds; means of what else the fits tell, as metadata."""
+    named = runs.select(F.concat_ws("/", "candidate_id", "run_id").alias("run_id"), "row_idx", "label")
+    split = F.split("run_id", "/")
+    structure = L.structure_summary(named).join(L.min_fraction(named), "run_id").join(L.cluster_balance(named), "run_id").withColumn("candidate_id", F.element_at(split, 1)).withColumn("run_id", F.element_at(split, 2).cast("int"))
+    inner = [f"{m}{space}" for m in INTERNAL for space in ("", "_cluster_space", "_original_space")]
+    shape = [c for c in structure.columns if c not in ("candidate_id", "run_id")]
+    per_run = structure.join(facts, ["candidate_id", "run_id"]).select("candidate_id", *[F.col(c).cast("double").alias(c) for c in shape], *[F.col("facts")[m].alias(m) for m in inner])
+    summary = L.seed_summary(per_run, [*shape, *inner], ["candidate_id"])
+    summary = summary.withColumns({m: F.col(f"{m}_median") for m in [*shape, *inner]})
+    told = facts.select("candidate_id", F.explode("facts").alias("name", "value")).where(~F.col("name").isin("runtime_seconds", *inner))
+    means = told.groupBy("candidate_id", "name").agg(F.avg("value").alias("value")).groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("metadata"))
+    seconds = facts.groupBy("candidate_id").agg(F.sum(F.col("facts")["runtime_seconds"]).alias("runtime_seconds"), F.count("*").cast("double").alias("seed_runs"))
+    out = summary.join(seconds, "candidate_id").join(means, "candidate_id", "left")
+    return out.withColumns({m: F.col("metadata")[m] for m in ("average_confidence", "assignment_entropy", "reconstruction_loss")})
 
 
 def kmeans_distributed(points: DataFrame, k: int, seed: int, rounds: int = 20) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV (header, inferred types, empty fields null) or Parquet, by suffix; NaN counts as missing from here on."""
-    suffix = Path(path).suffix.lower()
+    """CSV (header, inferred types, empty fields and the tokens for missing values null) or Parquet, by suffix; NaN counts as missing."""
+    suffix = os.path.splitext(path)[1].lower()
     if suffix == ".csv":
-        df = spark.read.csv(path, header=True, inferSchema=True, nullValue="")
+        df = _read_csv(spark, path)
     elif suffix in (".parquet", ".pq"):
         df = spark.read.parquet(path)
     else:
@@ -23,6 +23,23 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(df)
 
 
+# Fields of a CSV file that mean that there is no value.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Types are inferred with the missing tokens out of the way: as whole numbers, numbers or truth values where all values are, else text.
+
+    One pass over the text tells which kinds each column allows; values are cast when they are read."""
+    text = spark.read.csv(path, header=True)
+    text = text.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in text.columns])
+    kinds = {"bigint": r"^\s*[+-]?\d{1,18}\s*$", "double": r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?inf(inity)?\s*$", "boolean": r"(?i)^(true|false)$"}
+    checks = [F.count_if(F.col(f"`{c}`").isNotNull() & ~F.col(f"`{c}`").rlike(r)).alias(f"{i}_{k}") for i, c in enumerate(text.columns) for k, r in kinds.items()]
+    odd = text.agg(*checks).first() if checks else {}
+    types = [next((k for k in kinds if odd[f"{i}_{k}"] == 0), "string") for i in range(len(text.columns))]
+    return text.select(*[(F.trim(F.col(f"`{c}`")) if t != "string" else F.col(f"`{c}`")).cast(t).alias(c) for c, t in zip(text.columns, types, strict=True)])
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
@@ -45,15 +62,67 @@ def write_table(df: DataFrame, path: str) -> None:
         raise ValueError(f"unsupported table format: {suffix or path}")
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """One CSV file with a header, for tables of report size: through the driver, row by row."""
+    import csv
+    import io
+
+    out = io.StringIO()
+    rows = csv.writer(out, lineterminator="\n")
+    rows.writerow(df.columns)
+    for r in df.toLocalIterator():
+        rows.writerow(["" if v is None else v for v in r])
+    write_text(out.getvalue(), path)
+
+
+def _hadoop(path: str):
+    """The file system that holds path and path itself, or neither where no session runs: then files are local."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return None, None
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(path: str) -> bool:
+    fs, p = _hadoop(path)
+    return fs.exists(p) if fs else Path(path).exists()
+
+
+def write_text(text: str, path: str) -> None:
+    """A small file in whatever file system Spark reads the path from."""
+    fs, p = _hadoop(path)
+    if fs is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text)
+        return
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(path: str) -> str:
+    fs, p = _hadoop(path)
+    if fs is None:
+        return Path(path).read_text()
+    utils = SparkSession.getActiveSession().sparkContext._jvm.org.apache.commons.io.IOUtils
+    stream = fs.open(p)
+    try:
+        return utils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def write_json(value, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True))
+    write_text(json.dumps(value, indent=2, sort_keys=True, default=str), path)
 
 
 def read_yaml(path: str) -> dict:
     import yaml
 
-    value = yaml.safe_load(Path(path).read_text())
+    value = yaml.safe_load(read_text(path))
     if not isinstance(value, dict):
         raise ValueError("a configuration file must hold a mapping")
     return value
@@ -62,8 +131,7 @@ def read_yaml(path: str) -> dict:
 def write_yaml(value: dict, path: str) -> None:
     import yaml
 
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(yaml.safe_dump(value, sort_keys=False))
+    write_text(yaml.safe_dump(value, sort_keys=False), path)
 
 
 def table_profile(df: DataFrame) -> DataFrame:
@@ -110,5 +178,13 @@ def mark_stage(folder: str, stage: str, **details) -> None:
 
 
 def read_stage(folder: str, stage: str) -> dict | None:
-    p = Path(folder) / "state" / f"{stage}.json"
-    return json.loads(p.read_text()) if p.exists() else None
+    path = f"{folder}/state/{stage}.json"
+    return json.loads(read_text(path)) if exists(path) else None
+
+
+def fingerprint(df: DataFrame, path: str | None = None) -> dict:
+    """What names a table's content, whatever the order of its rows: counts, columns and an order-free sum of row hashes; with path, the
+    file's size and time too."""
+    got = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")).alias("h")).first()
+    out = {"rows": got.n, "columns": df.dtypes, "content": stable_id(str(got.h))}
+    return out | ({"file": file_fingerprint(path)} if path and os.path.exists(path) else {})

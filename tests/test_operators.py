@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.config import ExperimentConfig, deep_merge
+from tessera.config import ExperimentConfig, deep_merge, load_config
 from tessera.functions import kernels as K
 from tessera.operators import consensus as C
 from tessera.operators import explain as E
@@ -50,6 +50,12 @@ def test_query_equals_its_sql(spark, duck, name):
     assert str(plain(got)).replace("True", "1.0") == str(plain(want)).replace("True", "1.0")
 
 
+def brute_matching(gain):
+    """The best matching by trying all."""
+    small, large = (gain, gain.T) if gain.shape[0] <= gain.shape[1] else (gain.T, gain)
+    return max(sum(small[i, p[i]] for i in range(len(small))) for p in itertools.permutations(range(small.shape[1]), len(small)))
+
+
 def runs(spark, *labels):
     return spark.createDataFrame([(r, i, int(x)) for r, lab in enumerate(labels) for i, x in enumerate(lab)], "run_id int, row_idx long, label int")
 
@@ -75,7 +81,7 @@ def test_assignment_matches_brute_force():
     r = np.random.default_rng(0)
     for _ in range(40):
         gain = r.random(r.integers(1, 6, 2))
-        assert L.assign(gain) == pytest.approx(L.brute_matching(gain))
+        assert L.assign(gain) == pytest.approx(brute_matching(gain))
 
 
 def test_silhouette_in_blocks(spark, monkeypatch):
@@ -162,9 +168,12 @@ def test_acceptance_twice_changes_nothing(spark):
 
 
 def test_gates_on_missing_and_nan(spark):
-    df = spark.createDataFrame([(3.9, 0.5, 0.0, 0.2, None), (3.0, 0.5, 0.0, 0.2, float("nan")), (1.0, 0.9, 0.5, 0.0, 0.9)], "n_clusters double, dominant_fraction double, noise_fraction double, min_cluster_fraction double, silhouette double")
-    got = [r.rejection_reasons for r in R.hard_gates(df, {"silhouette_min": 0.1}).collect()]
-    assert got == ["silhouette_below_threshold", "", "n_clusters_below_min;dominant_cluster;noise_fraction;min_cluster_fraction"]
+    df = spark.createDataFrame([(3.9, 0.5, 0.0, 0.2, None), (3.0, 0.5, 0.0, 0.2, float("nan")), (1.0, 0.9, 0.5, 0.0, 0.9)], "n_clusters double, dominant_cluster_fraction double, noise_fraction double, min_cluster_fraction double, silhouette double")
+    got = [r.hard_rejection_reasons for r in R.hard_gates(df, {"silhouette_min": 0.1}).collect()]
+    assert got == ["silhouette_below_threshold", "", "cluster_count_out_of_range;dominant_cluster_too_large;noise_fraction_too_large;cluster_too_small"]
+    assert [r.hard_rejection_reasons for r in R.hard_gates(df.select("n_clusters"), {}).collect()] == ["", "", "cluster_count_out_of_range"]
+    scored = R.gate_where_unknown(df, {}, {"silhouette": 0.5, "runtime": 0.5})
+    assert [r.hard_rejection_reasons.split(";")[-1] for r in scored.collect()] == ["\"Metric 'silhouette' required for weighted scoring is missing.\""] * 2 + ["\"Metric 'runtime_seconds' required for weighted scoring is missing.\""]
 
 
 def test_consensus_of_signatures_equals_rows(spark):
@@ -259,38 +268,201 @@ def test_sources(spark, tmp_path):
     assert T.stable_id({"a": 1, "b": 2}) == T.stable_id({"b": 2, "a": 1})
 
 
-BASE = {"data": {"path": "x.csv", "id_column": "id", "column_schema": {"continuous": ["x"]}}, "clustering": [{"name": "kmeans", "params": {"n_clusters": [2, 3]}}]}
+BASE = {"data": {"path": "x.csv", "id_column": "id", "column_schema": {"continuous": ["x"]}}, "clustering": {"methods": [{"name": "kmeans", "params": {"n_clusters": [2, 3]}}]}}
 
 
-@pytest.mark.parametrize("wrong", [{"data": {"target_columns": ["x"]}}, {"data": {"id_column": "x"}}, {"clustering": [{"name": "magic"}]}, {"unknown": 1}, {"data": {"ordinal_maps": {"x": [1]}}}, {"data": {"column_schema": {"binary": ["x"]}}}])
+@pytest.mark.parametrize("wrong", [{"data": {"target_columns": ["x"]}}, {"data": {"id_column": "x"}}, {"clustering": {"methods": [{"name": "magic"}]}}, {"clustering": {"methods": []}}, {"search": {"stability_mode": "none"}}, {"unknown": 1}, {"data": {"ordinal_maps": {"x": [1]}}}, {"data": {"column_schema": {"binary": ["x"]}}}])
 def test_configuration_errors(wrong):
     ExperimentConfig.model_validate(BASE)
     with pytest.raises(ValueError):
         ExperimentConfig.model_validate(deep_merge(BASE, wrong))
 
 
-def test_experiment_end_to_end(spark, tmp_path):
+FILE = """
+experiment: {name: keys, output_dir: ./out, random_seed: 42, n_jobs: 1, use_ray: false, use_mlflow: false, use_gpu_if_available: false}
+data:
+  path: ./t.csv
+  id_column: id
+  target_columns: [truth]
+  column_schema: {continuous: [a, b], binary: [flag], categorical: [site], ordinal: [grade]}
+  ordinal_maps: {grade: [mild, moderate, severe]}
+  missingness: {continuous_imputer: iterative, categorical_imputer: most_frequent, add_missing_indicators: true, knn: {n_neighbors: 3, weights: distance}, iterative: {max_iter: 4, initial_strategy: mean, sample_posterior: false, random_state: null, estimator: bayesian_ridge}}
+search: {pilot_sample_fraction: 0.4, pilot_min_rows: 150, seeds_pilot: [101], seeds_full: [101, 102], perturbations_full: 2, perturbation_type: bootstrap, stability_mode: processed_matrix, optuna: {enabled: false, sampler: TPESampler, pruner: MedianPruner, n_trials_per_family: 3}}
+preprocessing: {continuous_transforms: [standard, robust], categorical_encoding: [onehot], rare_category_collapse: {enabled: true, min_frequency: 2, replacement: other}, variance_threshold: {enabled: true, threshold: 0.0}}
+representation: {methods: [{name: none}, {name: pca, params: {n_components: [2], whiten: [false, true]}}]}
+clustering: {methods: [{name: kmeans, params: {n_clusters: [2, 3]}}, {name: vade, params: {n_clusters: 2}}]}
+evaluation:
+  internal_metrics: [silhouette]
+  structure_constraints: {min_clusters: 2, max_clusters: 8, min_cluster_fraction: 0.03, max_noise_fraction: 0.35, dominant_cluster_cap: 0.85}
+  acceptance: {hard_thresholds: {silhouette_min: 0.0}, weighted_score: {silhouette: 0.5, mean_cluster_jaccard: 0.5}, accept_top_fraction_if_above: 0.5}
+consensus: {include_only_accepted: true, run_weighting: {source: final_weighted_score, normalize: true, floor: 0.01}, consensus_method: spectral_on_coassociation, final_k_strategy: data_driven, coassociation_storage: auto, max_dense_n: 500, uncertainty: {bootstrap_repeats: 3, ambiguous_top2_gap_threshold: 0.2, ambiguous_entropy_quantile: 0.8}}
+interpretation: {surrogate_model: random_forest, feature_space: best_candidate_preprocessing, continuous_transform: standard, categorical_encoding: onehot, cross_validation_folds: 3, repeated_cv_repeats: 1, use_shap: false, use_permutation_importance: false, top_n_features: 10, grouped_correlation_threshold: 0.85}
+reporting: {generate_figures: false, generate_tables: true, manuscript_bundle: true}
+"""
+
+
+def test_every_key_of_a_file_is_read(tmp_path):
+    (tmp_path / "e.yaml").write_text(FILE)
+    c = load_config(str(tmp_path / "e.yaml"))
+    assert c.data.path == str(tmp_path / "t.csv") and c.evaluation.structure_constraints.dominant_cluster_cap == 0.85 and c.consensus.uncertainty.bootstrap_repeats == 3
+    (tmp_path / "short.yaml").write_text("experiment: {name: s, output_dir: o}\ndata: {path: t.csv, column_schema: {continuous: [a]}}\n")
+    short = load_config(str(tmp_path / "short.yaml"))
+    assert short.search.perturbation_type == "subsample" and short.search.stability_mode == "full_pipeline" and [m.name for m in short.clustering.methods] == ["kmeans"]
+    assert short.evaluation.acceptance.weighted_score["mean_cluster_jaccard"] == 0.25 and short.evaluation.acceptance.hard_thresholds["silhouette_min"] == -1.0
+    for line in ("unknown: 1", "search: {trials: 3}", "evaluation: {structure: {}}"):
+        (tmp_path / "bad.yaml").write_text((tmp_path / "short.yaml").read_text() + line + "\n")
+        with pytest.raises(ValueError):
+            load_config(str(tmp_path / "bad.yaml"))
+
+
+def test_missing_tokens_of_csv_files(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("id,n,x,flag,s\np1,1,1.5,True,a\np2,NA,NaN,,n/a\np3,3,-2e3,False,NULL\np4,NULL,,True,x y\n")
+    t = T.load_table(spark, str(tmp_path / "t.csv"))
+    assert dict(t.dtypes) == {"id": "string", "n": "bigint", "x": "double", "flag": "boolean", "s": "string"}
+    assert {r.id: (r.n, r.x, r.flag, r.s) for r in t.collect()} == {"p1": (1, 1.5, True, "a"), "p2": (None, None, None, None), "p3": (3, -2000.0, False, None), "p4": (None, None, True, "x y")}
+
+
+def blob_table(spark, tmp_path, n=60):
     r = np.random.default_rng(6)
     rows = []
-    for i in range(60):
-        g = i // 20
+    for i in range(n):
+        g = i // (n // 3)
         rows.append((f"p{i:02d}", None if i == 7 else float(r.normal(g * 6, 0.7)), float(r.normal(-g * 5, 0.7)), g == 1, ["north", "south", "east"][g] if i != 31 else None, g))
     table = str(tmp_path / "in.parquet")
     spark.createDataFrame([(a, b, c, int(d), e, g) for a, b, c, d, e, g in rows], "id string, a double, b double, flag int, site string, truth int").write.parquet(table)
-    config = ExperimentConfig.model_validate({
+    return table
+
+
+def blob_config(table, tmp_path, **over):
+    return ExperimentConfig.model_validate(deep_merge({
         "experiment": {"name": "e", "output_dir": str(tmp_path)}, "data": {"path": table, "id_column": "id", "target_columns": ["truth"], "column_schema": {"continuous": ["a", "b"], "binary": ["flag"], "categorical": ["site"]}},
-        "search": {"seeds_full": [1, 2], "seeds_pilot": [1], "perturbations_full": 2}, "clustering": [{"name": "kmeans", "params": {"n_clusters": [3, 99]}}, {"name": "agglomerative", "params": {"n_clusters": 3}}],
-        "consensus": {"bootstrap_repeats": 2}, "interpretation": {"folds": 2, "repeats": 1, "trees": 5, "permutation_repeats": 1},
-    })
-    e = Experiment(spark, config)
+        "search": {"seeds_full": [1, 2], "seeds_pilot": [1], "perturbations_full": 1}, "clustering": {"methods": [{"name": "kmeans", "params": {"n_clusters": [3, 99]}}, {"name": "agglomerative", "params": {"n_clusters": 3}}]},
+        "evaluation": {"acceptance": {"weighted_score": {"silhouette": 0.5, "mean_cluster_jaccard": 0.3, "runtime": 0.1, "parsimony": 0.1}}},
+        "consensus": {"uncertainty": {"bootstrap_repeats": 2}}, "interpretation": {"surrogate_model": "random_forest", "cross_validation_folds": 2, "repeated_cv_repeats": 1, "use_permutation_importance": False, "use_shap": False},
+    }, over))
+
+
+def test_experiment_end_to_end(spark, tmp_path):
+    table = blob_table(spark, tmp_path)
+    e = Experiment(spark, blob_config(table, tmp_path))
     assert e.validate()["candidates"] == 3
     reg = e.run()
-    assert reg.where("accepted").count() == 2 and reg.where("stage = 'incompatible'").count() == 1
+    assert reg.where("accepted").count() == 2 and reg.where("search_stage = 'compatibility_rejected'").first().rejection_reasons == "cluster_count_too_large_for_rows"
+    one = reg.where("accepted and clustering_name = 'kmeans'").first()
+    assert one.silhouette == one.silhouette_cluster_space == one.silhouette_original_space and one.silhouette_sd >= 0 and one.seed_runs == 2 and one.representative_seed == 1
+    assert one.mean_cluster_jaccard > 0.95 and one.perturbation_rows_compared_mean < 60 and one.parsimony_penalty == pytest.approx(np.log1p(3) / np.log1p(60)) and one.metadata["inertia"] > 0
+    times = [r.runtime_seconds for r in reg.where("accepted").collect()]
+    assert min(times) > 0 and len(set(times)) == 2
     labels = spark.read.parquet(e._path("consensus/labels")).join(spark.read.parquet(table).select("id", "truth"), "id").toPandas()
     assert agree(labels.consensus_label, labels.truth)
     again = Experiment.from_output_dir(spark, str(e.folder)).resume()
     assert again.count() == 3 and e.status()["report"]
-    assert (Path(e.export_manuscript_bundle()) / "tables" / "search_flow.csv").exists()
+    tables = Path(e.export_manuscript_bundle()) / "tables"
+    assert {"search_flow.csv", "candidate_registry.csv", "cluster_size_confidence.csv", "embedding.csv", "pairwise_cluster_contrasts.csv"} <= {p.name for p in tables.iterdir()}
+    assert (tables / "search_flow.csv").read_text().splitlines()[:2] == ["stage,count", "generated_total,3"]
+
+
+def test_interrupted_search_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    from tessera.plans import experiment
+
+    monkeypatch.setattr(experiment, "BATCH", 1)
+    config = blob_config(blob_table(spark, tmp_path), tmp_path, search={"perturbations_full": 0})
+    e, real, fitted = Experiment(spark, config), search.fit_table, []
+
+    def counted(points, table, seeds, quality=False):
+        fitted.extend(r.candidate_id for r in table.select("candidate_id").collect())
+        if len(set(fitted)) == 2:
+            raise KeyboardInterrupt
+        return real(points, table, seeds, quality)
+
+    monkeypatch.setattr(search, "fit_table", counted)
+    with pytest.raises(KeyboardInterrupt):
+        e.search()
+    kept = {r.candidate_id for r in e._kept("results").collect()}
+    assert len(kept) == 2 and e.status()["search"] is None  # one fitted, one incompatible
+    fitted.clear()
+    monkeypatch.setattr(search, "fit_table", lambda p, t, s, quality=False: (fitted.extend(r.candidate_id for r in t.select("candidate_id").collect()), real(p, t, s, quality))[1])
+    assert e.search().count() == 3 and len(set(fitted)) == 1 and not set(fitted) & kept
+
+
+def test_study_is_kept_with_its_trials(spark, tmp_path):
+    config = blob_config(blob_table(spark, tmp_path), tmp_path, search={"perturbations_full": 0, "optuna": {"enabled": True, "n_trials_per_family": 4}}, clustering={"methods": [{"name": "kmeans", "params": {"n_clusters": [2, 3, 99]}}]})
+    e = Experiment(spark, config)
+    reg = e.search()
+    trials = e._table("optuna/kmeans_trials")
+    assert trials.count() == 4 and {r.status for r in trials.collect()} <= {"completed", "pruned", "invalid"} and reg.count() == trials.select("candidate_id").distinct().count()
+    best = T.read_yaml(f"{e.folder}/optuna/kmeans_study_summary.json")
+    done = [r.final_weighted_score for r in trials.where("status = 'completed'").collect()]
+    assert best["best_value"] == (pytest.approx(max(done)) if done else None)
+
+
+def test_draws_keep_their_repeats_and_the_pipeline_is_fitted_on_them(spark, tmp_path):
+    rows = spark.range(200).withColumnRenamed("id", "row_idx")
+    draws = search.perturbation_draws(rows, "bootstrap", 3, 0).toPandas()
+    assert len(draws) == 200 and 100 < draws.row_idx.nunique() < 150
+    some = search.perturbation_draws(rows, "subsample", 3, 0).toPandas()
+    assert len(some) == some.row_idx.nunique() == 160
+    reference = spark.createDataFrame([("c", i, i // 2) for i in range(6)], "candidate_id string, row_idx long, label int")
+    drawn = spark.createDataFrame([("c", 0, d, r, l) for d, (r, l) in enumerate([(0, 10), (0, 11), (1, 10), (3, 11), (3, 11), (5, 12)])], "candidate_id string, run_id int, draw_idx long, row_idx long, label int")
+    got = search.perturbation_agreement(reference, drawn).first()
+    assert got.mean_cluster_jaccard == pytest.approx(1.0) and got.perturbation_rows_compared_mean == 4
+    config = blob_config(blob_table(spark, tmp_path), tmp_path, search={"perturbation_type": "bootstrap"})
+    e, seen = Experiment(spark, config), []
+    real = e.features
+    e.features = lambda rows, *v: (seen.append(rows.count()), real(rows, *v))[1]
+    e.search()
+    assert seen == [60, 60]  # the table, and the one draw with its repeats
+
+
+def test_seeds_are_summarised_and_the_most_typical_one_stands_for_all(spark):
+    lab = {1: [0, 1, 0, 1], 2: [0, 0, 1, 1], 3: [0, 0, 1, 1]}
+    runs_ = spark.createDataFrame([("c", s, i, v) for s, l in lab.items() for i, v in enumerate(l)], "candidate_id string, run_id int, row_idx long, label int")
+    got = search.representative_seeds(runs_, [1, 2, 3]).first()
+    assert got.representative_seed == 2
+    assert search.representative_seeds(runs_.where("run_id = 3"), [3]).first().representative_seed_mean_ari_to_others == 1.0
+    x = np.random.default_rng(2).normal(size=(40, 3)) + np.repeat([[0, 0, 0], [6, 0, 0]], 20, 0)
+    lab = np.repeat([0, 1], 20)
+    points = spark.createDataFrame([(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(x, lab, strict=True))], "row_idx long, features array<double>, label int")
+    got = K.internal_quality(x, lab, 7)
+    assert got["silhouette"] == pytest.approx(Q.silhouette(points).first()[0]) and got["davies_bouldin"] == pytest.approx(Q.davies_bouldin(points).first()[0]) and got["calinski_harabasz"] == pytest.approx(Q.calinski_harabasz(points).first()[0])
+    assert K.internal_quality(x, np.zeros(40, int)) == {"silhouette": -1.0, "davies_bouldin": float("inf"), "calinski_harabasz": 0.0}
+
+
+def test_surrogates_tell_which_features_matter(spark):
+    r = np.random.default_rng(4)
+    lab = np.repeat([0, 1, 2], 30)
+    x = np.column_stack([lab * 4 + r.normal(size=90), r.normal(size=90), (lab == 1) * 2 + r.normal(size=90)])
+    data = spark.createDataFrame([(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(x, lab, strict=True))], "row_idx long, features array<double>, label int")
+    held = {h.feature: h for h in E.heldout_importance(data, "row_idx", ["a", "b", "c"], 3, 1, 10, 1).collect()}
+    assert held["a"].importance_mean > 0.2 > abs(held["b"].importance_mean) and held["a"].fold_count == 3
+    few = E.heldout_importance(data.where("row_idx < 31"), "row_idx", ["a", "b", "c"], 3)
+    assert {(r.importance_mean, r.fold_count) for r in few.collect()} == {(0.0, 0)}
+    with pytest.warns(UserWarning):
+        folds, cells = E.surrogate_cv(data.where("row_idx < 31"), "row_idx", 3)
+    assert np.isnan(folds.first().accuracy) and cells.count() == 0
+    values = {v.feature: v.mean_abs_shapley for v in E.surrogate_shapley(data, ["a", "b", "c"], 10, permutations=3, most=30).collect()}
+    assert values["a"] > values["c"] > 0 and values["a"] > 3 * values["b"]
+
+
+def test_noise_has_no_shapley_value(spark):
+    from tessera.operators import reporting as X
+
+    r = np.random.default_rng(11)
+    x = r.normal(size=(40, 2))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_idx long, features array<double>")
+
+    def predict(z):  # the second feature moves the score up or down by what the first one is: over many orders its own share is small
+        p = 0.5 + 0.4 * np.tanh(z[:, 0]) + 0.1 * np.sign(z[:, 0]) * np.sin(40 * z[:, 1])
+        return np.column_stack([p, 1 - p])
+
+    got = {v.feature: v.mean_abs_shapley for v in X.shapley(points, predict, x, ["a", "b"], 200).collect()}
+    assert got["a"] > 5 * got["b"]
+
+
+def test_categorical_contrasts(spark):
+    df = spark.createDataFrame([(0, "x", None), (0, "x", None), (1, "y", None), (1, "x", None), (1, "y", None)], "label int, site string, gone string")
+    got = {r.feature: (r.comparison, r.effect_size) for r in E.contrasts(df, "label", categorical=["site", "gone"]).collect()}
+    assert got == {"site": ("x vs y", 1.0), "gone": ("unknown vs unknown", 0.0)}
 
 
 def test_data_driven_k_equals_row_level_silhouette(spark):
