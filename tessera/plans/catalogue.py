@@ -192,10 +192,15 @@ def variance_filter(spark, d):
     return P.variance_filter(read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.lit(1.0).alias("constant")), ["size", "constant"], 0.0)
 
 
-@query()
+_FILLED = f"""WITH {GAPPY}, fi AS (SELECT (SELECT quantile_cont(bal, 0.5) FROM g) AS med, (SELECT seg FROM g WHERE seg IS NOT NULL GROUP BY seg ORDER BY count(*) DESC, seg LIMIT 1) AS top, (SELECT list_sort(list(DISTINCT seg)) FROM g WHERE seg IS NOT NULL) AS levels),
+  x AS (SELECT c_custkey, coalesce(bal, med) AS b, bal IS NULL AS b0, coalesce(seg, top) AS s, seg IS NULL AS s0, levels FROM g, fi), z AS (SELECT avg(b) AS m, stddev_pop(b) AS sd FROM x)"""
+
+
+@query(f"{_FILLED} SELECT c_custkey, {rr('(b - m) / sd', 'f0')}, CAST(b0 AS DOUBLE) AS f1, {', '.join(f'CAST(s = levels[{i}] AS DOUBLE) AS f{i + 1}' for i in range(1, 6))}, CAST(s0 AS DOUBLE) AS f7 FROM x, z")
 def preprocess_pipeline(spark, d):
-    features, _ = P.preprocess(gappy(spark, d), P.Roles(continuous=["bal"], categorical=["seg"]), "c_custkey")
-    return features.select("c_custkey", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    """Gaps filled, flagged, scaled and encoded: one column of the matrix after the other."""
+    features, names = P.preprocess(gappy(spark, d), P.Roles(continuous=["bal"], categorical=["seg"]), "c_custkey")
+    return rounded(features.select("c_custkey", *[F.col("features")[i].alias(f"f{i}") for i in range(len(names))]))
 
 
 # -------------------------------------------------------------------------------------------------------- sampling
@@ -340,6 +345,14 @@ def pca_scores(spark, d):
     return Q.pca(points(spark, d), 2).select("row_idx", F.round(F.col("scores")[0], 6).alias("pc1"), F.round(F.col("scores")[1], 6).alias("pc2"))
 
 
+@query(f"WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m FROM e GROUP BY i) SELECT vec_id AS row_idx, {rr('sum((x - m) ** 2)', 'energy')} FROM e JOIN m USING (i) GROUP BY vec_id")
+def pca_energy(spark, d):
+    """Squared length of all scores of a row: what no rotation and no sign changes, the squared distance from the mean."""
+    p = points(spark, d)
+    full = Q.pca(p, p.select(F.size("features")).first()[0])
+    return rounded(full.select("row_idx", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x).alias("energy")))
+
+
 # --------------------------------------------------------------------------------------------------------- scoring
 
 
@@ -543,6 +556,21 @@ def seed_stability(spark, d):
     return rounded(search.stability(search.run_fits(blobs(spark, d), search.registry(spark, grid), [101, 102, 103])))
 
 
+_FINDERS = {"kmeans": {"n_clusters": None}, "minibatch_kmeans": {"n_clusters": None}, "gmm": {"n_components": None, "covariance_type": "diag"}, "agglomerative": {"n_clusters": None, "linkage": "average"}, "spectral": {"n_clusters": None}, "birch": {"n_clusters": None}, "hdbscan": {"min_cluster_size": 10}}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS clusterer, true AS found" for n in _FINDERS))
+def clusterers_find_groups(spark, d):
+    """Whether each clusterer, told how many groups were planted, agrees with them: an adjusted Rand index above 0.9."""
+    planted = blobs(spark, d)
+    k = planted.select("label").distinct().count()
+    grid = search.candidate_grid(["none"], ["onehot"], [{"name": "none"}], [{"name": n, "params": {a: k if v is None else v for a, v in p.items()}} for n, p in _FINDERS.items()])
+    fits = search.run_fits(planted, search.registry(spark, grid), [101]).join(search.registry(spark, grid).select("candidate_id", "clustering_name"), "candidate_id")
+    every = fits.select(F.concat(F.lit("x_"), F.col("clustering_name")).alias("run_id"), "row_idx", "label").union(planted.select(F.lit("planted").alias("run_id"), "row_idx", "label"))
+    pairs = L.ari_nmi(L.contingency(every)).where("run_a = 'planted'")
+    return pairs.select(F.substring("run_b", 3, 50).alias("clusterer"), (F.col("ari") > 0.9).alias("found"))
+
+
 @query()
 def kmeans_at_scale(spark, d):
     return search.kmeans_distributed(blobs(spark, d), 3, 7)
@@ -616,12 +644,17 @@ def family_comparison(spark, d):
     return rounded(X.family_comparison(R.family_summary(accepted_registry(spark, d))))
 
 
-@query()
+_CUT = f"""{_PAIRS}, cuts AS (SELECT 0 AS k, co.i, co.j, 1 - co.c AS d, x.a AS li, y.a AS lj FROM co JOIN v x ON x.row_idx = co.i JOIN v y ON y.row_idx = co.j UNION ALL SELECT 1, co.i, co.j, 1 - co.c, x.b, y.b FROM co JOIN v x ON x.row_idx = co.i JOIN v y ON y.row_idx = co.j),
+  per AS (SELECT k, i, li = lj AS own, lj, sum(d) FILTER (i <> j) AS t, count(*) FILTER (i <> j) AS m FROM cuts GROUP BY k, i, li, lj),
+  ea AS (SELECT k, i, max(t / m) FILTER (own AND m > 0) AS a, max(m) FILTER (own) AS am, min(t / m) FILTER (NOT own) AS b FROM per GROUP BY k, i)"""
+
+
+@query(f"WITH {_CUT} SELECT k, {rr('avg(CASE WHEN am = 0 OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END)', 'silhouette')} FROM ea GROUP BY k")
 def data_driven_k(spark, d):
-    runs = label_runs(spark, d)
-    sigs = C.signatures(runs)[0]
-    cuts = sigs.select(F.lit(3).alias("k"), "sig_id", "n", F.get("labels", F.lit(0)).alias("label"))
-    return rounded(X.data_driven_k(cuts, C.signature_agreement(sigs, WEIGHTS)))
+    """Silhouettes of two given cuts, those of the first two runs, over the runs' agreement."""
+    sigs = C.signatures(label_runs(spark, d))[0]
+    cut = lambda i: sigs.select(F.lit(i).alias("k"), "sig_id", "n", F.get("labels", F.lit(i)).alias("label"))
+    return rounded(X.data_driven_k(cut(0).union(cut(1)), C.signature_agreement(sigs, WEIGHTS)))
 
 
 @query()
