@@ -21,8 +21,73 @@ def _broadcast_fit(df: DataFrame, **exprs: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[e.alias(k) for k, e in exprs.items()])))
 
 
+#: Ranges that one pass of exact_quantiles counts a column in, and values of one range that are brought together at last.
+RANGES, GATHERED = 1024, 20_000
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of every column, null for a column without values; no value is held per distinct value.
+
+    Values are counted in ranges of equal width; the range that holds a wanted rank is counted again in narrower ones until it holds few
+    values, which are sorted. A pass ships a few counts a column and task; rounds depend on the spread of the values, not on the rows."""
+    if not columns:
+        return {}
+    x = {i: F.col(f"`{c}`").cast("double") for i, c in enumerate(columns)}
+    x = {i: F.when(~F.isnan(v), v) for i, v in x.items()}
+    ends = df.agg(*[e for i, v in x.items() for e in (F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}"))]).first()
+    endless = [i for i in x if ends[f"n{i}"] and math.isinf(ends[f"z{i}"] - ends[f"a{i}"])]
+    if endless:  # no ranges of equal width
+        rest = exact_quantiles(df, [c for i, c in enumerate(columns) if i not in endless], shares)
+        got = df.agg(*[F.percentile(x[i], F.array(*map(F.lit, shares))).alias(f"q{i}") for i in endless]).first()
+        return {c: got[f"q{i}"] if i in endless else rest[c] for i, c in enumerate(columns)}
+    wanted: dict[tuple[int, int], float | None] = {}
+    for i in x:
+        n = ends[f"n{i}"]
+        for q in shares if n else []:
+            wanted |= dict.fromkeys([(i, math.floor(q * (n - 1))), (i, math.ceil(q * (n - 1)))])
+    # ranges still open: column -> {(from, to, rows before it, rows in it): ranks}
+    open_ = {(i, ends[f"a{i}"], ends[f"z{i}"], 0, ends[f"n{i}"]): [k for j, k in wanted if j == i] for i in x if ends[f"n{i}"]}
+    while open_:
+        few = {r: ks for r, ks in open_.items() if r[1] == r[2] or r[4] <= GATHERED}
+        many = {r: ks for r, ks in open_.items() if r not in few}
+        for (i, lo, hi, before, n), ks in few.items():
+            if lo == hi:
+                wanted |= {(i, k): lo for k in ks}
+                continue
+            values = sorted(r[0] for r in df.select(x[i].alias("v")).where((F.col("v") >= lo) & (F.col("v") <= hi)).collect())
+            wanted |= {(i, k): values[k - before] for k in ks}
+        if not many:
+            break
+        cells = []
+        for i, lo, hi, *_ in many:
+            inside = x[i].isNotNull() & (x[i] >= lo) & (x[i] <= hi)
+            cell = F.least(F.floor((x[i] - lo) / (hi - lo) * RANGES), F.lit(RANGES - 1)).cast("int")
+            cells.append(F.when(inside, F.struct(F.lit(len(cells)).alias("r"), cell.alias("cell"), x[i].alias("v"))))
+        flat = df.select(F.explode(F.array(*cells)).alias("c")).where("c is not null")
+        counts: dict[int, list] = {}
+        for r in flat.groupBy("c.r", "c.cell").agg(F.count("*").alias("n"), F.min("c.v").alias("a"), F.max("c.v").alias("z")).orderBy("r", "cell").collect():
+            counts.setdefault(r.r, []).append(r)
+        open_ = {}
+        for at, ((i, _, _, before, _), ks) in enumerate(many.items()):
+            seen = before
+            for r in counts[at]:
+                own = [k for k in ks if seen <= k < seen + r.n]
+                if own:
+                    open_[i, r.a, r.z, seen, r.n] = own
+                seen += r.n
+    out = {}
+    for i, c in enumerate(columns):
+        n, got = ends[f"n{i}"], []
+        for q in shares if n else []:
+            r = q * (n - 1)
+            low, high = wanted[i, math.floor(r)], wanted[i, math.ceil(r)]
+            got.append(low if low == high else low + (high - low) * (r - math.floor(r)))
+        out[c] = got or [None] * len(shares)
+    return out
+
+
 def median_impute(df: DataFrame, column: str) -> DataFrame:
-    return _broadcast_fit(df, _m=F.percentile(column, 0.5)).withColumn(column, F.coalesce(column, "_m")).drop("_m")
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(exact_quantiles(df, [column], [0.5])[column][0]).cast("double")))
 
 
 def mode_impute(df: DataFrame, column: str) -> DataFrame:
@@ -87,7 +152,7 @@ def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5, weights:
 
 def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 10, ridge: float = 1e-3, initial: str = "mean") -> DataFrame:
     """Round-robin ridge regressions of each column on the others. Every step fits from Gram sums, one aggregation each."""
-    start = _one(df, {c: F.avg(c) if initial == "mean" else F.percentile(c, 0.5) for c in columns})
+    start = _one(df, {c: F.avg(c) for c in columns}) if initial == "mean" else {c: q[0] for c, q in exact_quantiles(df, columns, [0.5]).items()}
     holes = [c for c in columns if df.where(F.col(c).isNull()).limit(1).count()]
     models: dict[str, tuple[float, dict[str, float]]] = {c: (start[c] if start[c] is not None else 0.0, {}) for c in columns}
 
@@ -163,9 +228,9 @@ def standard_scale(df: DataFrame, column: str) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, column: str) -> DataFrame:
-    out = _broadcast_fit(df, _q=F.percentile(column, F.array(*map(F.lit, (0.25, 0.5, 0.75)))))
-    spread = F.col("_q")[2] - F.col("_q")[0]
-    return out.withColumn(column, (F.col(column) - F.col("_q")[1]) / F.when(spread == 0, 1.0).otherwise(spread)).drop("_q")
+    low, middle, high = exact_quantiles(df, [column], [0.25, 0.5, 0.75])[column]
+    spread = (high - low if middle is not None else 0.0) or 1.0
+    return df.withColumn(column, (F.col(column) - F.lit(middle).cast("double")) / spread)
 
 
 def log1p_scale(df: DataFrame, column: str) -> DataFrame:
@@ -225,8 +290,8 @@ def _scale_fits(df: DataFrame, columns: list[str], transform: str) -> dict[str,
     if transform == "none" or not columns:
         return {c: (0.0, 1.0) for c in columns}
     if transform == "robust":
-        got = _one(df, {c: F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))) for c in columns})
-        pairs = {c: (q[1], q[2] - q[0]) if (q := got[c]) else (0.0, 1.0) for c in columns}
+        got = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+        pairs = {c: (q[1], q[2] - q[0]) if (q := got[c])[1] is not None else (0.0, 1.0) for c in columns}
     else:
         got = _one(df, {k: e for c in columns for k, e in ((f"m_{c}", F.avg(c)), (f"s_{c}", F.stddev_pop(c)))})
         pairs = {c: (got[f"m_{c}"] or 0.0, got[f"s_{c}"] or 0.0) for c in columns}
@@ -240,11 +305,12 @@ def preprocess(df: DataFrame, roles: Roles, key: str, transform: str = "standard
     else is one projection. A column that is null throughout is dropped. Names and values are filtered together.
     """
     others = [*roles.binary, *roles.categorical, *roles.ordinal]
-    fits = _one(df, {"n": F.count("*"), **{f"g_{c}": F.count_if(F.col(c).isNull()) for c in roles.all()}, **{f"c_{c}": F.percentile(F.col(c).cast("double"), 0.5) for c in roles.continuous}, **{f"c_{c}": F.mode(c, True) for c in others}})
+    fits = _one(df, {"n": F.count("*"), **{f"g_{c}": F.count_if(F.col(c).isNull()) for c in roles.all()}, **{f"c_{c}": F.mode(c, True) for c in others}})
+    fits |= {f"c_{c}": q[0] for c, q in exact_quantiles(df, [c for c in roles.continuous if fits[f"g_{c}"]], [0.5]).items()}
     gaps = {c: fits[f"g_{c}"] for c in roles.all()}
     full = [c for c in roles.all() if gaps[c] < fits["n"] or c in roles.categorical]
     flags = {f"{b}__{c}__missing": F.col(c).isNull().cast("double") for b in ("continuous", "binary", "categorical", "ordinal") for c in getattr(roles, b) if indicators and gaps[c] and c in full}
-    filled = {c: F.coalesce(F.col(c).cast("double") if c in roles.continuous else F.col(c), F.lit(fits[f"c_{c}"])) for c in full if gaps[c] and fits[f"c_{c}"] is not None}
+    filled = {c: F.coalesce(F.col(c).cast("double") if c in roles.continuous else F.col(c), F.lit(fits[f"c_{c}"])) for c in full if gaps[c] and fits.get(f"c_{c}") is not None}
     filled |= {c: F.col(c).cast("double") for c in full if c in roles.continuous and c not in filled}
     out = df.withColumns(flags).withColumns(filled) if flags else df.withColumns(filled) if filled else df
 

@@ -108,6 +108,20 @@ def test_pca_agrees_with_svd(spark):
     assert np.abs(np.array([r.scores for r in got])) == pytest.approx(np.abs(K.represent("pca", x, {"n_components": 2}, 0)), abs=1e-8)
 
 
+@pytest.mark.parametrize(("ranges", "gathered"), [(1024, 20_000), (4, 3), (7, 1)])
+def test_quantiles_by_counts_are_exact(spark, monkeypatch, ranges, gathered):
+    monkeypatch.setattr(P, "RANGES", ranges)
+    monkeypatch.setattr(P, "GATHERED", gathered)
+    r = np.random.default_rng(5)
+    cols = {"a": r.normal(size=101), "b": np.repeat([1.0, 2.0, 3.0], [50, 1, 50]), "c": np.exp(r.normal(0, 6, 101)), "d": np.full(101, 7.0), "e": r.integers(0, 5, 101).astype(float)}
+    rows = [tuple(None if (i + j) % 9 == 0 else float(v[i]) for j, v in enumerate(cols.values())) + (None,) for i in range(101)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*cols, "gone"]))
+    got = P.exact_quantiles(df, [*cols, "gone"], [0.0, 0.25, 0.5, 0.9, 1.0])
+    assert got.pop("gone") == [None] * 5
+    for j, c in enumerate(cols):
+        assert got[c] == pytest.approx(np.quantile([x[j] for x in rows if x[j] is not None], [0, 0.25, 0.5, 0.9, 1]).tolist(), rel=1e-12)
+
+
 def test_encodings_and_imputers(spark):
     df = spark.createDataFrame([(1, 1.0, "a"), (2, None, "b"), (3, 3.0, None), (4, 8.0, "a")], "id long, x double, c string")
     assert [r.x for r in P.median_impute(df, "x").orderBy("id").collect()] == [1, 3, 3, 8]
