@@ -594,7 +594,7 @@ def onehot_membership(spark, d):
     return X.membership(given_labels(spark, d))
 
 
-@query(f"WITH {REGISTRY} SELECT candidate_id, {rr('ln(1 + n_clusters) / ln(1001)', 'parsimony_penalty')}, {rr('12 / 1000.0::DOUBLE', 'dimensionality_penalty')}, 0.0::DOUBLE AS runtime_penalty FROM rg")
+@query(f"WITH {REGISTRY} SELECT candidate_id, {rr('ln(1 + n_clusters) / ln(1001)', 'parsimony_penalty')}, {rr('12 / 1000.0::DOUBLE', 'feature_dimensionality_penalty')}, 0.0::DOUBLE AS runtime_penalty FROM rg")
 def penalties(spark, d):
     return rounded(candidates(spark, d).select("candidate_id", *[e.alias(k) for k, e in X.penalties("n_clusters", 1000, 12).items()]))
 
@@ -617,16 +617,16 @@ def profile_heatmap(spark, d):
     return rounded(X.profile_heatmap(E.profiles(clustered(spark, d), "cluster", ["bal"], ["rich"], ["seg"]), [0, 1, 2]), 4)
 
 
-@query(f"WITH {REGISTRY} SELECT candidate_id FROM rg WHERE stage <> 'full'")
+@query(f"WITH {REGISTRY} SELECT candidate_id FROM rg WHERE search_stage <> 'full_evaluated'")
 def candidates_to_do(spark, d):
     c = candidates(spark, d)
-    return X.still_to_do(c.select("candidate_id"), c.where("stage = 'full'"))
+    return X.still_to_do(c.select("candidate_id"), c.where("search_stage = 'full_evaluated'"))
 
 
-@query(f"WITH {REGISTRY} SELECT candidate_id FROM rg WHERE stage = 'full'")
+@query(f"WITH {REGISTRY} SELECT candidate_id FROM rg WHERE search_stage = 'full_evaluated'")
 def candidates_done(spark, d):
     c = candidates(spark, d)
-    return X.already_done(c.select("candidate_id"), c.where("stage = 'full'"))
+    return X.already_done(c.select("candidate_id"), c.where("search_stage = 'full_evaluated'"))
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS candidate_id, max(o_orderkey) AS sequence FROM orders GROUP BY o_custkey")

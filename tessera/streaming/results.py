@@ -23,11 +23,14 @@ def finished_per_window(stream: DataFrame, width: str = "10 minutes", late: str
 
 def keep_registry(stream: DataFrame, path: str, checkpoint: str):
     """Start a query that merges every batch into a registry at path/v<batch>. A batch that runs again after a failure reads the version
-    before its own and writes its own once more, so its effect is the same."""
+    before its own and writes its own once more, so its effect is the same. Versions that no batch can read again are deleted; a version
+    is a row per candidate, however many results there were."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(SCHEMA).parquet(f"{path}/v{number - 1}") if number else spark.createDataFrame([], SCHEMA)
         latest_per_candidate(before.unionByName(batch), "sequence").write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -21,7 +21,10 @@ def test_registry_follows_the_files(spark, tmp_path):
     drop("b.json", ("x", "classical", 2, "2024-01-01T00:30:00", 0.9, True), ("y", "deep", 0, "2024-01-01T00:31:00", 0.0, False))
     run()
     assert latest(1) == {"x": 0.9, "y": 0.5}
+    drop("c.json", ("z", "deep", 1, "2024-01-01T00:40:00", 0.3, False))
+    run()
+    assert latest(2) == {"x": 0.9, "y": 0.5, "z": 0.3} and sorted(p.name for p in (tmp_path / "reg").iterdir()) == ["v1", "v2"]
     counts = results.finished_per_window(results.follow(spark, str(tmp_path / "in")))
     q = counts.writeStream.format("memory").queryName("per_window").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted((r.family, r.results, r.accepted) for r in spark.table("per_window").collect()) == [("classical", 1, 0), ("classical", 1, 1), ("deep", 1, 0), ("deep", 1, 1)]
+    assert sorted((r.family, r.results, r.accepted) for r in spark.table("per_window").collect()) == sorted([("classical", 1, 0), ("classical", 1, 1), ("deep", 1, 0), ("deep", 1, 1), ("deep", 1, 0)])
