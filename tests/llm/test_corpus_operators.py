@@ -423,7 +423,7 @@ def test_splitting_tree_is_exact_and_fair(spark):
     assert all(abs(r.blocks - 5000 / 7) < 140 for r in got if r["at"] == 0)
 
 
-@pytest.mark.parametrize(("total", "good", "drawn"), [(10, 4, 5), (9000, 5000, 4500), (60, 60, 20), (50, 0, 9), (40, 30, 35), (10**10, 4 * 10**9, 5 * 10**9)])
+@pytest.mark.parametrize(("total", "good", "drawn"), [(9000, 5000, 4500), (60, 60, 20), (40, 30, 35), (10**10, 4 * 10**9, 5 * 10**9)])
 def test_draws_follow_the_exact_distribution(spark, total, good, drawn):
     from math import comb
 
@@ -443,7 +443,7 @@ def test_draws_follow_the_exact_distribution(spark, total, good, drawn):
             assert abs((got <= x).mean() - exact) < 0.06
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 5, 64, 1000, 1025])
+@pytest.mark.parametrize("size", [1, 2, 5, 1025])
 def test_blocks_are_permuted(spark, size):
     from pyspark.sql import functions as F
 
