@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,13 @@ def take_exact(df: DataFrame, key: str, size: int, seed: int, run: int = 0) -> D
     return hashed_rank(df, draw(seed, run, F.col(key)), key).where(F.col("_rank") <= size).drop("_rank")
 
 
+def whole_share(n: int, fraction: float) -> int:
+    """Whole rows in a share of n, the fraction as it is written: 0.35 of 360 is 126, though the product of doubles is less."""
+    return int(n * Fraction(str(fraction)))
+
+
 def pilot_size(n: int, fraction: float, least: int) -> int:
-    return n if n <= least else min(n, max(least, int(n * fraction)))
+    return n if n <= least else min(n, max(least, whole_share(n, fraction)))
 
 
 def pilot_sample(df: DataFrame, key: str, fraction: float = 0.35, least: int = 250, seed: int = 2026) -> DataFrame:
@@ -45,7 +52,7 @@ def pilot_sample(df: DataFrame, key: str, fraction: float = 0.35, least: int = 2
 
 
 def subsample(df: DataFrame, key: str, seed: int, run: int, share: float = 0.8) -> DataFrame:
-    return take_exact(df, key, max(2, int(share * df.count())), seed, run)
+    return take_exact(df, key, max(2, whole_share(df.count(), share)), seed, run)
 
 
 def bootstrap_draws(df: DataFrame, n: int, seed: int, run: int) -> DataFrame:

@@ -170,6 +170,18 @@ def test_sampling_is_exact_and_repeats(spark):
     assert 0.6 < S.bootstrap_draws(df, 1000, 1, 1).select("row_idx").distinct().count() / 1000 < 0.67
 
 
+@pytest.mark.parametrize(("n", "fraction", "size"), [(100, 0.35, 100), (360, 0.35, 126), (740, 0.35, 259), (90_000, 0.35, 31_500), (90_001, 0.35, 31_500), (1000, 0.29, 290), (1000, 1.0, 1000)])
+def test_a_share_of_the_rows_is_exact(n, fraction, size):
+    assert S.pilot_size(n, fraction, 100) == size
+
+
+def test_pilot_sample_has_as_many_rows_as_its_sql(spark):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE customer AS SELECT range AS c_custkey FROM range(720)")
+    want = {x for (x,) in c.execute(catalogue.ORACLES["pilot_sample"]).fetchall()}
+    assert {r.k for r in S.pilot_sample(spark.range(720).withColumnRenamed("id", "k"), "k").collect()} == want and len(want) == 252
+
+
 def test_acceptance_twice_changes_nothing(spark):
     rows = [("a", "f", 0.9, True, ""), ("b", "f", 0.7, True, ""), ("c", "f", 0.1, True, ""), ("d", "f", None, True, ""), ("e", "f", 0.8, False, "dominant_cluster")]
     df = spark.createDataFrame(rows, "candidate_id string, family string, final_weighted_score double, hard_filter_passed boolean, rejection_reasons string")
