@@ -565,10 +565,11 @@ def clusterers_find_groups(spark, d):
     planted = blobs(spark, d)
     k = planted.select("label").distinct().count()
     grid = search.candidate_grid(["none"], ["onehot"], [{"name": "none"}], [{"name": n, "params": {a: k if v is None else v for a, v in p.items()}} for n, p in _FINDERS.items()])
-    fits = search.run_fits(planted, search.registry(spark, grid), [101]).join(search.registry(spark, grid).select("candidate_id", "clustering_name"), "candidate_id")
-    every = fits.select(F.concat(F.lit("x_"), F.col("clustering_name")).alias("run_id"), "row_idx", "label").union(planted.select(F.lit("planted").alias("run_id"), "row_idx", "label"))
-    pairs = L.ari_nmi(L.contingency(every)).where("run_a = 'planted'")
-    return pairs.select(F.substring("run_b", 3, 50).alias("clusterer"), (F.col("ari") > 0.9).alias("found"))
+    named = search.registry(spark, grid).select("candidate_id", F.col("clustering_name").alias("run_b"))
+    found = search.run_fits(planted, search.registry(spark, grid), [101]).join(named, "candidate_id").select("run_b", "row_idx", F.col("label").alias("lb"))
+    # each clusterer against what was planted, and not with one another
+    cells = planted.select("row_idx", F.col("label").alias("la")).join(found, "row_idx").groupBy(F.lit("planted").alias("run_a"), "run_b", "la", "lb").agg(F.count("*").alias("n"))
+    return L.ari_nmi(cells).select(F.col("run_b").alias("clusterer"), (F.col("ari") > 0.9).alias("found"))
 
 
 @query()

@@ -1,6 +1,7 @@
 """The clustering operators: DuckDB as the oracle, brute force in numpy, and hand-made cases."""
 
 import itertools
+import tracemalloc
 from pathlib import Path
 
 import duckdb
@@ -10,6 +11,7 @@ import pytest
 
 from tessera.config import ExperimentConfig, deep_merge, load_config
 from tessera.functions import kernels as K
+from tessera.functions import neighbours as N
 from tessera.operators import consensus as C
 from tessera.operators import explain as E
 from tessera.operators import labels as L
@@ -261,6 +263,52 @@ def test_clusterers_find_blobs(name):
     assert real.mean() > 0.8 and agree(lab[real], TRUTH[real])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_fits_of_many_rows_equal_those_by_matrix(seed, monkeypatch):
+    r = np.random.default_rng(seed)
+    p = (2, 3, 5, 2)[seed]
+    x = np.concatenate([r.normal(r.normal(0, 3, p), r.uniform(0.2, 1), (r.integers(50, 120), p)) for _ in range(5)])
+    if seed == 3:
+        x = np.concatenate([x, x[:60]])
+    core = np.sort(K._metric(x, "euclidean"), 1)[:, 6]
+    assert N.core_distances(x, 7) == pytest.approx(core, abs=1e-7)
+    reach = np.maximum(K._metric(x, "euclidean"), np.maximum(core[:, None], core[None]))
+    assert [w for w, *_ in N.reachability_tree(x, core)] == pytest.approx([w for w, *_ in K._spanning_edges(reach)])
+    # copies have equal distances, which leave open which of the lightest trees hdbscan cuts
+    fits = [("hdbscan", {"min_cluster_size": 8})] * (seed < 3) + [("spectral", {"n_clusters": 4, "gamma": 0.3})] + [("agglomerative", {"n_clusters": k, "linkage": "average"}) for k in (1, 2, 5, 40, 200)]
+    want = [K.fit_predict(name, x, params, 1)[0] for name, params in fits]
+    monkeypatch.setattr(K, "MOST_DENSE", 10)
+    for (name, params), lab in zip(fits, want, strict=True):
+        assert agree(K.fit_predict(name, x, params, 1)[0].tolist(), lab.tolist()), (name, params)
+
+
+def test_linkage_tells_near_ties_apart_without_all_pairs(monkeypatch):
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal((i % 6 * 3, i // 6 * 3), 0.6, (30, 2)) for i in range(24)])
+    want = [K.agglomerative(x, k, linkage="average")[0] for k in (2, 4, 9, 30)]
+    monkeypatch.setattr(K, "MOST_DENSE", 10)
+    for most in (1 << 20, 50):  # few pieces at a time: the rest is summed row by row
+        monkeypatch.setattr(N.AverageLinkage, "MOST", most)
+        for k, lab in zip((2, 4, 9, 30), want, strict=True):
+            assert agree(K.agglomerative(x, k, linkage="average")[0].tolist(), lab.tolist())
+
+
+@pytest.mark.parametrize("name", sorted(catalogue._FINDERS))
+def test_clusterers_hold_no_matrix_of_all_pairs(name):
+    r = np.random.default_rng(2)
+    truth = r.integers(0, 3, 12_000)
+    x = np.array([[0, 0, 0], [4, 4, 0], [8, 0, 0]])[truth] + r.uniform(-0.5, 0.5, (12_000, 3))
+    params = {a: 3 if v is None else v for a, v in catalogue._FINDERS[name].items()}
+    tracemalloc.start()
+    lab = K.fit_predict(name, x, params, 101)[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    if name == "spectral":  # its factor is reserved as a whole, and written as far as the rank goes
+        most = N.gaussian_factor(x, 1.0).size * 8
+    assert most < 200e6  # a matrix of doubles has 1152 MB
+    assert (np.array([np.bincount(truth[lab == c]).max() for c in set(lab.tolist())]).sum() / 12_000) > 0.99
+
+
 def test_other_fits():
     for cov in ("full", "tied", "diag", "spherical"):
         assert agree(K.gmm(BLOBS, 3, 1, cov)[0], TRUTH)
