@@ -7,7 +7,7 @@ import json
 import time
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,28 +56,65 @@ def fit_table(points: DataFrame, candidates: DataFrame, seeds: list[int], qualit
     rows, wide = points.agg(F.count("*"), F.max(F.size("features"))).first()
     if rows * (wide or 0) > MOST_VALUES:
         raise ValueError(f"a matrix of {rows} x {wide} is too large to send to every fit; use kmeans_distributed or a pilot sample")
-    table = points.select("row_idx", "features").orderBy("row_idx").toPandas()
-    x, ids = spark.sparkContext.broadcast(np.array(table.features.tolist(), float)), spark.sparkContext.broadcast(table.row_idx.to_numpy())
+    values, rows_idx = _matrix(points, rows, wide or 0)
+    x, ids = spark.sparkContext.broadcast(values), spark.sparkContext.broadcast(rows_idx)
+    del values, rows_idx
     jobs = candidates.select("candidate_id", "representation_name", "representation_params_json", "clustering_name", "clustering_params_json").crossJoin(spark.createDataFrame([(s,) for s in seeds], "run_id int"))
     count = candidates.count() * len(seeds)
 
-    def fit(frames):
-        for f in frames:
-            for r in f.itertuples():
-                began, data = time.perf_counter(), x.value
-                z = represent(r.representation_name, data, json.loads(r.representation_params_json), r.run_id)
-                lab, meta = fit_predict(r.clustering_name, z, json.loads(r.clustering_params_json), r.run_id)
-                facts = {"runtime_seconds": time.perf_counter() - began}
-                space = meta.pop("space", z)
-                facts |= {k: float(v) for k, v in meta.items() if isinstance(v, int | float)}
-                if quality:
-                    own = internal_quality(data, lab)
-                    inside = own if space is data else internal_quality(space, lab)
-                    facts |= {f"{k}_original_space": v for k, v in own.items()} | {f"{k}_cluster_space": v for k, v in inside.items()} | inside
-                yield pd.DataFrame({"candidate_id": r.candidate_id, "run_id": r.run_id, "row_idx": [-1], "label": [0], "facts": [facts]})
-                yield pd.DataFrame({"candidate_id": r.candidate_id, "run_id": r.run_id, "row_idx": ids.value, "label": lab.astype(np.int32), "facts": None})
-
-    return jobs.repartition(max(1, min(count, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(fit, "candidate_id string, run_id int, row_idx long, label int, facts map<string,double>")
+    def fit(batches):
+        for r in (r for b in batches for r in b.to_pylist()):
+            began, data = time.perf_counter(), x.value
+            z = represent(r["representation_name"], data, json.loads(r["representation_params_json"]), r["run_id"])
+            lab, meta = fit_predict(r["clustering_name"], z, json.loads(r["clustering_params_json"]), r["run_id"])
+            facts = {"runtime_seconds": time.perf_counter() - began}
+            space = meta.pop("space", z)
+            facts |= {k: float(v) for k, v in meta.items() if isinstance(v, int | float)}
+            if quality:
+                own = internal_quality(data, lab)
+                inside = own if space is data else internal_quality(space, lab)
+                facts |= {f"{k}_original_space": v for k, v in own.items()} | {f"{k}_cluster_space": v for k, v in inside.items()} | inside
+            yield _fitted(r, np.array([-1]), np.zeros(1), pa.array([facts], FACTS))
+            for at in range(0, len(lab), ROWS):
+                part = ids.value[at : at + ROWS]
+                yield _fitted(r, part, lab[at : at + ROWS], pa.nulls(len(part), FACTS))
+
+    return jobs.repartition(max(1, min(count, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(fit, "candidate_id string, run_id int, row_idx long, label int, facts map<string,double>")
+
+
+#: Rows of a fit's result that are handed to Spark at a time.
+ROWS = 1 << 16
+FACTS = pa.map_(pa.string(), pa.float64())
+
+
+def _fitted(job: dict, rows: np.ndarray, labels: np.ndarray, facts: pa.Array) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(job["candidate_id"]), n), pa.repeat(pa.scalar(job["run_id"], pa.int32()), n), pa.array(rows, pa.int64()), pa.array(labels.astype(np.int32)), facts], names=["candidate_id", "run_id", "row_idx", "label", "facts"])
+
+
+def _matrix(points: DataFrame, rows: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features by row_idx, and row_idx: the driver gets them as blocks of doubles, partition by partition, and never as rows."""
+
+    def pack(batches):
+        for b in batches:
+            for at in range(0, len(b), ROWS):
+                part = b.slice(at, ROWS)
+                features = part.column(1)
+                if features.null_count or len(features.flatten()) != len(features) * wide:
+                    raise ValueError(f"every row needs {wide} features")
+                x = features.flatten().to_numpy(zero_copy_only=False).astype(float)
+                yield pa.record_batch([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([x.tobytes()])], names=["ids", "x"])
+
+    x, ids, at = np.empty((rows, wide)), np.empty(rows, np.int64), 0
+    blocks = points.select(F.col("row_idx").cast("long").alias("row_idx"), F.col("features").cast("array<double>").alias("features")).orderBy("row_idx").mapInArrow(pack, "ids binary, x binary")
+    for r in blocks.toLocalIterator():
+        part = np.frombuffer(r.ids, np.int64)
+        ids[at : at + len(part)] = part
+        x[at : at + len(part)] = np.frombuffer(r.x).reshape(len(part), wide)
+        at += len(part)
+    if at != rows:
+        raise RuntimeError(f"{rows} rows were counted and {at} read: the table changed meanwhile")
+    return x, ids
 
 
 def run_fits(points: DataFrame, candidates: DataFrame, seeds: list[int]) -> DataFrame:
@@ -91,10 +128,12 @@ def fit_facts(fits: DataFrame) -> DataFrame:
 
 def pair_agreement(runs: DataFrame) -> DataFrame:
     """(candidate_id, run_a, run_b, ari, nmi) of every two runs of a candidate."""
-    a = runs.select("candidate_id", "row_idx", F.col("run_id").alias("a"), F.col("label").alias("la"))
-    b = runs.select("candidate_id", "row_idx", F.col("run_id").alias("b"), F.col("label").alias("lb"))
+    # the rows are met once: of each candidate the distinct label vectors are counted, and their pairs of runs are taken apart
+    vectors = runs.groupBy("candidate_id", "row_idx").agg(F.sort_array(F.collect_list(F.struct("run_id", "label"))).alias("v")).groupBy("candidate_id", "v").agg(F.count("*").alias("m"))
+    two = lambda a: F.transform(F.filter("v", lambda b: b["run_id"] > a["run_id"]), lambda b: F.struct(a["run_id"].alias("a"), b["run_id"].alias("b"), a["label"].alias("la"), b["label"].alias("lb")))
+    pairs = vectors.select("candidate_id", "m", F.explode(F.flatten(F.transform("v", two))).alias("p")).select("candidate_id", "m", "p.*")
     name = lambda c: F.concat_ws("/", "candidate_id", c)
-    cells = a.join(b, ["candidate_id", "row_idx"]).where("a < b").groupBy(name("a").alias("run_a"), name("b").alias("run_b"), "la", "lb").agg(F.count("*").alias("n"))
+    cells = pairs.groupBy(name("a").alias("run_a"), name("b").alias("run_b"), "la", "lb").agg(F.sum("m").alias("n"))
     part = lambda c, i: F.element_at(F.split(c, "/"), i)
     return L.ari_nmi(cells).select(part("run_a", 1).alias("candidate_id"), part("run_a", 2).cast("int").alias("run_a"), part("run_b", 2).cast("int").alias("run_b"), "ari", "nmi")
 

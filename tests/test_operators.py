@@ -488,6 +488,36 @@ def test_draws_keep_their_repeats_and_the_pipeline_is_fitted_on_them(spark, tmp_
     assert seen == [60, 60]  # the table, and the one draw with its repeats
 
 
+def test_the_driver_gets_the_matrix_as_blocks(spark, monkeypatch):
+    rows = [(7 * i % 500, [float(7 * i % 500), 0.5, None if i == 3 else -1.0]) for i in range(500)]
+    points = spark.createDataFrame(rows, "row_idx int, features array<float>").repartition(5)
+
+    def refuse(*_):
+        raise AssertionError("rows reached the driver")
+
+    monkeypatch.setattr(search, "ROWS", 64)
+    monkeypatch.setattr(type(points), "toPandas", refuse)
+    x, ids = search._matrix(points, 500, 3)
+    assert ids.tolist() == list(range(500)) and x[:, 0].tolist() == ids.tolist() and np.isnan(x[21, 2]) and (x[22:, 2] == -1).all()
+    grid = search.candidate_grid(["none"], ["onehot"], [{"name": "none"}], [{"name": "kmeans", "params": {"n_clusters": 2}}])
+    got = search.run_fits(points.where("row_idx <> 21"), search.registry(spark, grid), [1, 2]).collect()
+    assert sorted((r.run_id, r.row_idx) for r in got) == [(s, i) for s in (1, 2) for i in range(500) if i != 21]
+    assert len({(r.run_id, r.label) for r in got if r.row_idx < 200}) == 2
+    with pytest.raises(Exception, match="every row needs 3 features"):
+        search._matrix(spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0])], "row_idx long, features array<double>"), 2, 3)
+
+
+def test_agreement_of_seeds_equals_that_of_joined_runs(spark):
+    r = np.random.default_rng(9)
+    lab = [r.integers(-1, 3, 60) for _ in range(3)]
+    both = spark.createDataFrame([(c, s, i, int(x)) for c in "ab" for s, v in enumerate(lab) for i, x in enumerate(v) if c == "a" or i % 2], "candidate_id string, run_id int, row_idx long, label int")
+    got = {(x.candidate_id, x.run_a, x.run_b): (x.ari, x.nmi) for x in search.pair_agreement(both).collect()}
+    for c in "ab":
+        for x in L.ari_nmi(L.contingency(both.where(f"candidate_id = '{c}'").drop("candidate_id"))).collect():
+            assert got.pop((c, x.run_a, x.run_b)) == pytest.approx((x.ari, x.nmi))
+    assert not got and not search.pair_agreement(both.where("run_id = 1")).count()
+
+
 def test_seeds_are_summarised_and_the_most_typical_one_stands_for_all(spark):
     lab = {1: [0, 1, 0, 1], 2: [0, 0, 1, 1], 3: [0, 0, 1, 1]}
     runs_ = spark.createDataFrame([("c", s, i, v) for s, l in lab.items() for i, v in enumerate(l)], "candidate_id string, run_id int, row_idx long, label int")
