@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,11 @@ def _weights(weights: list[float]):
 
 def _agreement(a: str, b: str, weights: list[float]):
     """Weight of runs where both are in the same cluster over the weight of runs where both are in one; 0 if there is none."""
-    z = F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"), _weights(weights).alias("w"))
+    return _agreement_with(F.col(a), F.col(b), weights)
+
+
+def _agreement_with(a: Column, b: Column, weights: list[float]) -> Column:
+    z = F.zip_with(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), _weights(weights), lambda x, w: F.struct(x["a"].alias("a"), x["b"].alias("b"), w.alias("w")))
     both = lambda x: (x["a"] >= 0) & (x["b"] >= 0)
     same = F.aggregate(z, F.lit(0.0), lambda s, x: s + F.when(both(x) & (x["a"] == x["b"]), x["w"]).otherwise(0.0))
     seen = F.aggregate(z, F.lit(0.0), lambda s, x: s + F.when(both(x), x["w"]).otherwise(0.0))
@@ -39,12 +43,28 @@ def signature_agreement(sigs: DataFrame, weights: list[float]) -> DataFrame:
     return a.crossJoin(b).select("i", "j", "ni", "nj", _agreement("_a", "_b", weights).alias("c"))
 
 
-def coassociation(runs: DataFrame, weights: list[float]) -> DataFrame:
-    """(i, j, c) for pairs of rows i < j; for export and small tables, as its size is the square of the rows."""
+#: Pairs of rows that a task of coassociation() writes, about.
+PAIRS = 10_000_000
+
+
+def coassociation(runs: DataFrame, weights: list[float], digits: int | None = None) -> DataFrame:
+    """(i, j, c) for pairs of rows i < j, c rounded to digits if given; for export, as its size is the square of the rows.
+
+    Each row carries its signature's agreement with all signatures, worked out once a signature, and meets every later row, which says where in that list
+    it stands: a pair costs a comparison and a look-up. The later rows, two numbers each, are sent to every task."""
     sigs, rows = signatures(runs)
-    pairs = signature_agreement(sigs, weights).select(F.col("i").alias("si"), F.col("j").alias("sj"), "c")
-    a, b = rows.toDF("i", "si"), rows.toDF("j", "sj")
-    return pairs.join(a, "si").join(b, "sj").where("i < j").select("i", "j", "c")
+    spark = runs.sparkSession
+    every = sigs.agg(F.sort_array(F.collect_list(F.struct("sig_id", "labels"))).alias("every"))
+    lists = sigs.select("sig_id", F.col("labels").alias("_a")).crossJoin(F.broadcast(every))
+    c = F.transform("every", lambda x: _agreement_with(F.col("_a"), x["labels"], weights))
+    if digits is not None:
+        c = F.transform(c, lambda x: F.round(x, digits) + 0.0)
+    places = every.select(F.posexplode("every").alias("at", "s")).select("at", F.col("s.sig_id").alias("sig_id"))
+    n = rows.count()
+    tasks = max(1, min(10_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * n // 2 // PAIRS))))
+    first = rows.join(lists.select("sig_id", c.alias("cs")), "sig_id").select(F.col("row_idx").alias("i"), "cs").repartition(tasks, "i")
+    later = rows.join(places, "sig_id").select(F.col("row_idx").alias("j"), "at")
+    return first.join(F.broadcast(later), F.col("i") < F.col("j")).select("i", "j", F.col("cs")[F.col("at")].alias("c"))
 
 
 def uncertainty(runs: DataFrame, weights: list[float], labels: DataFrame, gap_below: float = 0.1, entropy_quantile: float = 0.9, eps: float = 1e-12) -> DataFrame:

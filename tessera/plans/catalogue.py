@@ -473,7 +473,7 @@ def signature_table(spark, d):
 
 @query(f"WITH {_PAIRS} SELECT i, j, {rr('c', 'c')} FROM co WHERE i < j")
 def coassociation(spark, d):
-    return rounded(C.coassociation(label_runs(spark, d), WEIGHTS))
+    return C.coassociation(label_runs(spark, d), WEIGHTS, digits=6)
 
 
 def given_labels(spark, d):

@@ -215,6 +215,18 @@ def test_consensus_of_signatures_equals_rows(spark):
         assert got[i, j] == pytest.approx((np.array(w) * (both & (lab[:, i] == lab[:, j]))).sum() / seen if seen else 0)
 
 
+def test_pairs_of_one_signature_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(C, "PAIRS", 100)
+    lab = [[0] * 60, [1] * 57 + [-1, -1, 2], [-1] * 59 + [2]]
+    got = C.coassociation(runs(spark, *lab), [0.5, 0.3, 0.1], digits=3)
+    dealt = got.rdd.glom().map(len).collect()
+    assert sum(dealt) == 60 * 59 // 2 and len(dealt) >= 17 and max(dealt) < 600
+    c = {(x.i, x.j): x.c for x in got.collect()}
+    assert c[0, 1] == c[0, 57] == c[57, 58] == 1 and c[0, 59] == 0.625 and len(c) == 1770
+    noise = C.coassociation(runs(spark, [-1, -1, 0]), [1.0]).collect()
+    assert [(x.i, x.j, x.c) for x in sorted(noise)] == [(0, 1, 0), (0, 2, 0), (1, 2, 0)]
+
+
 def test_certain_and_ambiguous_rows(spark):
     sure = C.uncertainty(runs(spark, [0, 0, 1, 1], [1, 1, 0, 0]), [0.7, 0.3], spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "row_idx long, consensus_label int")).collect()
     assert all(r.entropy == pytest.approx(0) and r.gap > 0.9 and not r.ambiguous for r in sure)
