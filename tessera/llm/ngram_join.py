@@ -448,8 +448,9 @@ def _named_sets(documents: DataFrame, k: int, num: int, den: int) -> tuple[DataF
     """(doc_id, k, n, ...) per row; per distinct set that is not empty (k, c, least, copies), c naming its class; links of each set."""
     docs = ensure_columns(documents, doc_id="long", text="string")
     space = materialize(documents_in_space(docs, k, num, den, common_shingles(docs, k)), "space")
-    found = materialize(regions(space, num, den), "regions")
-    small = found.where("not large").select("region", "k", "n").distinct()
+    # without repeats before they are written: few files of many rows, not one for each task of the sort
+    found = materialize(regions(space, num, den).distinct(), "regions")
+    small = found.where("not large").select("region", "k", "n")
     wanted = _filter_bits(small.select("k"))
 
     def only(batches):

@@ -151,6 +151,20 @@ def test_links_inside_large_families_are_counted(spark, monkeypatch, region, blo
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute_components(rows, 4, 85, 100))
 
 
+def test_regions_are_written_without_repeats_in_few_files(spark, monkeypatch):
+    """A family whose shingles lie in all tasks names the same region in each of them."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(500)}" for _ in range(80)]
+    rows = [(i, " ".join([*base[:40], f"e{i}", *base[41:]] if i < 20 else [f"u{i}x{j}" for j in range(30)]), "en", "s", 0) for i in range(30)]
+    written, plain = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: written.setdefault(name, plain(df, name)))
+    got = [(x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_classes(spark.createDataFrame(rows, DOCS), 4, 85, 100).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 4, 85, 100)) and len({c for _, _, c in got}) == 11
+    found = written["regions"]
+    assert found.count() == found.distinct().count() >= 20
+    assert len(found.inputFiles()) == 1
+
+
 def test_join_region_lists_all_links():
     r = np.random.default_rng(1)
     for spread in (6, 40):
