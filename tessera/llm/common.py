@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, made once, in blocks on its executors' disks. For maps of a table that need no exchange: a block that is lost is made again
+    from its part of the table. Unlike `materialize` it makes no file a task in the shared folder."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that no later plan reads."""
     spark = df.sparkSession

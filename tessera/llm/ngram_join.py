@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bag, ensure_columns, materialize, partitions, seeded, shingle_hashes, slabs, splitmix, utf8, whole_hash, word_hashes
+from .common import WORD, bag, ensure_columns, kept, materialize, partitions, seeded, shingle_hashes, slabs, splitmix, utf8, whole_hash, word_hashes
 from .components import connected_components
 
 #: Members of a region that one task may gather; more are joined in distributed rounds.
@@ -447,7 +447,7 @@ def _large_links(groups: DataFrame, num: int, den: int) -> DataFrame:
 def _named_sets(documents: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, k, n, ...) per row; per distinct set that is not empty (k, c, least, copies), c naming its class; links of each set."""
     docs = ensure_columns(documents, doc_id="long", text="string")
-    space = materialize(documents_in_space(docs, k, num, den, common_shingles(docs, k)), "space")
+    space = kept(documents_in_space(docs, k, num, den, common_shingles(docs, k)))
     # without repeats before they are written: few files of many rows, not one for each task of the sort
     found = materialize(regions(space, num, den).distinct(), "regions")
     small = found.where("not large").select("region", "k", "n")

@@ -165,6 +165,17 @@ def test_regions_are_written_without_repeats_in_few_files(spark, monkeypatch):
     assert len(found.inputFiles()) == 1
 
 
+def test_windows_are_not_written_and_can_be_made_again(spark, monkeypatch, documents, corpus):
+    """What is a map of the texts stays with the executors, and is made again if it is lost."""
+    written, plain = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: written.append(plain(df, name)) or written[-1])
+    got = ngram_join.jaccard_classes(documents, 4, 85, 100)
+    assert written and not any("window" in df.columns for df in written)
+    spark.catalog.clearCache()
+    key = lambda t: tuple((x is not None, x) for x in t)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=key) == sorted(brute_components(corpus, 4, 85, 100), key=key)
+
+
 def test_join_region_lists_all_links():
     r = np.random.default_rng(1)
     for spread in (6, 40):
