@@ -465,13 +465,13 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(documents: DataFrame, tagger: Tagger) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row; the counts are of all spans."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row; counts and digest are of the patterns' spans, `spans` lists all."""
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
     def run(batches):
         for b in batches:
             got = all_spans([t or "" for t in b.column(1).to_pylist()], tagger)
-            counts = [pa.array([sum(s[0] == k for s in every) for _, every in got], pa.int64()) for k in KINDS]
+            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in got], pa.int64()) for k in KINDS]
             yield pa.record_batch([b.column(0), *counts, pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in got], pa.string()), pa.array([written(every) for _, every in got], pa.string())], names=[c.split()[0] for c in schema.split(", ")])
 
     return ensure_columns(documents, doc_id="long", text="string").mapInArrow(run, schema)

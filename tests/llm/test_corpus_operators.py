@@ -648,6 +648,27 @@ def test_personal_data_of_awkward_rows(awkward, corpus, tagger):
     assert back.columns == awkward.columns and back.count() == len(corpus)
 
 
+def test_counts_of_personal_data_are_of_the_patterns_alone(spark):
+    class Numbers(pii.Tagger):
+        """A model that takes all digits, spaces, hyphens and brackets for telephone numbers."""
+
+        def scores(self, x, keep=None):
+            inside = np.isin(x, np.append(np.arange(1, 6), pii.classes("-() ")))
+            return np.where(inside[..., None], np.arange(len(pii.TAGS)) == pii.TAGS.index("I-phone"), np.arange(len(pii.TAGS)) == 0).astype(float)
+
+    texts = [None, "call (826) 555-4081 today", "a@b.c or 030 1234567, 1.2.3.4", "+49 30 1234567", "x@y.z"]
+    tagger = Numbers({"steps": np.zeros((len(pii.TAGS), len(pii.TAGS)))})
+    rows = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tagger).collect()
+    added = {}
+    for r in rows:
+        want, every = plain_base_spans(texts[r.doc_id] or ""), r.spans.split(",") if r.spans else []
+        listed = [f"{k}:{a}:{z}" for k, a, z in want]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in want) for kind in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest() and set(listed) <= set(every)
+        added[r.doc_id] = set(every) - set(listed)
+    assert added == {0: set(), 1: {"phone:5:19"}, 2: {"phone:9:20"}, 3: set(), 4: set()}
+
+
 def test_tilings_match_brute_force():
     def brute(a, b, match):
         fa, fb, total = [True] * len(a), [True] * len(b), []
